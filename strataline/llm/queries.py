@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_query,
     "op5_simhash": simhash.op5_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
+}
