@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, secrets, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_query,
     "op5_simhash": simhash.op5_query,
+    "op8_secrets": secrets.op8_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
