@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, quality, secrets, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_query,
     "op5_simhash": simhash.op5_query,
+    "op6_quality": quality.op6_query,
     "op8_secrets": secrets.op8_query,
 }
 
