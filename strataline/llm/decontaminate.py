@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower, pick
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows of the benchmark that are broadcast at most (about 300 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
 def word_array(text):
     """The words of a text, an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def benchmark_windows(bench: DataFrame, size: int) -> DataFrame:
@@ -38,19 +39,21 @@ def window_hits(docs: DataFrame, bench: DataFrame, size: int, scratch: Scratch)
     tokens = distinct.select("wtxt", "win", F.posexplode("win").alias("off", "word"))
     small = distinct.count() <= BROADCAST_WINDOWS
     near = F.broadcast if small else (lambda t: t)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), word_array(F.col("text")).alias("w"))
-    counts = rows.select(F.explode("w").alias("word")).join(near(tokens.select("word").distinct()), "word").groupBy("word").count()
-    counts = scratch.table(counts, "counts")
-    rare = tokens.join(counts, "word", "left").groupBy("wtxt", "win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "off")).alias("low"))
-    prefix = rare.where("low.n > 0").select("low.word", "low.off", F.size("win").alias("len"), "win", "wtxt")
+    tokens = tokens.withColumn("h", F.xxhash64("word"))  # joins on a long; the words themselves are compared in the end
+    counts = docs.select(F.explode(word_array(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("h"))
+    counts = scratch.table(counts.join(near(tokens.select("h").distinct()), "h").groupBy("h").count(), "counts")
+    rare = tokens.join(counts, "h", "left").groupBy("wtxt", "win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "h", "off")).alias("low"))
+    prefix = rare.where("low.n > 0").select("low.h", "low.off", F.size("win").alias("len"), "win", "wtxt")
     prefix = scratch.table(prefix, "prefix")
-    at = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
+    # explode(array(x)) keeps the optimizer from splitting each text twice, once for w and once for its positions
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array(word_array(F.col("text")))).alias("w"))
+    at = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word")).withColumn("h", F.xxhash64("word"))
     if small:
-        met = at.join(F.broadcast(prefix), "word").where("pos >= off AND pos - off + len <= size(w)").where("slice(w, pos - off + 1, len) = win")
+        met = at.join(F.broadcast(prefix), "h").where("pos >= off AND pos - off + len <= size(w)").where("slice(w, pos - off + 1, len) = win")
     else:  # the words around travel instead of the whole document
         around = F.slice("w", F.greatest(F.lit(1), F.col("pos") + 2 - size), F.least(F.col("pos") + 1, F.lit(size)) + (size - 1))
-        at = at.select("doc_id", "th", "pos", "word", F.size("w").alias("n"), around.alias("c"), F.greatest(F.lit(0), F.col("pos") + 1 - size).alias("c0"))
-        met = at.join(prefix, "word").where("pos >= off AND pos - off + len <= n").where("slice(c, pos - off - c0 + 1, len) = win")
+        at = at.select("doc_id", "th", "pos", "h", F.size("w").alias("n"), around.alias("c"), F.greatest(F.lit(0), F.col("pos") + 1 - size).alias("c0"))
+        met = at.join(prefix, "h").where("pos >= off AND pos - off + len <= n").where("slice(c, pos - off - c0 + 1, len) = win")
     return met.select("doc_id", "th", (F.col("pos") - F.col("off")).alias("start"), "len", "wtxt"), windows.select("wtxt", "item")
 
 
