@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, quality, secrets, simhash, toxicity
+from . import ann, decontaminate, lm, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_query,
     "op4_neighbours": ann.op4_query,
     "op5_simhash": simhash.op5_query,
     "op6_quality": quality.op6_query,
+    "op7_language_model": lm.op7_query,
     "op8_secrets": secrets.op8_query,
     "op9_toxicity": toxicity.op9_query,
 }
