@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, lm, quality, secrets, simhash, toxicity
+from . import ann, decontaminate, lm, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_query,
@@ -12,8 +12,10 @@ QUERIES = {
     "op7_language_model": lm.op7_query,
     "op8_secrets": secrets.op8_query,
     "op9_toxicity": toxicity.op9_query,
+    "op10_substrings": substrings.op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op10_substrings": substrings.OP10_SQL,
 }
