@@ -79,9 +79,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space: ``bytes`` methods touch only ASCII."""
-    return text.encode().lower().split() if text else []
+    return (text.encode() if isinstance(text, str) else text).lower().split() if text else []
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """The texts of a column as bytes, without decoding them first."""
+    return column.cast(pa.binary()).to_pylist()
 
 
 def crc_bucket(doc_id, n: int):
