@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, sliced
+from .common import Scratch, pick, sliced, utf8
 
 #: Words of a window, and of the anchor that each window is known by.
 WINDOW, ANCHOR = 35, 8
@@ -39,48 +39,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, _B, np.uint64))
+def _powers(n: int, base: np.uint64, known: dict = {}) -> np.ndarray:  # noqa: B006  kept for the next texts
+    """1, base, base**2, ... (modulo 2**64), n of them at least."""
+    if len(known.get(base, ())) < n:
+        known[base] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, base, np.uint64))])
+    return known[base]
 
 
-def blocks(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """The blocks of a text: runs of windows that share an anchor.
+def blocks(texts: list[list[bytes]], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """The blocks of some texts: runs of windows that share an anchor.
 
     A window's anchor is its ``anchor``-word run of least hash (the first of equals), so windows of the same
-    words have the same anchor at the same place, wherever they are. Returns for each block its first window,
-    its number of windows, the hash of its anchor, the hash of all its words and the anchor's place in it;
-    and the hash of each window.
+    words have the same anchor at the same place, wherever they are. Returns for each block its text, its
+    first window, its number of windows, the hash of its anchor and the hash of all its words with the
+    anchor's place in it; then the hash of each window, block after block.
     """
-    n = len(words)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    n, start = int(size.sum()), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     if n < window:
-        none = np.empty(0, np.uint64)
-        return none.astype(np.int64), none.astype(np.int64), none, none, none
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(n), dtype=np.uint64)])
-    inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _B_INV, np.uint64))])
-
-    def run(start, size):  # hash of ``size`` words from ``start``
-        return _mix((sums[start + size] - sums[start]) * inverse[start] + np.asarray(size, np.uint64))
-
-    k = run(np.arange(n - anchor + 1), anchor)
-    span = window - anchor + 1
-    at = np.arange(n - window + 1)
-    least, have, width = k.copy(), np.arange(len(k)), 1  # least hash of a power of two of runs, first of equals
+        none = np.empty(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
+    h = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(texts)), np.uint64, n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(n, _B)[:n], dtype=np.uint64)])
+    inverse = _powers(n + 1, _B_INV)
+
+    def run(at, count):  # hash of ``count`` words from each place
+        return _mix((sums[at + count] - sums[at]) * inverse[at] + np.asarray(count, np.uint64))
+
+    k = _mix((sums[anchor:] - sums[:-anchor]) * inverse[: n - anchor + 1])
+    span, width = window - anchor + 1, 1
+    least, have = k, np.arange(len(k), dtype=np.int32)  # least hash of a power of two of runs, the first of equals
     while width * 2 <= span:
-        a, b = least[: len(least) - width], least[width:]
-        take = b < a
-        least, have = np.where(take, b, a), np.where(take, have[width:], have[: len(have) - width])
+        take = least[width:] < least[:-width]
+        least, have = np.where(take, least[width:], least[:-width]), np.where(take, have[width:], have[:-width])
         width *= 2
-    a, b = least[: len(at)], least[span - width : span - width + len(at)]
-    where = np.where(b < a, have[span - width : span - width + len(at)], have[: len(at)])
-    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    last = span - width
+    take = least[last:] < least[: len(least) - last]
+    where = np.where(take, have[last:], have[: len(have) - last])
+    fit = np.maximum(0, size - window + 1)  # windows of each text; none reaches into the next one
+    text = np.repeat(np.arange(len(texts)), fit)
+    at = np.arange(int(fit.sum())) + np.repeat(start - (np.cumsum(fit) - fit), fit)
+    where = where[at]
+    first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (text[1:] != text[:-1])])) if len(at) else np.empty(0, np.int64)
     count = np.diff(np.concatenate([first, [len(at)]]))
-    whole = _mix(run(first, count + window - 1) + (where[first] - first).astype(np.uint64))
-    return first, count, k[where[first]], whole, run(at, window)
+    head = at[first]
+    whole = _mix(run(head, count + window - 1) + (where[first] - head).astype(np.uint64))
+    return text[first], head - start[text[first]], count, k[where[first]], whole, run(at, window)
 
 
 def _words(part: pa.RecordBatch) -> list[list[bytes]]:
-    return [t.encode().split() if t else [] for t in part.column("text").to_pylist()]
+    return [t.split() if t else [] for t in utf8(part.column("text"))]
 
 
 def _bits(anchors: np.ndarray, m: int) -> list[np.ndarray]:
@@ -123,8 +131,8 @@ def duplicate_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -
 
     def anchors(batches):
         for part in sliced(batches):
-            got = [blocks(w, window) for w in _words(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[i] for g in got]).view(np.int64)) for i in (2, 3)], ["anchor", "whole"])
+            got = blocks(_words(part), window)
+            yield pa.RecordBatch.from_arrays([pa.array(got[i].view(np.int64)) for i in (3, 4)], ["anchor", "whole"])
 
     index = docs.select("text").mapInArrow(anchors, "anchor bigint, whole bigint")
     index = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
@@ -137,19 +145,15 @@ def duplicate_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -
     def candidates(batches):
         same, differ = shared.value
         for part in sliced(batches):
-            out = [[], [], [], [], []]  # row, first, n, anchor, key; n = 0: a single window
-            for row, words in enumerate(_words(part)):
-                first, count, anchor, whole, single = blocks(words, window)
-                if not len(first):
-                    continue
+            text, first, count, anchor, whole, single = blocks(_words(part), window)
+            if len(text):
                 inside = _in(differ, anchor)
                 alone = _in(same, anchor) & ~inside
-                each = np.repeat(np.arange(len(first)), np.where(inside, count, 0))
+                each = np.repeat(np.arange(len(text)), np.where(inside, count, 0))
                 at = np.flatnonzero(np.repeat(inside, count))
-                for o, x in zip(out, (np.full(int(alone.sum()) + len(at), row), np.concatenate([first[alone], at]), np.concatenate([count[alone], np.zeros(len(at), np.int64)]), np.concatenate([anchor[alone], anchor[each]]), np.concatenate([whole[alone], single[at]]))):
-                    o.append(x)
-            if out[0]:
-                row, first, count, anchor, key = map(np.concatenate, out)
+                place = first[each] + at - np.repeat(np.cumsum(count) - count, np.where(inside, count, 0))
+                row, count = np.concatenate([text[alone], text[each]]), np.concatenate([count[alone], np.zeros(len(at), np.int64)])  # 0: a single window
+                first, anchor, key = np.concatenate([first[alone], place]), np.concatenate([anchor[alone], anchor[each]]), np.concatenate([whole[alone], single[at]])
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("tk").take(row), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64))], ["doc_id", "tk", "first", "n", "anchor", "key"])
 
