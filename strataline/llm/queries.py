@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, lm, quality, secrets, simhash, substrings, toxicity
+from . import ann, decontaminate, lines, lm, mixing, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_query,
     "op2_decontaminate": decontaminate.op2_query,
+    "op3_mixing": mixing.op3_query,
     "op4_neighbours": ann.op4_query,
     "op5_simhash": simhash.op5_query,
     "op6_quality": quality.op6_query,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op10_substrings": substrings.OP10_SQL,
 }
