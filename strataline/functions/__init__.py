@@ -1 +1 @@
-
+"""Column functions: text, digests, URIs, schedules."""
