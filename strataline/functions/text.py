@@ -7,7 +7,7 @@ import unicodedata
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -51,27 +51,46 @@ def normalized_exact(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold().strip())
 
 
-def tokens_of(folded: Column) -> Column:
-    """Search tokens of an already normalized text, in order and with repeats.
+def words(folded: Column) -> Column:
+    """Runs of CJK, and other words with their compounds whole, of an already normalized text."""
+    return F.regexp_extract_all(folded, F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def is_plain(word: Column) -> Column:
+    """Neither a compound nor CJK: one token at most."""
+    return ~word.rlike(r"[_./:\x{3400}-\x{9fff}-]")
+
+
+def word_tokens(word: Column) -> Column:
+    """The tokens of one word of ``words``; the costly cases are only evaluated for words that need them.
 
     A CJK run of up to 16 characters is a token, and so is each pair in a run of over two. Any other word is
     a token unless it is a stop word; a compound also yields its parts.
     """
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    none = F.array().cast("array<string>")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1)), lambda i: F.substr(word, i, F.lit(2)))
+    cjk = F.concat(F.when(F.length(word) <= 16, F.array(word)).otherwise(none), F.when(F.length(word) > 2, pairs).otherwise(none))
+    parts = F.split(word, JOINERS)
+    compound = F.filter(F.concat(F.array(word), F.when(F.size(parts) > 1, parts).otherwise(none)), lambda p: (p != "") & ~p.isin(*STOP_WORDS))
+    return F.when(is_plain(word), F.when(word.isin(*STOP_WORDS), none).otherwise(F.array(word))).when(word.rlike(CJK_RUN), cjk).otherwise(compound)
 
-    def spread(w):
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.substr(w, i, F.lit(2)))
-        none = F.array().cast("array<string>")
-        cjk = F.concat(F.when(F.length(w) <= 16, F.array(w)).otherwise(none), F.when(F.length(w) > 2, pairs).otherwise(none))
-        parts = F.split(w, JOINERS)
-        plain = F.concat(F.array(w), F.when(F.size(parts) > 1, parts).otherwise(none))
-        return F.when(w.rlike(CJK_RUN), cjk).otherwise(F.filter(plain, lambda p: (p != "") & ~F.array_contains(stop, p)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(folded, F.lit(TOKEN_PATTERN), F.lit(0)), spread))
+def tokens(text: Column) -> Column:
+    """Search tokens of a text, in order and with repeats, as one array: for short texts (queries, titles)."""
+    return F.flatten(F.transform(words(normalized(F.coalesce(text, F.lit("")))), word_tokens))
 
 
-def tokens(text: Column) -> Column:
-    return tokens_of(normalized(F.coalesce(text, F.lit(""))))
+def explode_tokens(rows: DataFrame, text: Column, keep: list[str], name: str = "token", distinct: bool = False) -> DataFrame:
+    """A row for each token of long texts: exploded words run through compiled code, unlike a lambda over an array."""
+    found = words(normalized(F.coalesce(text, F.lit(""))))
+    each = rows.select(*keep, F.explode(F.array_distinct(found) if distinct else found).alias("__w"))
+    return each.select(*keep, F.explode(word_tokens(F.col("__w"))).alias(name))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if a table of a few files gives less partitions than there are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
 
 
 def secret_classes(text: Column) -> Column:

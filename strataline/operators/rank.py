@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import normalized, tokens
+from ..functions.text import STOP_WORDS, is_plain, normalized, spread, word_tokens, words
 
 # What a hit in each field weighs, and the constants of the saturation.
 FIELD_WEIGHTS = {"title": 4.0, "aliases": 4.0, "topics": 2.0, "summary": 2.5, "conditions": 1.0, "body": 1.0, "sources": 0.6}
@@ -17,42 +17,46 @@ K1, B = 1.2, 0.75
 TITLE_BONUS, DOMAIN_BOOST, MODE_BOOST = 2.0, 1.15, 1.15
 
 
-def _is(term: str):
-    return lambda x: x == term
+def _count(word: Column, term: str | None = None) -> Column:
+    """How many tokens a word yields, or how many of them are one term."""
+    if term is None:
+        return F.when(is_plain(word), (~word.isin(*STOP_WORDS)).cast("int")).otherwise(F.size(word_tokens(word)))
+    return F.when(is_plain(word), (word == term).cast("int")).otherwise(F.size(F.filter(word_tokens(word), lambda x: x == term)))
 
 
-def bm25(records: DataFrame, terms: list[str], fields: dict[str, Column], weights: dict[str, float] | None = None) -> DataFrame:
+def bm25(records: DataFrame, terms: list[str], fields: dict[str, Column], weights: dict[str, float] | None = None, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """records that hold a term in a field, with ``score``, ``hit_terms`` and ``hit_fields``.
 
     The number of records, the document frequencies (over the union of the fields) and the mean field lengths
-    are those of ``records``, which the caller has filtered. One pass counts the query's terms in each row and
-    one single-row aggregate joins the rows: nothing is shuffled by term or by record.
+    are those of ``records``, which the caller has filtered. Words are exploded and summed back to one row a
+    record before anything is shuffled; the statistics are a single row, and only hits meet their records again.
     """
     weights, terms = weights or FIELD_WEIGHTS, sorted(set(terms))
     if not terms:
-        return records.select("*", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("hit_terms"), F.array().cast("array<string>").alias("hit_fields")).limit(0)
-    wanted = F.array(*[F.lit(t) for t in terms])
-    rows = records.select("*", *[tokens(c).alias(f"__t_{f}") for f, c in fields.items()])
-    # The tokens are computed once: this Generate keeps them from being inlined into each use.
-    rows = rows.withColumn("__one", F.explode(F.array(F.struct(*[F.struct(F.size(f"__t_{f}").alias("n"), F.filter(f"__t_{f}", lambda t: F.array_contains(wanted, t)).alias("hits")).alias(f) for f in fields])))).drop(*[f"__t_{f}" for f in fields])
-    count = {(f, t): F.size(F.filter(F.col(f"__one.{f}.hits"), _is(t))) for f in fields for t in terms}
-    rows = rows.withColumn("__tf", F.explode(F.array(F.struct(*[count[f, t].alias(f"{f}_{i}") for f in fields for i, t in enumerate(terms)]))))
-    tf = {(f, t): F.col(f"__tf.{f}_{i}") for f in fields for i, t in enumerate(terms)}
-    found = {t: reduce(lambda a, b: a | b, [tf[f, t] > 0 for f in fields]) for t in terms}
+        none = F.array().cast("array<string>")
+        return records.select("*", F.lit(0.0).alias("score"), none.alias("hit_terms"), none.alias("hit_fields")).limit(0)
+    texts = F.array(*[F.struct(F.lit(f).alias("f"), words(normalized(F.coalesce(F.col(f"f_{f}"), F.lit("")))).alias("w")) for f in fields])
+    each = spread(records.select(*key, *[c.alias(f"f_{f}") for f, c in fields.items()])).select(*key, F.explode(texts).alias("x")).select(*key, "x.f", F.explode_outer("x.w").alias("w"))
+    word, of = F.col("w"), {f: F.col("f") == f for f in fields}
+    n = {f: F.sum(F.when(of[f] & word.isNotNull(), _count(word)).otherwise(0)).alias(f"n_{f}") for f in fields}
+    tf = {(f, i): F.sum(F.when(of[f] & word.isNotNull(), _count(word, t)).otherwise(0)).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)}
+    rows = each.groupBy(*key).agg(*n.values(), *tf.values())
+    at = {(f, i): F.col(f"tf_{f}_{i}") for f in fields for i in range(len(terms))}
+    found = [reduce(lambda a, b: a | b, [at[f, i] > 0 for f in fields]) for i in range(len(terms))]
     stats = rows.agg(
-        F.count("*").alias("__n"),
-        *[F.greatest(F.lit(1.0), F.avg(f"__one.{f}.n")).alias(f"__avg_{f}") for f in fields],
-        *[F.count_if(found[t]).alias(f"__df_{i}") for i, t in enumerate(terms)],
-    )
-    rows = rows.crossJoin(F.broadcast(stats))  # one row
-    rarity = [F.log1p((F.col("__n") - F.col(f"__df_{i}") + 0.5) / (F.col(f"__df_{i}") + 0.5)) for i in range(len(terms))]
-    norm = {f: K1 * ((1 - B) + B * F.col(f"__one.{f}.n") / F.col(f"__avg_{f}")) for f in fields}
-    score = reduce(add, [weights[f] * rarity[i] * tf[f, t] * (K1 + 1) / (tf[f, t] + norm[f]) for f in fields for i, t in enumerate(terms)])
-    keep = lambda pairs: F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in pairs]), lambda x: x.isNotNull())
-    return rows.where(reduce(lambda a, b: a | b, found.values())).select(
-        *records.columns, score.alias("score"), keep([(t, found[t]) for t in terms]).alias("hit_terms"),
-        keep([(f, reduce(lambda a, b: a | b, [tf[f, t] > 0 for t in terms])) for f in sorted(fields)]).alias("hit_fields"),
+        F.count("*").alias("__n"), *[F.greatest(F.lit(1.0), F.avg(f"n_{f}")).alias(f"avg_{f}") for f in fields],
+        *[F.count_if(found[i]).alias(f"df_{i}") for i in range(len(terms))],
     )
+    hits = rows.crossJoin(F.broadcast(stats)).where(reduce(lambda a, b: a | b, found))  # one row
+    rarity = [F.log1p((F.col("__n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)) for i in range(len(terms))]
+    norm = {f: K1 * ((1 - B) + B * F.col(f"n_{f}") / F.col(f"avg_{f}")) for f in fields}
+    score = reduce(add, [weights[f] * rarity[i] * at[f, i] * (K1 + 1) / (at[f, i] + norm[f]) for f in fields for i in range(len(terms))])
+    keep = lambda pairs: F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in pairs]), lambda x: x.isNotNull())
+    hits = hits.select(
+        *key, score.alias("score"), keep(list(zip(terms, found))).alias("hit_terms"),
+        keep([(f, reduce(lambda a, b: a | b, [at[f, i] > 0 for i in range(len(terms))])) for f in sorted(fields)]).alias("hit_fields"),
+    )
+    return records.join(hits, list(key)).select(*records.columns, "score", "hit_terms", "hit_fields")
 
 
 def boosted(scored: DataFrame, query: str, title: Column, domain: Column | None = None, wanted_domain: str | None = None, places: int = 6) -> DataFrame:

@@ -254,7 +254,7 @@ def read_by_ids_missing(spark, d):
 
 
 def _terms(spark, d):
-    return doc_records(spark, d).select("id", F.explode(T.tokens(F.col("body"))).alias("term"))
+    return T.explode_tokens(T.spread(doc_records(spark, d)), F.col("body"), ["id"], "term")
 
 
 _EXPLODED = f"{DOCS}, x AS (SELECT id, unnest({sql_tokens('body')}) AS term FROM r)"
@@ -267,14 +267,18 @@ def tokens_explode(spark, d):
 
 @query(f"WITH {_EXPLODED} SELECT term, count(DISTINCT id) AS df FROM x GROUP BY term")
 def term_df(spark, d):
-    once = doc_records(spark, d).select(F.explode(F.array_distinct(T.tokens(F.col("body")))).alias("term"))  # ids are unique: a row a document and term
+    once = T.explode_tokens(T.spread(doc_records(spark, d)), F.col("body"), ["id"], "term", distinct=True).distinct()
     return once.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {DOCS} SELECT greatest(1.0, avg(len({sql_tokens('title')}))) AS title_len, greatest(1.0, avg(len({sql_tokens('body')}))) AS body_len, count(*) AS n FROM r")
 def field_lengths(spark, d):
-    n = lambda c: F.greatest(F.lit(1.0), F.avg(F.size(T.tokens(F.col(c)))))
-    return doc_records(spark, d).agg(n("title").alias("title_len"), n("body").alias("body_len"), F.count("*").alias("n"))
+    r = T.spread(doc_records(spark, d))
+    n = r.agg(F.count("*").alias("n"))
+    for c in ("title", "body"):
+        n = n.crossJoin(T.explode_tokens(r, F.col(c), ["id"]).agg(F.count("*").alias(f"{c}_n")))  # rows of one
+    mean = lambda c: F.greatest(F.lit(1.0), F.col(f"{c}_n") / F.col("n")).alias(f"{c}_len")
+    return n.select(mean("title"), mean("body"), "n")
 
 
 def scored(spark, d):
@@ -360,7 +364,7 @@ def _sql_redact(x):
 
 @query(f"SELECT doc_id AS id, sha256({_sql_redact('text')}) AS digest FROM documents")
 def redact_text(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(T.redact(F.col("text")), 256).alias("digest"))
+    return T.spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.sha2(T.redact(F.col("text")), 256).alias("digest"))
 
 
 # ---- relations, packing
