@@ -44,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.made: list[DataFrame] = []
         atexit.register(_forget, spark, self.root)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -52,8 +53,14 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.made.append(out)
         return out
 
+    def only(self, *tables: DataFrame) -> None:
+        """Deletes all but these."""
+        self.drop(*[t for t in self.made if not any(t is k for k in tables)])
+        self.made = list(tables)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _forget(self.spark, t._scratch_path)

@@ -82,7 +82,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = scratch.table(later_copies(pick(docs, "doc_id", "text"), min_lines, scratch), "gone").withColumnsRenamed({"doc_id": "g_id", "tk": "g_tk", "starts": "g_starts"})
+    gone = scratch.table(later_copies(pick(docs, "doc_id", "text"), min_lines, scratch), "gone")
+    scratch.only(gone)
+    gone = gone.withColumnsRenamed({"doc_id": "g_id", "tk": "g_tk", "starts": "g_starts"})
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     both = rows.join(gone.hint("shuffle_hash"), doc_id.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_tk")), "left").drop("g_id", "g_tk")

@@ -124,10 +124,11 @@ def duplicate_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -
     """(doc_id, tk, first, n): runs of windows of docs(doc_id, tk, text) whose words start somewhere else too.
 
     Each document is parsed into blocks, and every block of the corpus is indexed by its anchor. A block that
-    is indexed elsewhere as a whole is one factor. Where the blocks of an anchor differ, their factors end
-    inside them, and each of their windows is looked up by itself. Copies are only ever counted.
+    is indexed elsewhere as a whole is one factor. Where the blocks of an anchor differ, their factors may end
+    inside them: one copy of each such block has its windows looked up one by one. Copies are only counted,
+    so a group of many exact copies of a block costs one row a copy and one set of windows.
     """
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches):
         for part in sliced(batches):
@@ -148,20 +149,41 @@ def duplicate_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -
             text, first, count, anchor, whole, single = blocks(_words(part), window)
             if len(text):
                 inside = _in(differ, anchor)
-                alone = _in(same, anchor) & ~inside
-                each = np.repeat(np.arange(len(text)), np.where(inside, count, 0))
-                at = np.flatnonzero(np.repeat(inside, count))
-                place = first[each] + at - np.repeat(np.cumsum(count) - count, np.where(inside, count, 0))
-                row, count = np.concatenate([text[alone], text[each]]), np.concatenate([count[alone], np.zeros(len(at), np.int64)])  # 0: a single window
-                first, anchor, key = np.concatenate([first[alone], place]), np.concatenate([anchor[alone], anchor[each]]), np.concatenate([whole[alone], single[at]])
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("tk").take(row), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64))], ["doc_id", "tk", "first", "n", "anchor", "key"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = scratch.table(docs.mapInArrow(candidates, f"doc_id {id_type}, tk bigint, first int, n int, anchor bigint, key bigint"), "candidates")
-    twice = rows.groupBy("anchor", "key", F.col("n").alias("m")).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    hit = rows.join(twice, (rows.anchor == twice.anchor) & (rows.key == twice.key) & (rows.n == twice.m))
-    return hit.select("doc_id", "tk", "first", F.greatest("n", F.lit(1)).alias("n"))
+                take = np.flatnonzero(inside | _in(same, anchor))
+                ends = np.cumsum(count)
+                singles = [single[e - c : e].tobytes() if i else None for e, c, i in zip(ends[take].tolist(), count[take].tolist(), inside[take].tolist())]
+                row = pa.array(text[take])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(row), part.column("tk").take(row), pa.array(first[take].astype(np.int32)), pa.array(count[take].astype(np.int32)), pa.array(anchor[take].view(np.int64)), pa.array(whole[take].view(np.int64)), pa.array(singles, pa.binary())],
+                    ["doc_id", "tk", "first", "n", "anchor", "whole", "singles"],
+                )
+
+    rows = scratch.table(docs.mapInArrow(candidates, f"doc_id {id_type}, tk bigint, first int, n int, anchor bigint, whole bigint, singles binary"), "candidates")
+    # Each distinct block once: how often it is there, and one place of it (its only one, if it is there once).
+    place = F.min(F.struct("doc_id", "tk", "first", "n")).alias("place")
+    each = scratch.table(rows.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), place), "blocks")
+    again = rows.drop("singles").join(each.where("copies > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc_id", "tk", "first", "n")
+
+    def unpack(batches):
+        for part in sliced(batches, 4096):
+            sets = [np.frombuffer(s, np.int64) for s in part.column("singles").to_pylist()]
+            size = np.array([len(s) for s in sets], np.int64)
+            row = pa.array(np.repeat(np.arange(len(sets)), size))
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            key = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+            first = part.column("first").to_numpy(zero_copy_only=False)[np.asarray(row)] + at
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("tk").take(row), pa.array(first.astype(np.int32)), part.column("alone").take(row), part.column("anchor").take(row), key], ["doc_id", "tk", "first", "alone", "anchor", "key"])
+
+    # The windows of one copy of each block whose anchor has others: the row that holds its place.
+    held = each.select((F.col("copies") == 1).alias("alone"), F.col("place.doc_id").alias("p_id"), F.col("place.tk").alias("p_tk"), F.col("place.first").alias("p_first"), F.col("anchor").alias("p_anchor"), F.col("whole").alias("p_whole"))
+    one = rows.where("singles IS NOT NULL").join(held, (rows.anchor == held.p_anchor) & (rows.whole == held.p_whole) & rows.doc_id.eqNullSafe(held.p_id) & (rows.tk == held.p_tk) & (rows["first"] == held.p_first))
+    one = one.select("doc_id", "tk", "first", "alone", "anchor", "singles")
+    windows = scratch.table(one.mapInArrow(unpack, f"doc_id {id_type}, tk bigint, first int, alone boolean, anchor bigint, key bigint"), "windows")
+    scratch.drop(index)
+    # A window that two blocks have is found in another place; a block that is there twice is a factor already.
+    twice = windows.groupBy("anchor", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    inner = windows.where("alone").join(twice, ["anchor", "key"]).select("doc_id", "tk", "first", F.lit(1).alias("n"))
+    return again.unionByName(inner)
 
 
 def duplicate_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -196,7 +218,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = pick(docs, "doc_id", "text").withColumn("tk", F.xxhash64("text"))  # a row is known by its id and its text
-    spans = scratch.table(duplicate_spans(rows, scratch, window), "spans").withColumnsRenamed({"doc_id": "s_id", "tk": "s_tk"})
+    spans = scratch.table(duplicate_spans(rows, scratch, window), "spans")
+    scratch.only(spans)
+    spans = spans.withColumnsRenamed({"doc_id": "s_id", "tk": "s_tk"})
     both = rows.join(spans.hint("shuffle_hash"), rows.doc_id.eqNullSafe(spans.s_id) & (rows.tk == spans.s_tk), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
