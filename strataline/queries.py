@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import access, extract, graph, lifecycle, rank, report, review, transcripts
+from .operators import access, extract, graph, lifecycle, preferences, rank, report, review, transcripts, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -617,3 +617,40 @@ def missing_source_files(spark, d):
     r = doc_records(spark, d).withColumn("sources", F.array(F.struct(F.concat(F.lit("file:///data/"), "project_id", F.lit("/"), F.col("id") % 11).alias("uri"))))
     files = table(spark, d, "nation").select(F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"), "n_nationkey").select(F.concat(F.lit("file:///data/src"), F.col("n_nationkey"), F.lit("/"), F.col("k")).alias("uri"))
     return review.missing_sources(r, files)
+
+
+# ---- preferences and views
+
+
+def _claims(spark, d):
+    state = F.when(F.col("event_type") == "click", "candidate").when(F.col("event_type") == "purchase", "active").when(F.col("event_type") == "error", "withdrawn")
+    return table(spark, d, "events").select(F.col("user_id").alias("record_id"), F.col("event_id").alias("seq"), state.alias("state"), F.when(F.col("event_type") == "view", F.col("value") > 10).alias("retired"))
+
+
+_CLAIMS = """c AS (SELECT user_id AS record_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'candidate' WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'withdrawn' END AS state, CASE WHEN event_type = 'view' THEN value > 10 END AS retired FROM events)"""
+
+
+@query(f"""WITH {_CLAIMS}, f AS (SELECT record_id, arg_max(state, seq) FILTER (state IS NOT NULL) AS state, coalesce(arg_max(retired, seq) FILTER (retired IS NOT NULL), false) AS retired FROM c GROUP BY 1)
+  SELECT record_id, CASE WHEN record_id % 10 = 0 THEN 'superseded' WHEN state = 'active' AND retired THEN 'retired' ELSE state END AS shown FROM f""")
+def preference_state(spark, d):
+    return preferences.fold(_claims(spark, d)).select("record_id", preferences.displayed(F.col("state"), F.col("retired"), F.col("record_id") % 10 == 0).alias("shown"))
+
+
+@query(f"""WITH {_CLAIMS}, b AS (SELECT record_id, seq, state, coalesce(lag(state) OVER (PARTITION BY record_id ORDER BY seq), 'start') AS before FROM c WHERE state IS NOT NULL)
+  SELECT record_id, seq, before, state FROM b WHERE (before, state) NOT IN (('start', 'candidate'), ('candidate', 'active'), ('active', 'withdrawn'))""")
+def preference_transitions(spark, d):
+    return preferences.illegal_transitions(_claims(spark, d))
+
+
+@query(f"""WITH {ORDERS} SELECT a.id, EXISTS (SELECT 1 FROM r b WHERE b.parent = a.id AND b.kind = a.kind) AS is_replaced FROM r a""")
+def narrative_replaced(spark, d):
+    r = order_records(spark, d).withColumn("replaces", F.when(F.col("parent").isNotNull(), F.array(F.concat(F.lit("record:"), "parent"))).otherwise(F.array().cast("array<string>")))
+    return views.replaced(r, ["kind"]).select("id", "is_replaced")
+
+
+@query("""WITH b AS (SELECT o_orderkey AS unit, o_custkey AS source_id, o_totalprice > 200000 AS moved FROM orders), s AS (SELECT c_custkey AS source_id FROM customer WHERE c_mktsegment <> 'BUILDING')
+  SELECT CAST(unit AS VARCHAR) AS unit, CASE WHEN s.source_id IS NULL THEN 'unavailable' WHEN moved THEN 'needs-check' ELSE 'as-of' END AS label FROM b LEFT JOIN s USING (source_id)""")
+def unit_freshness(spark, d):
+    u = table(spark, d, "orders").select(F.lit("v").alias("view"), F.col("o_orderkey").cast("string").alias("unit"), F.array(F.struct(F.col("o_custkey").cast("string").alias("source_id"), F.when(F.col("o_totalprice") > 200000, "old").otherwise("d").alias("digest"))).alias("bindings"))
+    s = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("source_id"), F.lit("d").alias("digest"))
+    return views.freshness(u, s).select("unit", "label")

@@ -22,6 +22,19 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("raw <> ''").withColumn("line", F.col("line") + 1)
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, text, digest of whole documents: one event each, said by the owner."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("digest"), F.lit("owner").alias("role"))
+
+
+def header(rows: DataFrame, fields: dict[str, str], most: int = 64) -> DataFrame:
+    """path and the first non-null value of each field (name -> path in the JSON) within a file's first lines."""
+    v = rows.where(F.col("line") <= most).select("path", "line", F.try_parse_json("raw").alias("v"))
+    got = {n: F.try_variant_get("v", p, "string") for n, p in fields.items()}
+    return v.groupBy("path").agg(*[F.min_by(c, F.when(c.isNotNull(), F.col("line"))).alias(n) for n, c in got.items()])
+
+
 def frames(path: str, start: int, end: int, most: int = MAX_EVENT) -> Iterator[tuple]:
     """Rows for the whole lines of [start, end); an oversized or undecodable line is a gap, a partial last line nothing."""
     with open(path, "rb") as f:

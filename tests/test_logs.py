@@ -130,4 +130,11 @@ def test_listing(spark, tmp_path):
         (tmp_path / f"{n}.txt").write_text(n)
     first = logs.listing(spark, str(tmp_path), limit=2).collect()
     assert [r.path[-5:] for r in logs.listing(spark, str(tmp_path), after=first[-1].path).collect()] == ["c.txt"]
+    assert {(r.text, r.role) for r in logs.documents(spark, str(tmp_path)).collect()} == {("a", "owner"), ("b", "owner"), ("c", "owner")}
     assert logs.namespace(spark, str(tmp_path)).select(F.countDistinct("digest")).first()[0] == 3
+
+
+def test_header_looks_at_first_lines_only(spark, tmp_path):
+    path = write(tmp_path / "h.jsonl", [{"x": 1}, {"cwd": "/a", "s": "1"}, {"cwd": "/b"}, *[{"x": 1}] * 70, {"late": "no"}])
+    row = logs.header(logs.lines(spark, path), {"cwd": "$.cwd", "session": "$.s", "late": "$.late"}).first()
+    assert (row.cwd, row.session, row.late) == ("/a", "1", None)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from strataline.operators import access, graph, lifecycle, report, review, views
+from strataline.operators import access, graph, lifecycle, preferences, report, review, views
 
 
 def ids(df, c="id"):
@@ -87,3 +87,13 @@ def test_views(spark):
     assert [x.line for x in views.excerpt(f, ["deploy", "api"], 1).orderBy("line").collect()] == [4, 5, 6]
     p = views.bound_profiles(spark.createDataFrame([("p",), ("q",)], "project_id string"), spark.createDataFrame([("a", "p", True), ("b", None, True), ("c", None, False)], "profile string, project_id string, eligible boolean"))
     assert {x.project_id: x.profile for x in p.collect()} == {"p": "a", "q": "b"}
+
+
+def test_preferences(spark):
+    e = spark.createDataFrame([("a", 1, "candidate", None), ("a", 2, "active", None), ("a", 3, None, True), ("b", 1, "active", None), ("c", 1, "candidate", None), ("c", 2, "active", True), ("c", 3, "withdrawn", None)], "record_id string, seq int, state string, retired boolean")
+    assert {r.record_id: (r.state, r.retired) for r in preferences.fold(e).collect()} == {"a": ("active", True), "b": ("active", False), "c": ("withdrawn", True)}
+    assert [(r.record_id, r.before) for r in preferences.illegal_transitions(e).collect()] == [("b", "start")]
+    p = spark.createDataFrame([("1", "active", [], [], []), ("2", "active", ["m"], ["p"], []), ("3", "active", ["n"], [], []), ("4", "withdrawn", [], [], [])], "id string, state string, task_modes array<string>, projects array<string>, scenarios array<string>")
+    assert ids(preferences.applicable(p, "m", "p")) == ["1", "2"] and ids(preferences.applicable(p, None)) == ["1", "2", "3"]
+    c = spark.createDataFrame([("t", "x", "c", ["e1", "e2"], [])], "topic string, text string, conditions string, exceptions array<string>, counterevidence array<string>")
+    assert c.select(preferences.rendered().alias("r")).first()["r"] == "t: x\nWhen: c\nExcept: e1; e2"
