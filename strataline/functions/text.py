@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from hashlib import sha256
 
@@ -88,7 +89,13 @@ def explode_tokens(rows: DataFrame, text: Column, keep: list[str], name: str = "
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores, if a table of a few files gives less partitions than there are."""
+    """rows over all cores, if a table of a few files gives less partitions than there are.
+
+    Plans that shuffle anyway are left alone (counting their partitions would run them).
+    """
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"\b(Join|Aggregate|Window|Sort|Repartition\w*|GlobalLimit|Union)\b", plan):
+        return rows
     n = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
 

@@ -164,11 +164,6 @@ class LogSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
     spark.dataSource.register(LogSource)
 
 
