@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from strataline.llm import decontaminate, lines, mixing, quality, simhash
+from strataline.llm import decontaminate, lines, mixing, nearcopies, quality
 from strataline.llm.common import Scratch, crc_bucket
 
 #: Below this score a document is rejected.
@@ -32,11 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of least doc_id (of equal ids the least text hash, once)."""
-    ids = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    kept = docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("kept_n", F.row_number().over(first)).where("kept_n = 1").select(*docs.columns)
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more): the one of least doc_id."""
+    groups = nearcopies.near_copies(docs).groupBy("group")
+    return groups.agg(F.min_by(F.struct(*docs.columns), "doc_id").alias("kept")).select("kept.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +51,7 @@ def mixing_sample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_filter),
     ("line dedup", line_dedup),
-    ("simhash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing to target weights", mixing_sample),
 ]
