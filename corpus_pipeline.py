@@ -31,9 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more): the one of least doc_id."""
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more): the one of least
+    doc_id, null ids last; of equal ids the one of least text hash, and any one of rows that agree in both."""
+    order = F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text"))
     groups = nearcopies.near_copies(docs).groupBy("group")
-    return groups.agg(F.min_by(F.struct(*docs.columns), "doc_id").alias("kept")).select("kept.*")
+    return groups.agg(F.min_by(F.struct(*docs.columns), order).alias("kept")).select("kept.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,11 @@ def test_pipeline_stage_joins_near_copies(spark):
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(brute(texts))
+
+
+def test_one_document_of_each_group_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d + " x"), (2, c + " y"), (2, a + " z"), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "-")[0]) for r in got) == [(0, "b"), (1, "c"), (1, "d"), (2, "a"), (3, "-")]
