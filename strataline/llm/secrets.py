@@ -41,6 +41,12 @@ def _allowed(patterns: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join(f"(?:{p})" for p in patterns))
 
 
+@functools.lru_cache
+def _runs(classes) -> list[tuple[re.Pattern, int, float]]:
+    """For each class the pattern of its longest runs, as long as a candidate at least; window length and threshold."""
+    return [(re.compile(f"[{re.escape(members)}]{{20,}}"), size, least) for _, members, size, least in classes]
+
+
 def entropy_windows(s: str, size: int) -> np.ndarray:
     """Shannon entropy in bits of each window of ``size`` characters, from counts kept up incrementally.
 
@@ -65,21 +71,32 @@ def entropy_windows(s: str, size: int) -> np.ndarray:
 
 
 def entropy_spans(text: str, classes=CLASSES, allow: tuple[str, ...] = ALLOW) -> list[tuple[int, int]]:
-    """Merged windows of high entropy inside candidate strings that the allow-list doesn't know."""
+    """Merged windows of high entropy inside candidate strings that the allow-list doesn't know.
+
+    Every class looks at its own longest runs inside a candidate (so a key joined to a name by a character of
+    another class is judged as bare), by its own window and threshold; the allow-list knows runs as well.
+    """
     allowed, out = _allowed(allow), []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if allowed.fullmatch(s):
-            continue
-        chars = set(s)
-        size, least = next(((w, h) for _, members, w, h in classes if chars <= set(members)), (0, 0.0))
-        if not size:
+        if allowed.fullmatch(m[0]):
             continue
-        hot = np.flatnonzero(entropy_windows(s, min(size, len(s))) >= least)
-        if len(hot):
-            cuts = np.flatnonzero(np.diff(hot) > size)
-            for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(hot) - 1]])):
-                out.append((m.start() + int(hot[a]), m.start() + int(hot[b]) + min(size, len(s))))
+        found = []
+        for run, size, least in _runs(classes):
+            for r in run.finditer(m[0]):
+                s, start = r[0], m.start() + r.start()
+                if allowed.fullmatch(s):
+                    continue
+                width = min(size, len(s))
+                hot = np.flatnonzero(entropy_windows(s, width) >= least)
+                if len(hot):
+                    cuts = np.flatnonzero(np.diff(hot) > size)
+                    for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(hot) - 1]])):
+                        found.append((start + int(hot[a]), start + int(hot[b]) + width))
+        for a, b in sorted(found):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
     return out
 
 
