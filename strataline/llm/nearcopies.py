@@ -1,8 +1,7 @@
-"""Near copies: all pairs of texts whose word shingles have a Jaccard similarity of a threshold or more."""
+"""SimHash near copies of word shingles: wide fingerprints compared in tiles, every link verified by its exact similarity."""
 
 from __future__ import annotations
 
-from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -11,12 +10,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, map_batches, pick, sliced, words_of
+from .common import Scratch, components, map_batches, pick, words_of
+from .simhash import SUB, majority
 
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE, LEAST = 5, Fraction(4, 5)
-#: Shingles of at least this many texts of a sample of one in SAMPLE come last in the order: at most HOT of them.
-SAMPLE, OFTEN, HOT = 4, 3, 1 << 18
+#: 64-bit words of a fingerprint; the first half of them is compared first.
+WIDE = 4
+#: Bits that may differ: in each half, and in all 256. Sets of similarity 0.8 differ in 39 of 256 bits (deviation 6), those of a
+#: few shingles in 48; unrelated ones in 128 (deviation 8).
+RADIUS_HALF, RADIUS = 44, 76
+#: Sets of fewer shingles than this have no other set of similarity 0.8.
+SMALL = 4
+#: Sets in a tile, at the mean.
+TILE = 32768
+_STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -30,53 +38,139 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     size = min(shingle, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
-        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
+        out = _mixed(out ^ h[k : k + len(out)], np.uint64(0x9E3779B97F4A7C15))
     out.sort()
     nth = np.arange(len(out)) - np.searchsorted(out, out)  # the second copy of a shingle is another member
     return np.unique(out ^ nth.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
+def _mixed(x: np.ndarray, step: np.uint64) -> np.ndarray:
+    x = x * step
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def node_of(s: np.ndarray) -> int:
     """A signed number that stands for a set of shingles: texts of equal sets are one node."""
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def prefix(s: np.ndarray, hot: np.ndarray, least: Fraction = LEAST) -> np.ndarray:
-    """The first shingles of a set, hot ones standing last: sets of similarity ``least`` share one of these."""
-    n = len(s)
-    size = n - -(-n * least.numerator // least.denominator) + 1
-    if len(hot):
-        at = np.searchsorted(hot, s)
-        last = hot[np.minimum(at, len(hot) - 1)] == s
-        s = np.concatenate([s[~last], s[last]])
-    return s[:size]
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """WIDE words of majority bits, each from another hash of the shingles."""
+    return np.concatenate([majority(s), *[majority(_mixed(s, step)) for step in _STEPS[: WIDE - 1]]])
 
 
-def often(texts: DataFrame) -> np.ndarray:
-    """Shingles of many texts of a sample; they decide the order of work, never the result."""
+def _bounds(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    cuts = [slice(i, i + SUB) for i in range(0, len(n), SUB)]
+    return np.array([n[c].min() for c in cuts]), np.array([n[c].max() for c in cuts]), cuts
 
-    def run(batches):
-        c: Counter = Counter()
 
-        def out():
-            keys = np.fromiter(c, np.uint64, len(c)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(c.values()), pa.int64())], ["s", "n"])
+def candidates(a: tuple, b: tuple, same: bool, least: Fraction = LEAST):
+    """Pairs (x, y, bits) of places in two tiles (n, fp) sorted by n: sizes that can be similar, fingerprints within the radius.
 
-        for part in sliced(batches):
-            for t in part.column("text").to_pylist():
-                c.update(shingles(t).tolist())
-            if len(c) > 500_000:
-                yield out()
-                c.clear()
-        yield out()
+    Sub-tiles are skipped where their sizes already rule the similarity out.
+    """
+    (n, fp), (m, gp) = a, b
+    p, q, half = least.numerator, least.denominator, WIDE // 2
+    alo, ahi, acuts = _bounds(n)
+    blo, bhi, bcuts = _bounds(m)
+    for i, cut in enumerate(acuts):
+        for j in np.flatnonzero((bhi * q >= alo[i] * p) & (ahi[i] * q >= blo * p)):
+            if same and j < i:
+                continue
+            far = np.bitwise_count(fp[0][cut][:, None] ^ gp[0][bcuts[j]][None, :])
+            for k in range(1, half):
+                far += np.bitwise_count(fp[k][cut][:, None] ^ gp[k][bcuts[j]][None, :])
+            x, y = np.nonzero(far <= RADIUS_HALF)
+            if not len(x):
+                continue
+            first = far[x, y].astype(np.int64)
+            x, y = x + cut.start, y + bcuts[j].start
+            rest = sum(np.bitwise_count(fp[k][x] ^ gp[k][y]).astype(np.int64) for k in range(half, WIDE))
+            ok = (rest <= RADIUS_HALF) & (first + rest <= RADIUS) & (np.minimum(n[x], m[y]) * q >= np.maximum(n[x], m[y]) * p)
+            if same:
+                ok &= x < y
+            if ok.any():
+                yield x[ok], y[ok], (first + rest)[ok]
+
+
+def leads(a: tuple, b: tuple, same: bool, least: Fraction = LEAST) -> np.ndarray:
+    """For every set of two tiles its nearest candidate, and the one that has the most close candidates of its own."""
+    size, off = len(a[0]) + (0 if same else len(b[0])), 0 if same else len(a[0])
+    near, at, close = np.full(size, 1 << 20), np.full(size, -1), np.zeros(size, np.int64)
+
+    def better(x, y, key, best, who):
+        order = np.lexsort((y, key, x))
+        x, y, key = x[order], y[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        x, y, key = x[first], y[first], key[first]
+        take = key < best[x]
+        best[x[take]], who[x[take]] = key[take], y[take]
+
+    for x, y, bits in candidates(a, b, same, least):
+        y = y + off
+        better(x, y, bits, near, at)
+        better(y, x, bits, near, at)
+        tight = bits <= RADIUS * 2 // 3
+        close += np.bincount(x[tight], minlength=size) + np.bincount(y[tight], minlength=size)
+    if not (at >= 0).any():
+        return np.empty((0, 2), np.int64)
+    most, hub = np.full(size, 1), np.full(size, -1)
+    for x, y, _ in candidates(a, b, same, least):
+        y = y + off
+        better(x, y, -close[y], most, hub)
+        better(y, x, -close[x], most, hub)
+    who = np.arange(size)
+    pairs = np.concatenate([np.stack([who, w], 1)[w >= 0] for w in (at, hub)])
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def tile_pairs(nodes: DataFrame, scratch: Scratch, open_only: bool, least: Fraction = LEAST, tile: int = TILE) -> DataFrame:
+    """(a, b): candidate pairs of nodes(node, n, fp, root), in open_only all those of different roots, else the leads.
+
+    Nodes are dealt into tiles by bands of their size, each 1 / least times as wide as the one before, so that a tile
+    meets its own band and the next one alone. A tile travels as packed arrays. The work grows with the square of the
+    sets in a band; memory for a task is two tiles, whatever the size.
+    """
+    spark, wide = nodes.sparkSession, float(1 / least)
+    band = F.floor(F.log("n") / F.lit(float(np.log(wide))) + F.lit(1e-9)).cast("int")
+    banded = nodes.withColumn("band", band)
+    parts = {r["band"]: -(-r["count"] // tile) for r in banded.groupBy("band").count().collect()}  # a few dozen bands
+    if not parts:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    meta = spark.createDataFrame(sorted(parts.items()), "band int, parts int")
+    dealt = banded.join(F.broadcast(meta), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    packed = dealt.groupBy("band", "part").agg(F.sort_array(F.collect_list(F.struct("n", "node", "root", "fp"))).alias("s"))  # tile rows, at the mean
+    packed = scratch.table(packed.select("band", "part", *[F.col(f"s.{c}").alias(c) for c in ("n", "node", "root")], F.flatten("s.fp").alias("fp")), "tiles")
+    left = packed.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("other")).join(F.broadcast(meta.selectExpr("band AS other", "parts")), "other")
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("opart")).where("other > band OR opart >= part")
+    right = packed.selectExpr("band AS other", "part AS opart", *[f"{c} AS o_{c}" for c in ("n", "node", "root", "fp")])
+    n_pairs = sum(k * (k + parts.get(b + 1, 0)) for b, k in parts.items())
+    pairs = left.join(right, ["other", "opart"]).repartition(max(1, min(n_pairs, 20000)), "band", "part", "other", "opart")
 
-    some = texts.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(SAMPLE)) == 0).select("text")
-    got = some.mapInArrow(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    got = got.orderBy(F.desc("n"), "s").limit(HOT).select("s").toArrow()  # HOT rows at most
-    return np.sort(got.column("s").to_numpy().view(np.uint64))
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                col = {c: row.column(c).flatten().to_numpy(zero_copy_only=False) for c in row.schema.names if row.schema.field(c).type.num_fields}
+                same = row.column("band").equals(row.column("other")) and row.column("part").equals(row.column("opart"))
+                a, b = ((col[o + "n"].astype(np.int64), np.ascontiguousarray(col[o + "fp"].view(np.uint64).reshape(-1, WIDE).T)) for o in ("", "o_"))
+                both = (col["node"], col["node"] if same else col["o_node"])
+                if open_only:
+                    got = []
+                    for x, y, _ in candidates(a, b, same, least):
+                        apart = col["root"][x] != (col["root"] if same else col["o_root"])[y]
+                        got.append((both[0][x[apart]], both[1][y[apart]]))
+                    for x, y in got:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                else:
+                    name = col["node"] if same else np.concatenate(both)
+                    pair = np.sort(name[leads(a, b, same, least)].reshape(-1, 2), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -86,8 +180,9 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     def run(part):
         good = []
         for x, y in zip(part.column("sa"), part.column("sb")):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            same = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            same = int((y[at] == x).sum())
             good.append(same * least.denominator >= least.numerator * (len(x) + len(y) - same))
         keep = pa.array(good, pa.bool_())
         return {"a": part.column("a").filter(keep), "b": part.column("b").filter(keep)}
@@ -98,62 +193,52 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
     """All rows and columns of docs, and ``group``: equal for rows that chains of links reach.
 
-    A link joins two texts whose five-word shingles have a Jaccard similarity of ``least`` or more. Shingles
-    count as often as they stand in a text, as in a SimHash, and are compared by 64-bit hashes. Null and word-less texts are one group. In a
-    common order of all shingles two such sets share one of their first ones, so every link is among the
-    pairs of a shingle's texts. Each text is compared with one text of the shingle first; the pairs that
-    are compared after that are those that this hasn't joined, so a large group of near copies is
-    never compared pair by pair.
+    A link joins two texts whose five-word shingles have a Jaccard similarity of ``least`` (0.8 or more) or more. Shingles
+    count as often as they stand in a text and are compared by 64-bit hashes. Texts of equal shingles are one node;
+    null and word-less texts are one group. SimHash fingerprints of 256 bits, compared exactly in tiles, propose
+    pairs: those within a radius that a pair of the similarity exceeds once in 10,000 cases at the very threshold, hardly
+    ever above it. The exact similarity of every proposed pair decides. First each node meets two others
+    of each tile (its nearest one, and the one with most close ones); after that all proposed pairs that this
+    hasn't joined are verified, so a large group of near copies isn't compared pair by pair. Empty tables
+    give no rows; a column of docs named group is replaced.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "nearcopies")
-    texts = pick(docs, "text").where("text IS NOT NULL")
-    hot = spark.sparkContext.broadcast(often(texts))  # HOT numbers at most
+    keyed = pick(docs, "text").where("text IS NOT NULL").select(F.xxhash64("text").alias("t"), "text")
 
     def first(part):
         sets = [shingles(t) for t in part.column("text").to_pylist()]
-        firsts = [prefix(s, hot.value, least).view(np.int64) for s in sets]
-        ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-        flat = np.concatenate([np.empty(0, np.int64), *firsts])
-        return {"t": part.column("t"), "node": pa.array([node_of(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "firsts": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
-
-    keyed = texts.select(F.xxhash64("text").alias("t"), "text")
-    made = scratch.table(map_batches(keyed, first, "t bigint, node bigint, n int, firsts array<bigint>"), "firsts")
-    own = scratch.table(made.select("t", "node").distinct(), "nodes")
-    nodes = made.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    index = nodes.select("node", "n", F.posexplode("firsts").alias("i", "s"))
-    shared = index.groupBy("s").agg(F.min(F.struct("node", "n", "i")).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    index = scratch.table(index.join(shared, "s"), "index")
-    scratch.drop(made)
-
-    p, q = least.numerator, least.denominator
-    # Sets that meet at places i and j have min(i, j) + 1 + min(n - i, m - j) - 1 shingles in common at most.
-    could = f"(least({{0}}.i, {{1}}.i) + least({{0}}.n - {{0}}.i, {{1}}.n - {{1}}.i)) * {p + q}L >= {p}L * ({{0}}.n + {{1}}.n)"
-    pairs = index.where("node <> lead.node").where(could.format("index", "lead").replace("index.", "")).selectExpr("lead.node AS a", "node AS b").distinct()
-    pairs = scratch.table(pairs, "pairs")
-
-    def sets_of(pairs):
-        """The whole sets of the nodes in some pairs, from one text of each."""
+        prints = np.concatenate([np.empty(0, np.uint64), *[wide_fingerprint(s) if len(s) >= SMALL else np.zeros(WIDE, np.uint64) for s in sets]]).view(np.int64)
+        ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WIDE)
+        return {"t": part.column("t"), "node": pa.array([node_of(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "fp": pa.ListArray.from_arrays(ends, pa.array(prints))}
+
+    own = scratch.table(map_batches(keyed, first, "t bigint, node bigint, n int, fp array<bigint>"), "own")
+    nodes = own.where(F.col("n") >= SMALL).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("t").alias("t"))
+    nodes = scratch.table(nodes.withColumn("root", F.col("node")), "nodes")
+
+    def check(pairs):
+        """The pairs that hold, by the whole sets of their nodes, from one text of each."""
         wanted = pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct()
-        one = own.join(wanted, "node").groupBy("node").agg(F.min("t").alias("t"))
+        one = scratch.table(nodes.join(wanted, "node").select("node", "t"), "wanted")
         full = keyed.join(one, "t").groupBy("node").agg(F.first("text").alias("text"))
 
         def whole(part):
             return {"node": part.column("node"), "s": pa.array([shingles(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))}
 
-        return scratch.table(map_batches(full, whole, "node bigint, s array<bigint>"), "sets")
+        sets = scratch.table(map_batches(full, whole, "node bigint, s array<bigint>"), "sets")
+        links = scratch.table(verified(pairs, sets, least), "links")
+        scratch.drop(sets, one)
+        return links
 
-    edges = scratch.table(verified(pairs, sets_of(pairs), least), "links")
+    pairs = scratch.table(tile_pairs(nodes, scratch, False, least).distinct(), "pairs")
+    edges = check(pairs)
     comp = components(spark, edges, scratch)
-    now = index.drop("lead").join(comp, "node", "left").select("s", "node", "n", "i", F.coalesce("root", "node").alias("root"))
-    mixed = now.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s")
-    now = scratch.table(now.join(mixed, "s"), "open")
-    rest = now.alias("x").join(now.alias("y"), "s").where("x.root < y.root").where(could.format("x", "y"))
-    rest = rest.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct()
-    rest = scratch.table(rest.join(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"), ["a", "b"], "left_anti"), "rest")
-    edges = edges.unionByName(scratch.table(verified(rest, sets_of(rest), least), "links"))
+    joined = nodes.drop("root").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = tile_pairs(joined, scratch, True, least).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = scratch.table(rest, "rest")
+    edges = edges.unionByName(check(rest))
     comp = components(spark, edges, scratch)
-    group = own.join(comp, "node", "left").select("t", F.coalesce("root", "node").alias("group"))
-    group = scratch.table(group.withColumnsRenamed({"t": "__t", "group": "__group"}), "groups")
+    group = own.select("t", "node").distinct().join(comp, "node", "left").select(F.col("t").alias("__t"), F.coalesce("root", "node").alias("__group"))
+    group = scratch.table(group, "groups")
     scratch.only(group)
     empty = node_of(np.empty(0, np.uint64))
     got = docs.join(group, F.xxhash64(docs["text"]) == group["__t"], "left")

@@ -16,6 +16,15 @@ TILE, SUB = 65536, 256
 CHUNK = 1 << 16
 
 
+def majority(h: np.ndarray) -> np.ndarray:
+    """One word (uint64, in an array of one): the bits set in more than half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = np.ascontiguousarray(h[at : at + CHUNK])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+
+
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """Majority of the bits of XXH64 over word shingles; no words give zero."""
     words = words_of(text)

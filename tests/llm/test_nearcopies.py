@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 
 from strataline.llm import nearcopies
 
@@ -36,16 +37,34 @@ def planted():
     return texts + ["a b c d e f g h i j " * 9, "a b c d e f g h i j " * 10, "a b c d e f g h i j " * 20, "", None, " "]
 
 
-def test_groups_are_those_of_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [20, nearcopies.TILE])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, tile):
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     lab = brute(texts)
-    for often in (nearcopies.OFTEN, 1):
-        monkeypatch.setattr(nearcopies, "OFTEN", often)
-        got = {}
-        for r in nearcopies.near_copies(docs).collect():
-            got.setdefault(r.group, set()).add(r.doc_id)
-        assert {min(v): v for v in got.values()} == {k: {i for i, x in enumerate(lab) if x == k} for k in set(lab)}
+    monkeypatch.setattr(nearcopies.tile_pairs, "__defaults__", (nearcopies.LEAST, tile))
+    got = {}
+    for r in nearcopies.near_copies(docs).collect():
+        got.setdefault(r.group, set()).add(r.doc_id)
+    assert {min(v): v for v in got.values()} == {k: {i for i, x in enumerate(lab) if x == k} for k in set(lab)}
+
+
+def test_a_large_group_around_a_hub(spark):
+    """Copies that are each similar to one text, but hardly to each other."""
+    rng = random.Random(9)
+    hub = [f"h{k}" for k in range(400)]
+    texts = [" ".join(hub)]
+    for i in range(300):
+        w = list(hub)
+        for at in rng.sample(range(400), 8):
+            w[at] = f"z{i}x{at}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.group for r in nearcopies.near_copies(docs).collect()}
+    lab, groups = brute(texts), {}
+    for i, k in enumerate(lab):
+        groups.setdefault(k, set()).add(got[i])
+    assert len(groups) == len(set(got.values())) and all(len(v) == 1 for v in groups.values())
 
 
 def test_pipeline_stage_joins_near_copies(spark):
