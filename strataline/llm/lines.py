@@ -1,104 +1,209 @@
-"""Line dedup: a suffix array over line ids by distributed prefix doubling."""
+"""Line dedup: a suffix array over line ids by distributed prefix doubling, and its longest-common-prefix intervals."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, sliced
 
-#: Lines of a repeated run at least.
-MIN_LINES = 3
+#: A repeated run counts if it has so many lines, or more words than this.
+MIN_LINES, MIN_WORDS = 3, 50
+#: Words of a line.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, at, a, b): the lines of each row; a and b are 128 bits of hash that stand for the line.
+def line_table(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(tx, at, a, b, need): the lines of each distinct text, known by tx, a hash of it.
 
-    A row is known by its id and by tk, a hash of its text; a null text has no lines.
+    a and b are 128 bits of hash that stand for the line; need is the least number of lines from here on that count as a
+    run (min_lines, or fewer of more than min_words words), null if the text ends before. A null text has no lines.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.select("doc_id", "tk", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-
-
-def ranked(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """The keys that occur more than once, numbered from 1 in their order: keys and ``rank``.
-
-    Sorted by ranges over all tasks; a task numbers its own part and adds what the parts before it hold.
+    rows = docs.select(F.xxhash64("text").alias("tx"), F.split("text", "\n").alias("lines")).where("lines IS NOT NULL")
+    rows = rows.select("tx", "lines", F.expr(f"transform(lines, x -> regexp_count(x, r'{WORD}'))").alias("c"))
+    rows = rows.select("tx", "c", F.posexplode("lines").alias("at", "line"))
+    need = f"try_element_at(filter(sequence(1, {min_lines}), m -> at + m <= size(c) AND (m = {min_lines} OR aggregate(slice(c, at + 1, m), 0, (s, x) -> s + x) > {min_words})), 1)"
+    rows = rows.select("tx", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.expr(need).alias("need"))
+    return rows.groupBy("tx", "at").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("need").alias("need"))
+
+
+def _in_parts(rows: DataFrame, keys: list[str], scratch: Scratch, fn, schema: str) -> DataFrame:
+    """fn over the rows in the order of the keys: sorted by ranges over all tasks; ``part`` numbers the tasks in order."""
+    rows = scratch.table(rows, "unsorted")  # read twice: for the ranges, then for the sort
+
+    def run(batches):
+        state, part = {}, TaskContext.get().partitionId()
+        for b in batches:
+            if b.num_rows:
+                got = fn(b, state)
+                yield pa.RecordBatch.from_arrays([*b.columns, *got.values(), pa.array(np.full(b.num_rows, part, np.int32))], [*b.schema.names, *got, "part"])
+
+    have = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    out = scratch.table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{have}, {schema}, part int"), "sorted")
+    scratch.drop(rows)
+    return out
+
+
+def numbered(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """groups(keys, n) and ``before``: the sum of n over all groups that come earlier in the order of the keys."""
+
+    def add(b, state):
+        n = b.column("n").to_numpy()
+        ends = np.cumsum(n) + state.get("sum", 0)
+        state["sum"] = int(ends[-1])
+        return {"inside": pa.array(ends - n)}
+
+    part = _in_parts(groups, keys, scratch, add, "inside bigint")
+    sizes = sorted(tuple(r) for r in part.groupBy("part").agg(F.sum("n")).collect())  # one row a partition
+    starts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()
+    base = part.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, base bigint")
+    return part.join(F.broadcast(base), "part").select(*keys, "n", (F.col("base") + F.col("inside")).alias("before"))
+
+
+def suffix_array(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(rank, tx, at) of all suffixes that share their first line with another one, rank being the place in the order of
+    all suffixes; and for each power of two, (tx, at, rank) of those that share so many lines, equal where they do.
+
+    Prefix doubling: the order by 2 k lines follows from the ranks by k lines of a suffix and of the one k
+    lines on. A suffix that is alone with its prefix has its rank for good; the others go on until none is
+    left. The end of a text differs from the end of any other and comes before all lines.
     """
-    spark = rows.sparkSession
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    part = groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id())
-    part = scratch.table(part, "sorted")
-    high = F.shiftright("id", 33)  # the number of the partition; below it is that of the row
-    sizes = sorted((r["p"], r["n"]) for r in part.groupBy(high.alias("p")).agg(F.count("*").alias("n")).collect())  # one a partition
-    offsets, before = [], 0
-    for p, n in sizes:
-        offsets.append((p, before))
-        before += n
-    base = F.broadcast(spark.createDataFrame(offsets, "p bigint, base bigint"))
-    return part.withColumn("p", high).join(base, "p").select(*keys, (F.col("base") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
-
-
-def repeated_suffixes(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, tk, at, rank): the suffixes whose first ``min_lines`` lines some other suffix shares.
-
-    ``rank`` is the place of those lines among all repeated runs of that length, lines standing in the order
-    of their hashes: the suffixes of a rank are an interval of the suffix array whose longest common prefix
-    is ``min_lines`` or more. The ranks of a run come from the ranks of its two halves; a suffix that is
-    alone with its prefix drops out, since no longer run is repeated there.
+    spark = lines.sparkSession
+    groups = numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], scratch)
+    first = scratch.table(lines.join(groups, ["a", "b"]).select("tx", "at", F.col("before").alias("rank"), (F.col("n") > 1).alias("open")), "ranks")
+    single, now = first.where("NOT open").drop("open"), scratch.table(first.where("open").drop("open"), "open")
+    final, levels, length = [], [], 1
+    while not now.isEmpty():
+        levels.append(now)
+        known = reduce(DataFrame.unionByName, [now, single, *final]).select(F.col("tx").alias("t"), (F.col("at") - length).alias("p"), F.col("rank").alias("next"))
+        both = now.join(known, (now.tx == known.t) & (now["at"] == known.p), "left")
+        both = scratch.table(both.select("tx", "at", "rank", F.coalesce("next", -1 - F.shiftrightunsigned("tx", 1)).alias("next")), "halves")
+        groups = scratch.table(numbered(both.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"], scratch), "groups")
+        base = groups.groupBy("rank").agg(F.min("before").alias("base"))
+        groups = groups.join(base, "rank").select(F.col("rank").alias("r"), F.col("next").alias("x"), "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new"))
+        got = scratch.table(both.join(groups, (both.rank == groups.r) & (both.next == groups.x)).select("tx", "at", F.col("new").alias("rank"), (F.col("n") > 1).alias("open")), "ranks")
+        scratch.drop(both)
+        final.append(got.where("NOT open").drop("open"))
+        now, length = scratch.table(got.where("open").drop("open"), "open"), 2 * length
+    empty = spark.createDataFrame([], "tx bigint, at int, rank bigint")
+    return scratch.table(reduce(DataFrame.unionByName, final, empty).select("rank", "tx", "at"), "suffixes"), levels
+
+
+def with_prefixes(suffixes: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """suffixes and ``lcp``, the number of lines that each shares with the one before it in the order.
+
+    By halving steps from the largest power of two: the next 2**j lines of both are equal if their ranks of that level are.
     """
-    now = scratch.table(lines.join(ranked(lines, ["a", "b"], scratch), ["a", "b"]).select("doc_id", "tk", "at", "rank"), "ranks")
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)  # the last two halves may overlap
-        ahead = now.select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), (F.col("at") - step).alias("p"), F.col("rank").alias("right"))
-        both = now.join(ahead, now.doc_id.eqNullSafe(ahead.d) & (now.tk == ahead.t) & (now["at"] == ahead.p))
-        both = scratch.table(both.select("doc_id", "tk", "at", F.col("rank").alias("left"), "right"), "halves")
-        longer = ranked(both, ["left", "right"], scratch)
-        now = scratch.table(both.join(longer, ["left", "right"]).select("doc_id", "tk", "at", "rank"), "ranks")
-        length += step
-    return now
-
-
-def later_copies(docs: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, tk, starts): where runs of ``min_lines`` lines start that came before, by (doc_id, tk, line)."""
-    lines = scratch.table(line_table(docs), "lines")
-    now = repeated_suffixes(lines, min_lines, scratch).withColumn("place", F.struct("doc_id", "tk", "at"))
-    low = now.groupBy("rank").agg(F.min("place").alias("low"))
-    late = now.join(low, "rank").where("NOT (place <=> low)")
-    return late.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("at")).alias("starts"))  # as many as the text has lines, at most
-
-
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    prior = suffixes.select((F.col("rank") + 1).alias("rank"), F.col("tx").alias("o_tx"), F.col("at").alias("o_at"))
+    now = suffixes.join(prior, "rank").withColumn("lcp", F.lit(0))
+    for j in range(len(levels) - 1, -1, -1):
+        level = levels[j]
+        x = level.select(F.col("tx").alias("x_t"), F.col("at").alias("x_p"), F.col("rank").alias("x_r"))
+        y = level.select(F.col("tx").alias("y_t"), F.col("at").alias("y_p"), F.col("rank").alias("y_r"))
+        now = now.join(x, (now.tx == x.x_t) & (now["at"] + now.lcp == x.x_p), "left").join(y, (now.o_tx == y.y_t) & (now.o_at + now.lcp == y.y_p), "left")
+        now = scratch.table(now.select("rank", "tx", "at", "o_tx", "o_at", (F.col("lcp") + F.when(F.col("x_r") == F.col("y_r"), 1 << j).otherwise(0)).alias("lcp")), "prefixes")
+    return suffixes.join(now.select("rank", "lcp"), "rank", "left").select("rank", "tx", "at", F.coalesce("lcp", F.lit(0)).alias("lcp"))
+
+
+def intervals(array: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """array and ``starts``: for each number of lines 1 to depth, the rank at which the interval begins whose suffixes share them."""
+
+    def fill(b, state):
+        rank, lcp = b.column("rank").to_numpy(), b.column("lcp").to_numpy()
+        out = np.empty((b.num_rows, depth), np.int64)
+        for m in range(1, depth + 1):
+            start = np.where(lcp < m, rank, -1)
+            start[0] = max(start[0], state.get(m, -1))
+            out[:, m - 1] = np.maximum.accumulate(start)
+            state[m] = int(out[-1, m - 1])
+        return {"starts": pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * depth), pa.array(out.ravel()))}
+
+    part = _in_parts(array, ["rank"], scratch, fill, "starts array<bigint>")
+    last = sorted(tuple(r) for r in part.groupBy("part").agg(*[F.max(F.element_at("starts", m)).alias(f"s{m}") for m in range(1, depth + 1)]).collect())  # one row a partition
+    carry, held = [], [-1] * depth
+    for p, *s in last:
+        carry.append((p, list(held)))
+        held = [max(x, y) for x, y in zip(held, s)]
+    carry = part.sparkSession.createDataFrame(carry, "part int, held array<bigint>")
+    return part.join(F.broadcast(carry), "part").select("rank", "tx", "at", "lcp", F.zip_with("starts", "held", lambda x, y: F.greatest(x, y)).alias("starts"))
+
+
+def copies(docs: DataFrame, min_lines: int, min_words: int, scratch: Scratch) -> DataFrame:
+    """(tx, lead, many, marks): for each distinct text its least doc_id, whether other documents hold it too, and
+    where runs start in it: at, ``late`` lines that came before, ``first`` lines that come again but not before (0: none)."""
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("tx"), F.struct("doc_id").alias("d"))
+    texts = scratch.table(texts.groupBy("tx").agg(F.min("d").alias("lead"), F.max("d").alias("last")).select("tx", "lead", (~F.col("lead").eqNullSafe(F.col("last"))).alias("many")), "texts")
+    lines = scratch.table(line_table(docs, min_lines, min_words), "lines")
+    suffixes, levels = suffix_array(lines, scratch)
+    array = intervals(with_prefixes(suffixes, levels, scratch), min_lines, scratch)
+    runs = array.join(lines.select("tx", "at", "need").where("need IS NOT NULL"), ["tx", "at"]).join(texts, "tx")
+    runs = runs.select("tx", "at", "many", F.struct("lead", "tx", "at").alias("place"), F.explode(F.expr(f"transform(sequence(need, {min_lines}), m -> named_struct('m', m, 'start', element_at(starts, m)))")).alias("i"))
+    runs = scratch.table(runs.select("tx", "at", "many", "place", "i.m", "i.start"), "runs")
+    low = runs.groupBy("m", "start").agg(F.min("place").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    seen = runs.join(low, ["m", "start"])
+    late = F.max(F.when(~F.col("place").eqNullSafe(F.col("low")), F.col("m")).otherwise(0))
+    first = F.max(F.when(F.col("place").eqNullSafe(F.col("low")), F.col("m")).otherwise(0))
+    marks = seen.groupBy("tx", "at").agg(late.alias("late"), first.alias("first"))
+    marks = marks.groupBy("tx").agg(F.array_sort(F.collect_list(F.struct("at", "late", "first"))).alias("marks"))  # as many as the text has lines, at most
+    return texts.join(marks, "tx", "left").where("many OR marks IS NOT NULL").select("tx", "lead.doc_id", "many", "marks")
+
+
+def _dead(lines: list[str], later: bool, many: bool, marks: list, min_lines: int, min_words: int) -> list[bool]:
+    """Which lines of a text go. later: it isn't the first document of this text; many: others hold the text."""
+    n, late, first = len(lines), {}, {}
+    for m in marks or ():
+        late[m["at"]], first[m["at"]] = m["late"], m["first"]
+    if many:  # every run of the text is repeated
+        c = [len(x.encode().split()) for x in lines]
+        for p in range(n):
+            most = min(min_lines, n - p)
+            if most == min_lines or sum(c[p : p + most]) > min_words:
+                if later:
+                    late[p], first[p] = most, 0
+                elif late.get(p, 0) < most:
+                    first[p] = most
+    dead = [False] * n
+    for p, m in late.items():
+        dead[p : p + m] = [True] * m
+    for p, m in first.items():
+        dead[p : p + m] = [False] * m
+    return dead
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs (all their columns), with the later copies of repeated line runs deleted from ``text``.
 
-    A line goes if it lies in a run of ``min_lines`` consecutive lines that also starts earlier: in a row of
-    smaller doc_id, or further up in the same one. So of each maximal repeated run the first copy stays.
+    A run is min_lines consecutive lines, or fewer of more than min_words words together. A line goes if it lies in a run
+    that also starts earlier (in a document of smaller doc_id, or further up in the same one), unless it also lies in
+    one that comes again but not earlier: the first copy of a repeated run stays, even where it overlaps a later one.
     n_lines and n_removed count lines (a text without a line break has one; null has none and stays null).
     Rows that agree in id and text are one document, and all of them get its result; null ids come first;
-    rows of one id with other texts come in the order of a hash of the text. Empty tables give no rows.
-    Columns of docs named n_lines or n_removed are replaced.
+    rows of one id with other texts come in the order of a hash of the text. Texts are told apart by 64-bit hashes, lines by
+    128-bit ones. Empty tables give no rows. Columns of docs named n_lines or n_removed are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = scratch.table(later_copies(pick(docs, "doc_id", "text"), min_lines, scratch), "gone")
+    gone = scratch.table(copies(pick(docs, "doc_id", "text"), min_lines, min_words, scratch), "gone")
     scratch.only(gone)
-    gone = gone.withColumnsRenamed({"doc_id": "g_id", "tk": "g_tk", "starts": "g_starts"})
+    gone = gone.select(F.col("tx").alias("g_tx"), F.col("doc_id").alias("g_id"), F.col("many").alias("g_many"), F.col("marks").alias("g_marks"))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    both = rows.join(gone.hint("shuffle_hash"), doc_id.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_tk")), "left").drop("g_id", "g_tk")
+    both = rows.join(gone.hint("shuffle_hash"), F.xxhash64(text) == F.col("g_tx"), "left").withColumn("g_later", F.col("g_tx").isNotNull() & ~doc_id.eqNullSafe(F.col("g_id"))).drop("g_id", "g_tx")
     at = names.index("text")
 
     def cut(batches):
         for part in sliced(batches):
             out, n, removed = [], [], []
-            for t, starts in zip(part.column(at).to_pylist(), part.column("g_starts").to_pylist()):
+            for t, later, many, marks in zip(*(part.column(c).to_pylist() for c in (at, "g_later", "g_many", "g_marks"))):
                 lines = t.split("\n") if t is not None else []
                 n.append(len(lines))
-                if starts:
-                    dead = {s + k for s in starts for k in range(min_lines)}
-                    lines = [x for i, x in enumerate(lines) if i not in dead]
+                if many or marks:
+                    lines = [x for x, d in zip(lines, _dead(lines, later, many, marks, min_lines, min_words)) if not d]
                 removed.append(n[-1] - len(lines))
                 out.append(t if t is None else "\n".join(lines))
             cols = [part.column(i) for i in range(len(names))]
@@ -117,10 +222,14 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS w FROM documents),
-p AS (SELECT doc_id, p, md5(w[p] || chr(10) || w[p + 1] || chr(10) || w[p + 2]) AS h
-      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
-t AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM p) WHERE n > 1),
-x AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM t) GROUP BY doc_id)
+l AS (SELECT doc_id, w, list_transform(w, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS c FROM d),
+p AS (SELECT doc_id, p, m, m || md5(array_to_string(w[p:p + m - 1], chr(10))) AS h
+      FROM (SELECT doc_id, w, c, unnest(range(1, len(w) + 1)) AS p FROM l), (SELECT unnest([1, 2, 3]) AS m)
+      WHERE p + m - 1 <= len(w) AND (m = 3 OR list_sum(c[p:p + m - 1]) > 50)),
+n AS (SELECT doc_id, p, m, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n, count(*) OVER (PARTITION BY h) AS c FROM p),
+late AS (SELECT doc_id, unnest(range(p, p + m)) AS q FROM n WHERE n > 1),
+kept AS (SELECT doc_id, unnest(range(p, p + m)) AS q FROM n WHERE n = 1 AND c > 1),
+x AS (SELECT doc_id, list(q) AS gone FROM (SELECT * FROM late EXCEPT SELECT * FROM kept) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(
     list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), chr(10)), '') END) AS text_sha256
