@@ -14,6 +14,8 @@ from .common import Scratch, pick, sliced
 
 #: A repeated run counts if it has so many lines, or more words than this.
 MIN_LINES, MIN_WORDS = 3, 50
+#: Suffixes that one task orders, and that are broadcast, at most.
+FEW = 1 << 17
 #: Words of a line.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,65 +51,135 @@ def _in_parts(rows: DataFrame, keys: list[str], scratch: Scratch, fn, schema: st
     return out
 
 
-def numbered(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """groups(keys, n) and ``before``: the sum of n over all groups that come earlier in the order of the keys."""
+def ordered(groups: DataFrame, top: str, under: list[str], scratch: Scratch) -> DataFrame:
+    """groups(top, under, n) and ``offset``: the sum of n over the groups of the same ``top`` that come earlier by ``under``.
 
-    def add(b, state):
-        n = b.column("n").to_numpy()
-        ends = np.cumsum(n) + state.get("sum", 0)
-        state["sum"] = int(ends[-1])
-        return {"inside": pa.array(ends - n)}
+    They are sorted by ranges over all tasks; what a task doesn't see of its first ``top`` is added from the
+    sums of the tasks before it.
+    """
 
-    part = _in_parts(groups, keys, scratch, add, "inside bigint")
-    sizes = sorted(tuple(r) for r in part.groupBy("part").agg(F.sum("n")).collect())  # one row a partition
-    starts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()
-    base = part.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, base bigint")
-    return part.join(F.broadcast(base), "part").select(*keys, "n", (F.col("base") + F.col("inside")).alias("before"))
+    def add(b, state):
+        t, n = b.column(top).to_numpy(), b.column("n").to_numpy()
+        ends = np.cumsum(n)
+        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        out = ends - n - np.repeat((ends - n)[begin], np.diff(np.concatenate([begin, [len(t)]])))
+        if "first" not in state:
+            state["first"], state["top"], state["sum"] = int(t[0]), int(t[0]), 0
+        out[t == state["top"]] += state["sum"]  # the group that the batch before ended in
+        state["sum"], state["top"] = int(out[-1] + n[-1]), int(t[-1])
+        return {"offset": pa.array(out), "lead": pa.array(t == state["first"])}
+
+    part = _in_parts(groups.select(top, *under, "n"), [top, *under], scratch, add, "offset bigint, lead boolean")
+    edge = part.groupBy("part").agg(F.min(top), F.max(top), F.max_by(F.col("offset") + F.col("n"), F.struct(top, *under)))
+    carry, last, held = [], None, 0
+    for p, low, high, tail in sorted(tuple(r) for r in edge.collect()):  # one row a partition
+        carry.append((p, held if low == last else 0))
+        held = tail + (held if low == last and low == high else 0)
+        last = high
+    carry = part.sparkSession.createDataFrame(carry, "part int, held bigint")
+    return part.join(F.broadcast(carry), "part").select(top, *under, "n", (F.col("offset") + F.when(F.col("lead"), F.col("held")).otherwise(0)).alias("offset"))
+
+
+def finish(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, base) of some suffixes (tx, at, rank, next) in the order given, ``rank`` and ``next`` being their ranks by
+    ``length`` lines and those of the suffixes so many lines on: the doubling carried on to the end in arrays.
+
+    base is a number of lines, a multiple of ``length``, that a suffix shares with the one before it in the order; they have less
+    than ``length`` more in common.
+    """
+    tx, at, rank, nxt = (table.column(c).to_numpy() for c in ("tx", "at", "rank", "next"))
+    n, number = len(tx), np.unique(tx, return_inverse=True)[1].astype(np.int64)
+    key = number << 32 | at.astype(np.int64)
+    order = np.argsort(key)
+    sorted_key = key[order]
+
+    def ahead(rows, lines):  # the row so many lines on, or -1
+        want = key[rows] + lines
+        got = np.minimum(np.searchsorted(sorted_key, want), n - 1)
+        return np.where(sorted_key[got] == want, order[got], -1)
+
+    levels, lines = [], length
+    while True:
+        levels.append(rank)
+        by = np.argsort(rank, kind="stable")
+        same = rank[by][1:] == rank[by][:-1]
+        if not same.any():
+            break
+        tied = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        on = ahead(tied, lines)
+        before = ahead(tied, lines - length)  # of a tied suffix these are among the rows
+        then = np.where(on >= 0, rank[on], nxt[before])
+        by = np.lexsort((then, rank[tied]))
+        tied, then = tied[by], then[by]
+        top = np.concatenate([[True], rank[tied][1:] != rank[tied][:-1]])
+        new = top | np.concatenate([[True], then[1:] != then[:-1]])
+        place, first = np.arange(len(tied)), np.flatnonzero(new)
+        begin = np.maximum.accumulate(np.where(top, place, 0))
+        rank = rank.copy()
+        rank[tied] += np.repeat(first, np.diff(np.concatenate([first, [len(tied)]]))) - begin
+        lines *= 2
+    by = np.argsort(rank)
+    x, y = by[1:], by[:-1]
+    pairs = np.flatnonzero((levels[0][x] == levels[0][y]) & (rank[x] == rank[y] + 1))
+    x, y, cur = x[pairs], y[pairs], np.zeros(len(pairs), np.int64)
+    for j in range(len(levels) - 1, -1, -1):
+        i, k = ahead(x, cur), ahead(y, cur)
+        cur += np.where((i >= 0) & (k >= 0) & (levels[j][i] == levels[j][k]), length << j, 0)
+    base = np.zeros(n, np.int64)
+    base[x] = cur
+    return rank, base
 
 
-def suffix_array(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """(rank, tx, at) of all suffixes that share their first line with another one, rank being the place in the order of
-    all suffixes; and for each power of two, (tx, at, rank) of those that share so many lines, equal where they do.
+def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rank, tx, at, lcp) of all suffixes that share their first line with another one: rank is the place in the order of all
+    suffixes, lcp the number of lines that each shares with the one before it in that order.
 
     Prefix doubling: the order by 2 k lines follows from the ranks by k lines of a suffix and of the one k
     lines on. A suffix that is alone with its prefix has its rank for good; the others go on until none is
-    left. The end of a text differs from the end of any other and comes before all lines.
+    left. The end of a text differs from the end of any other and comes before all lines. Lines stand in the order of
+    their hashes. Once FEW suffixes are left, one task carries the doubling on in arrays. The common prefixes
+    follow by halving steps: the next 2**j lines of two suffixes are equal if their ranks of that level are.
     """
-    spark = lines.sparkSession
-    groups = numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], scratch)
-    first = scratch.table(lines.join(groups, ["a", "b"]).select("tx", "at", F.col("before").alias("rank"), (F.col("n") > 1).alias("open")), "ranks")
-    single, now = first.where("NOT open").drop("open"), scratch.table(first.where("open").drop("open"), "open")
+    groups = ordered(lines.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("all", F.lit(0).cast("bigint")), "all", ["a", "b"], scratch)
+    first = lines.join(groups, ["a", "b"]).select("tx", "at", F.col("offset").alias("rank"), (F.col("n") > 1).alias("open"))
+    first = scratch.table(first, "ranks")
+    single, now = first.where("NOT open").drop("open"), first.where("open").drop("open")
     final, levels, length = [], [], 1
-    while not now.isEmpty():
-        levels.append(now)
+    while True:
+        n = now.count()
+        own = F.broadcast(now) if n <= FEW else now  # FEW rows of 20 bytes at most
         known = reduce(DataFrame.unionByName, [now, single, *final]).select(F.col("tx").alias("t"), (F.col("at") - length).alias("p"), F.col("rank").alias("next"))
-        both = now.join(known, (now.tx == known.t) & (now["at"] == known.p), "left")
-        both = scratch.table(both.select("tx", "at", "rank", F.coalesce("next", -1 - F.shiftrightunsigned("tx", 1)).alias("next")), "halves")
-        groups = scratch.table(numbered(both.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"], scratch), "groups")
-        base = groups.groupBy("rank").agg(F.min("before").alias("base"))
-        groups = groups.join(base, "rank").select(F.col("rank").alias("r"), F.col("next").alias("x"), "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new"))
+        halves = scratch.table(known.join(own, (own.tx == known.t) & (own["at"] == known.p)).select("tx", "at", "rank", "next"), "halves")
+        last = now.join(halves.select(F.col("tx").alias("t"), F.col("at").alias("p")), (F.col("tx") == F.col("t")) & (F.col("at") == F.col("p")), "left_anti")
+        both = halves.unionByName(last.select("tx", "at", "rank", (-1 - F.shiftrightunsigned("tx", 1)).alias("next")))  # the texts that end
+        if n <= FEW:
+            break
+        levels.append(now)
+        groups = ordered(both.groupBy("rank", "next").agg(F.count("*").alias("n")), "rank", ["next"], scratch)
+        groups = groups.select(F.col("rank").alias("r"), F.col("next").alias("x"), "n", (F.col("rank") + F.col("offset")).alias("new"))
         got = scratch.table(both.join(groups, (both.rank == groups.r) & (both.next == groups.x)).select("tx", "at", F.col("new").alias("rank"), (F.col("n") > 1).alias("open")), "ranks")
-        scratch.drop(both)
+        scratch.drop(halves)
         final.append(got.where("NOT open").drop("open"))
-        now, length = scratch.table(got.where("open").drop("open"), "open"), 2 * length
-    empty = spark.createDataFrame([], "tx bigint, at int, rank bigint")
-    return scratch.table(reduce(DataFrame.unionByName, final, empty).select("rank", "tx", "at"), "suffixes"), levels
-
-
-def with_prefixes(suffixes: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """suffixes and ``lcp``, the number of lines that each shares with the one before it in the order.
-
-    By halving steps from the largest power of two: the next 2**j lines of both are equal if their ranks of that level are.
-    """
+        now, length = got.where("open").drop("open"), 2 * length
+
+    def end(batches):
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None  # FEW rows at most
+        if table:
+            rank, base = finish(table, length)
+            yield from pa.table([pa.array(rank), table.column("tx"), table.column("at"), pa.array(base.astype(np.int32))], ["rank", "tx", "at", "lcp"]).to_batches(8192)
+
+    ended = both.repartition(1).mapInArrow(end, "rank bigint, tx bigint, at int, lcp int")
+    suffixes = reduce(DataFrame.unionByName, [f.select("rank", "tx", "at", F.lit(0).alias("lcp")) for f in final], ended)
+    suffixes = scratch.table(suffixes, "suffixes")
+    if not levels:
+        return suffixes
     prior = suffixes.select((F.col("rank") + 1).alias("rank"), F.col("tx").alias("o_tx"), F.col("at").alias("o_at"))
-    now = suffixes.join(prior, "rank").withColumn("lcp", F.lit(0))
+    now = suffixes.join(prior, "rank")
     for j in range(len(levels) - 1, -1, -1):
-        level = levels[j]
-        x = level.select(F.col("tx").alias("x_t"), F.col("at").alias("x_p"), F.col("rank").alias("x_r"))
-        y = level.select(F.col("tx").alias("y_t"), F.col("at").alias("y_p"), F.col("rank").alias("y_r"))
+        x, y = (levels[j].select(F.col("tx").alias(f"{c}_t"), F.col("at").alias(f"{c}_p"), F.col("rank").alias(f"{c}_r")) for c in "xy")
         now = now.join(x, (now.tx == x.x_t) & (now["at"] + now.lcp == x.x_p), "left").join(y, (now.o_tx == y.y_t) & (now.o_at + now.lcp == y.y_p), "left")
         now = scratch.table(now.select("rank", "tx", "at", "o_tx", "o_at", (F.col("lcp") + F.when(F.col("x_r") == F.col("y_r"), 1 << j).otherwise(0)).alias("lcp")), "prefixes")
-    return suffixes.join(now.select("rank", "lcp"), "rank", "left").select("rank", "tx", "at", F.coalesce("lcp", F.lit(0)).alias("lcp"))
+    return suffixes.drop("lcp").join(now.select("rank", "lcp"), "rank", "left").select("rank", "tx", "at", F.coalesce("lcp", F.lit(0)).alias("lcp"))
 
 
 def intervals(array: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
@@ -139,8 +211,7 @@ def copies(docs: DataFrame, min_lines: int, min_words: int, scratch: Scratch) ->
     texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("tx"), F.struct("doc_id").alias("d"))
     texts = scratch.table(texts.groupBy("tx").agg(F.min("d").alias("lead"), F.max("d").alias("last")).select("tx", "lead", (~F.col("lead").eqNullSafe(F.col("last"))).alias("many")), "texts")
     lines = scratch.table(line_table(docs, min_lines, min_words), "lines")
-    suffixes, levels = suffix_array(lines, scratch)
-    array = intervals(with_prefixes(suffixes, levels, scratch), min_lines, scratch)
+    array = intervals(suffix_array(lines, scratch), min_lines, scratch)
     runs = array.join(lines.select("tx", "at", "need").where("need IS NOT NULL"), ["tx", "at"]).join(texts, "tx")
     runs = runs.select("tx", "at", "many", F.struct("lead", "tx", "at").alias("place"), F.explode(F.expr(f"transform(sequence(need, {min_lines}), m -> named_struct('m', m, 'start', element_at(starts, m)))")).alias("i"))
     runs = scratch.table(runs.select("tx", "at", "many", "place", "i.m", "i.start"), "runs")

@@ -47,13 +47,14 @@ def test_runs_that_overlap(spark, seed):
     assert result(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == brute(rows, 3)
 
 
-def test_suffix_array_and_common_prefixes(spark):
+@pytest.mark.parametrize("few", [lines.FEW, 100, 0])
+def test_suffix_array_and_common_prefixes(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)
     rng = random.Random(3)
     texts = ["\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(12)]
     scratch = Scratch(spark, "t")
     table = scratch.table(lines.line_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)))
-    suffixes, levels = lines.suffix_array(table, scratch)
-    got = [(r["rank"], r.tx, r["at"], r.lcp, r.starts) for r in lines.intervals(lines.with_prefixes(suffixes, levels, scratch), 4, scratch).orderBy("rank").collect()]
+    got = [(r["rank"], r.tx, r["at"], r.lcp, r.starts) for r in lines.intervals(lines.suffix_array(table, scratch), 4, scratch).orderBy("rank").collect()]
     by_tx = {r.tx: r.text.split("\n") for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("tx"), "text").collect()}
     assert len({g[0] for g in got}) == len(got) == sum(len(t.split("\n")) for t in set(texts))
     rest = [by_tx[tx][at:] for _, tx, at, _, _ in got]
