@@ -93,14 +93,13 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, lists: int | None = Non
     centroids have the largest inner product with it (as many as hold TARGET of the neighbours within the
     sample, if not given); tables of its inner products with the code words
     rank what is there, and the best ``rerank`` of each block get their exact score in double precision.
-    A query never meets its own row; ties go to the smaller vec_id. Rows with the same vector are indexed
+    A query meets every row but its own (a repeated row or id is a row like any other, and a query of its own); ties go to the smaller vec_id. Rows with the same vector are indexed
     once, with their k + 1 smallest ids, beyond which none can be among k neighbours; queries with the same
     vector are searched once. Vectors that are null, zero or not finite, or whose length is not the most
-    frequent one, take no part, nor do null ids; repeated ids are one row each. Empty tables give no rows.
+    frequent one, take no part, nor do null ids. Empty tables give no rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
     rows = usable(pick(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL"), "embedding").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = rows.dropDuplicates(["vec_id", "v"])
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if sizes is None:
@@ -126,7 +125,8 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, lists: int | None = Non
 
     coded = scratch.table(distinct.mapInArrow(code_rows, "h bigint, ids array<bigint>, v array<double>, list int, code binary"), "coded")
     split = {r["list"]: -(-r["count"] // block) for r in coded.groupBy("list").count().collect()}  # 4096 lists at most
-    once = asked.groupBy("h", "v").agg(F.min("vec_id").alias("qid"))
+    once = asked.groupBy("h", "v").agg(F.min("vec_id").alias("least")).withColumn("qid", F.monotonically_increasing_id())
+    once = scratch.table(once.select("qid", "h", "v"), "once")
 
     def probe(batches):
         for b in batches:
@@ -172,12 +172,12 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, lists: int | None = Non
     found = goals.groupBy("list", "block", "chunk").cogroup(coded.groupBy("list", "block", "chunk")).applyInArrow(search, "qid bigint, score double, h bigint, ids array<bigint>")
     # the k + 1 best distinct vectors of a query hold the k + 1 best rows
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.element_at("ids", 1)))).where(F.col("n") <= k + 1)
-    top = top.select("qid", "score", F.explode("ids").alias("vec_id"))
+    top = top.select("qid", "score", "h", F.explode("ids").alias("vec_id"))
     top = top.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    top = scratch.table(top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best")), "top")  # k + 1 at most
-    each = asked.join(once.select("h", "v", "qid"), ["h", "v"]).select(F.col("vec_id").alias("query_id"), "qid").join(top, "qid")
-    best = F.expr(f"slice(filter(best, b -> b.vec_id <> query_id), 1, {k})")
-    out = each.select("query_id", F.posexplode(best).alias("p", "b"))
+    top = scratch.table(top.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "h"))).alias("best")), "top")  # k + 1 at most
+    each = asked.join(once.select("h", "v", "qid"), ["h", "v"]).select(F.col("vec_id").alias("query_id"), F.col("h").alias("own"), "qid").join(top, "qid")
+    each = each.withColumn("at", F.expr("array_position(transform(best, b -> b.vec_id = query_id AND b.h = own), true)"))  # one row that is the query's own
+    out = each.select("query_id", F.posexplode(F.expr(f"slice(filter(best, (b, i) -> i + 1 <> at), 1, {k})")).alias("p", "b"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 

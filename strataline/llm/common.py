@@ -8,21 +8,27 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text turned into Python strings at a time, whatever the size of the Arrow batch.
 SLICE_ROWS = 128
+#: Bytes of text in such a slice, so that many long texts together need little memory.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a local folder made and set.
+    Only where the setting is absent and all runs on one machine (tests, a laptop) is a local folder made and set.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="strataline-")
         spark.sparkContext.setCheckpointDir(got)
         spark.conf.set("spark.checkpoint.dir", got)
@@ -67,9 +73,17 @@ class Scratch:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows at most, and of SLICE_BYTES of text at most unless one row alone is longer."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = np.zeros(batch.num_rows + 1, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size[1:] += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1))
+            yield batch.slice(at, min(to, batch.num_rows) - at)
+            at = to
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:

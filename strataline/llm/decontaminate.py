@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, ascii_lower, pick
 
@@ -69,12 +70,13 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFram
     scratch = Scratch(docs.sparkSession, "decontaminate")
     hits, items = window_hits(pick(docs, "doc_id", "text"), pick(bench, "item_id", "text"), size, scratch)
     hits = scratch.table(hits, "hits")
-    spans = hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("s"))
-    merged = """aggregate(s, CAST(array() AS array<struct<start:int,end:int>>), (acc, x) ->
-        CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)"""
-    spans = spans.select("doc_id", "th", F.expr(merged).alias("spans"))
+    # Hits of a document in the order of their starts (as many as it has words, at most): a gap begins another span.
+    each = hits.groupBy("doc_id", "th", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+    order = Window.partitionBy("doc_id", "th").orderBy("start")
+    gap = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    each = each.withColumn("gap", gap.cast("int")).withColumn("span", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = each.groupBy("doc_id", "th", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = each.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     named = hits.select("doc_id", "th", "wtxt").distinct().join(items, "wtxt").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     got = scratch.table(spans.join(named, (spans.doc_id.eqNullSafe(named.doc_id)) & (spans.th == named.th)).select(spans.doc_id.alias("h_id"), spans.th.alias("h_th"), "spans", "items"), "found")
     new = {"n_words", "n_hit", "spans", "items", "contaminated"}

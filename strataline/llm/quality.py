@@ -61,8 +61,8 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray,
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, bits: int = BITS, cost: float = 1.0, blend: float = 0.25) -> np.ndarray:
-    """Weights over indicators, then bias, Platt's a and b; ``blend`` mixes the SVM with its mean magnitude."""
+def fit(rows: list[np.ndarray], label: np.ndarray, bits: int = BITS, cost: float = 1.0) -> np.ndarray:
+    """Weights over indicators, then bias, Platt's a and b."""
     dim, y = 1 << bits, np.where(np.asarray(label) > 0, 1.0, -1.0)
     if not len(rows) or len(set(y)) < 2:  # one class, or none: its smoothed rate
         rate = (float((y > 0).sum()) + 1) / (len(y) + 2)
@@ -94,18 +94,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TR
     """(weights, ratios) from at most ``max_rows`` labelled documents, in one task of bounded size.
 
     docs: doc_id and text; labels: doc_id and the label column; rows with a null label or id teach nothing.
-    The rows taken are those whose hashed ids come first, whatever the partitioning.
+    The rows taken are those whose hashed ids come first, and of a repeated id the text of least hash, whatever the partitioning.
     """
     spark = docs.sparkSession
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     scratch = Scratch(spark, "labelled")
     small = map_batches(
-        docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y")),  # max_rows rows at most
-        lambda part: {"y": part.column("y"), "k": part.column("doc_id").cast(pa.int64()), "idx": pa.array([indicators(t, bits).tobytes() for t in part.column("text").to_pylist()], pa.binary())},
-        "y int, k bigint, idx binary",
+        docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("t"), F.col("y").cast("int").alias("y")),  # max_rows ids at most
+        lambda part: {"y": part.column("y"), "t": part.column("t"), "k": part.column("doc_id").cast(pa.int64()), "idx": pa.array([indicators(t, bits).tobytes() for t in part.column("text").to_pylist()], pa.binary())},
+        "y int, t bigint, k bigint, idx binary",
     )
-    small = scratch.table(small.dropDuplicates(["k"]), "rows")
+    small = small.groupBy("k").agg(F.min_by(F.struct("y", "idx"), "t").alias("one")).select("one.y", "k", "one.idx")  # of repeated ids the text of least hash
+    small = scratch.table(small, "rows")
 
     def solve(batches):
         rows, y, keys = [], [], []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +118,13 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         return []
     long = max(map(len, text.split()), default=0) >= 20  # nothing else can be a candidate or a long hex run
     base = base_spans(text, long)
-    more = [(a, b, "entropy") for a, b in (entropy_spans(text) if long else ()) if not any(x <= a and b <= y for x, y, _ in base)]
+    base.sort()
+    starts, ends = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
+    more = []
+    for a, b in entropy_spans(text) if long else ():
+        at = bisect_right(starts, a)  # the furthest end of the spans that start no later
+        if not at or ends[at - 1] < b:
+            more.append((a, b, "entropy"))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -187,7 +187,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", le
     id_type = docs.schema["doc_id"].dataType.simpleString()
     seen = scratch.table(map_batches(docs, look, f"doc_id {id_type}, ids array<int>, mask int"), "votes")
     posterior = label_model({r["mask"]: r["count"] for r in seen.groupBy("mask").count().collect()}, start)  # 65,536 patterns at most
-    known = seen.join(F.broadcast(wanted), "doc_id").select("doc_id", "ids", "mask").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # max_rows at most
+    known = seen.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("mask", "ids")).alias("one")).select("doc_id", "one.*").orderBy("doc_id").collect()  # max_rows at most; one text of a repeated id
     slot = {i: k for k, i in enumerate(sorted(keep | {PATTERNS + k for k in range(4)}))}
     post = np.array([posterior[r["mask"]] for r in known])
     y, sure = np.where(post >= 0.5, 1.0, -1.0), np.abs(2 * post - 1)

@@ -34,11 +34,20 @@ def test_recall_order_and_ties(spark, block):
     assert list(twin.vec_id) == list(range(99, 109))
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [2.0, 0.0], 1), (1, [3.0, 0.0], 1), (1, [3.0, 0.0], 1), (2, [0.5, 1.0], 1)], SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(df, F.col("vec_id") == 0).collect())
+    one = [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 0, 2.0), (0, 4, 2, 0.5)]
+    two = [(0, 1, 1, 6.0), (0, 2, 1, 6.0), (0, 3, 0, 2.0), (0, 4, 2, 1.0)]
+    assert got == sorted(one + two)
+
+
 def test_unusable_vectors_and_few_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 2.0], 1), (1, [2.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [1.0, inf], 1), (6, [1.0, None], 1), (None, [1.0, 1.0], 1), (7, [1.0, 2.0, 3.0], 1), (0, [1.0, 2.0], 1), (8, [], 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(df, F.lit(True)).orderBy("query_id").collect()]
-    assert got == [(0, 1, 1, 4.0), (1, 1, 0, 4.0)]
+    # the two rows of id 0 are a query each, and candidates of each other
+    assert sorted(got) == [(0, 1, 0, 5.0)] * 2 + [(0, 2, 1, 4.0)] * 2 + [(1, 1, 0, 4.0), (1, 2, 0, 4.0)]
     assert ann.neighbours(df.limit(0), F.lit(True)).count() == 0
     assert ann.neighbours(df, F.lit(False)).count() == 0
