@@ -34,16 +34,25 @@ SECRET_CLASSES = (
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("bearer-token", r"\bBearer\s+[A-Za-z0-9._~+/-]{20,}=*"),
 )
-#: What readers of transcripts leave out.
+# Fixed value: what readers of transcripts leave out.
 READER_SECRET = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:sk-[A-Za-z0-9_-]{20,}|AKIA[A-Z0-9]{16})\b"
 # Wrappers that a host puts around what is no part of a conversation.
 WRAPPER_TAGS = ("system-reminder", "environment_context", "user_instructions", "local-command-stdout", "local-command-stderr", "command-name", "command-message", "command-args")
 REDACTED = "[REDACTED]"
 
 
+#: All white space, as str.strip() knows it.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def normalized(text: Column) -> Column:
-    """Case-folded and trimmed with built-ins; equal to the exact form but for ligatures and wide forms."""
-    return F.trim(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """Case-folded and stripped with built-ins; equal to the exact form but for ligatures and wide forms."""
+    return stripped(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 @F.pandas_udf(StringType())
@@ -111,7 +120,7 @@ def redact(text: Column) -> Column:
     out = F.regexp_replace(out, READER_SECRET, REDACTED)
     for _, p in SECRET_CLASSES:
         out = F.regexp_replace(out, p, REDACTED)
-    return F.trim(out)
+    return stripped(out)
 
 
 def semantic_body(body: Column) -> Column:
@@ -119,12 +128,12 @@ def semantic_body(body: Column) -> Column:
     digest = r"^[0-9a-fA-F]{64}$"
 
     def line(x):
-        refs = F.transform(F.split(F.substr(x, F.lit(10)), ","), lambda r: F.trim(r))
+        refs = F.transform(F.split(F.substr(x, F.lit(10)), ","), stripped)
         named = F.filter(refs, lambda r: ~r.rlike(digest))
         tidy = F.when(F.size(named) == F.size(refs), x).when(F.size(named) > 0, F.concat(F.lit("Sources: "), F.array_join(named, ", ")))
         return F.when(x.startswith("Sources: "), tidy).otherwise(x)
 
-    return F.array_join(F.filter(F.transform(F.split(body, "\n"), line), lambda x: x.isNotNull()), "\n")
+    return F.array_join(F.filter(F.transform(F.split(body, r"\r\n|\r|\n"), line), lambda x: x.isNotNull()), "\n")
 
 
 def content_text(content: Column) -> Column:

@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def chain_roots(parents: DataFrame, rounds: int = 14) -> DataFrame:
+def chain_roots(parents: DataFrame) -> DataFrame:
     """id, root, depth, status of parents(id, parent): where following parents ends.
 
     status: 'complete' (the last one has a null parent), 'broken' (a parent is missing) or 'cycle' (no end
-    within 2**rounds steps). A broken or cyclic chain selects nothing: its root is null.
+    within as many steps as there are rows). A broken or cyclic chain selects nothing: its root is null. Each round joins
+    only what is still open, and doubles how far it has looked.
     """
     now = parents.select("id", F.col("parent").alias("next"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("id").alias("last"))
     now = now.withColumn("last", F.coalesce("next", "id"))
-    spark, k = parents.sparkSession, 0
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    while k < rounds:
+    now = now.withColumns({"broken": F.lit(False), "open": F.col("next").isNotNull()})
+    folder, k, n = parents.sparkSession.conf.get("spark.checkpoint.dir", None), 0, parents.count()
+    while 1 << k <= 2 * n:  # no chain is longer than its table
         ahead = now.select(F.col("id").alias("a"), F.col("next").alias("b"), F.col("depth").alias("d"), F.col("last").alias("l"), F.lit(True).alias("there"))
-        now = now.join(ahead, now.next == ahead.a, "left").select(
+        moved = now.where("open").join(ahead, F.col("next") == F.col("a"), "left").select(
             "id", F.when(F.col("there"), F.col("b")).otherwise(F.col("next")).alias("next"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-            F.coalesce("l", "last").alias("last"), (F.col("next").isNotNull() & F.col("there").isNull()).alias("broken"), (F.col("there") & F.col("b").isNotNull()).alias("open"),
+            F.coalesce("l", "last").alias("last"), (F.col("next").isNotNull() & F.col("there").isNull()).alias("broken"), (F.coalesce("there", F.lit(False)) & F.col("b").isNotNull()).alias("open"),
         )
-        now, k = now.checkpoint() if folder else now.cache(), k + 1
+        nxt = now.where("NOT open").unionByName(moved)
+        nxt = nxt.checkpoint() if folder else nxt.cache()
+        now, k = nxt, k + 1
         if not now.where("open").limit(1).count():
             break
     status = F.when(F.coalesce("open", F.lit(False)), "cycle").when(F.col("next").isNotNull(), "broken").otherwise("complete")
@@ -47,10 +50,10 @@ def missing_related(records: DataFrame) -> DataFrame:
 
 def reachable(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that edges(src, dst) lead to from roots(id), themselves included: breadth first until nothing is new."""
-    seen = roots.select("id").distinct().cache()
-    front = seen
+    keep = DataFrame.checkpoint if spark.conf.get("spark.checkpoint.dir", None) else DataFrame.cache
+    seen = front = keep(roots.select("id").distinct())
     while True:
-        new = edges.join(front, edges.src == front.id).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").cache()
-        if not new.limit(1).count():
+        new = keep(edges.join(front, edges.src == front.id).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if new.isEmpty():
             return seen
-        seen, front = seen.unionByName(new).cache(), new
+        seen, front = keep(seen.unionByName(new)), new

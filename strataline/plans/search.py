@@ -33,7 +33,9 @@ def ranked(rows: DataFrame, query: str, expansion=None, domain: str | None = Non
     title = F.col("title")
     if not query.strip():
         return rows.withColumns({"score": F.lit(0.0), "hit_terms": F.array().cast("array<string>"), "hit_fields": F.array().cast("array<string>")}), [normalized(title).asc(), F.asc("project_id"), F.asc("id")]
-    fields = {f: (F.concat_ws(" ", c) if dict(rows.dtypes)[c].startswith("array<string") else F.col(c)) for f, c in ((f, f) for f in rank.FIELD_WEIGHTS) if c in rows.columns and not dict(rows.dtypes)[c].startswith("array<struct")}
+    kinds = dict(rows.dtypes)
+    said = {"array<string": lambda c: F.concat_ws(" ", c), "array<struct": lambda c: F.concat_ws(" ", F.col(f"{c}.uri"))}  # of sources their URIs
+    fields = {c: said.get(kinds[c][:12], F.col)(c) for c in rank.FIELD_WEIGHTS if c in rows.columns}
     got = rank.bm25(rows, query_terms(rows.sparkSession, query, expansion), fields)
     got = rank.boosted(got, query, title, F.col("domain") if "domain" in rows.columns else None, domain)
     trust = [lifecycle.assurance_rank(F.col("assurance")).asc()] if "assurance" in rows.columns else []
@@ -60,12 +62,14 @@ def search(records: DataFrame, scope: dict, query: str = "", limit: int = 20, cu
         raise ValueError("limit")
     pool = candidates(records, scope, **{k: how[k] for k in ("share_edges", "dispositions", "statuses", "include_inactive") if k in how})
     print_ = pool.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*[c for c, t in pool.dtypes if not t.startswith("map")])).alias("x")).first()
-    now = packing.revision(query, scope, [print_["n"], print_["x"]], {k: str(v) for k, v in how.items() if k in ("domain", "mode")})
+    now = packing.revision(query, scope, [print_["n"], print_["x"]], {k: str(v) for k, v in how.items() if k in ("domain", "mode", "restrict_mode")})
     offset = 0
     if cursor:
         then, offset = packing.decode_cursor(cursor, "search")
         if then != now:
             raise ValueError("stale_search")
+    if how.get("restrict_mode") and how.get("mode") is not None and "task_modes" in pool.columns:
+        pool = pool.where(F.array_contains("task_modes", how["mode"]))  # after the revision: statistics are those of what is left
     hits, order = ranked(pool, query, how.get("expansion"), how.get("domain"), how.get("mode"))
     rows = rank.page(hits, order, limit + 1, offset).select("rank", "id", "project_id", "kind", "effective_status", "title", "score", "hit_terms", *card()).orderBy("rank").collect()
     shown, _ = packing.pack_stop([r.asDict() for r in rows[:limit]], budget, lambda r: {k: (r[k][:160] if k == "title" else r[k]) for k in ("rank", "id", "project_id", "kind", "effective_status", "title")} | {"card_omitted": True})

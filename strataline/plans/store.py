@@ -23,12 +23,12 @@ from . import search as finder
 
 # The calls there are, with what each must and may be given.
 CALLS = {
-    "context": (set(), {"query", "limit", "max_bytes", "task_mode", "previous_revision"}), "search": (set(), {"query", "limit", "cursor", "statuses", "include_inactive", "domain", "task_mode"}),
+    "context": (set(), {"query", "limit", "max_bytes", "task_mode", "previous_revision"}), "search": (set(), {"query", "limit", "cursor", "statuses", "include_inactive", "domain", "task_mode", "mode_restriction"}),
     "read": ({"ids"}, {"max_bytes"}), "capture": ({"record"}, {"review", "details", "idempotency_key"}), "approve": ({"id", "review"}, {"idempotency_key"}),
     "supersede": ({"id", "old_ids", "review"}, {"idempotency_key"}), "withdraw": ({"id", "review"}, {"idempotency_key"}), "annotate": ({"id", "review"}, {"details", "retired", "expected_revision", "idempotency_key"}),
     "source_list": ({"path"}, {"after", "limit"}), "source_read": ({"path"}, {"cursor", "max_bytes"}), "dream_start": ({"objective", "path"}, set()), "dream_status": ({"run_id"}, set()),
     "dream_materials": ({"run_id"}, {"max_bytes"}), "dream_draft": ({"run_id", "operations"}, {"expected_revision"}), "dream_publish": ({"run_id"}, {"expected_revision"}), "dream_close": ({"run_id"}, {"accept_gaps"}),
-    "dream_takeover": ({"run_id"}, set()), "overview": (set(), {"scenario", "max_bytes"}), "issue_open": ({"topic", "relation", "text"}, set()), "issue_list": (set(), {"query"}), "issue_close": ({"id", "disposition"}, set()),
+    "dream_takeover": ({"run_id"}, set()), "overview": (set(), {"scenario", "max_bytes"}), "issue_open": ({"topic", "relation", "text"}, set()), "issue_list": (set(), {"query", "limit"}), "issue_close": ({"id", "disposition"}, set()),
 }
 CONTEXT_BYTES = 8000
 DETAILS = "summary string, conditions string, domain string, topics array<string>, aliases array<string>, share_with array<string>, task_modes array<string>, assurance string"
@@ -76,6 +76,18 @@ class Store:
             raise CallError("not_found")
         return row
 
+    def seen(self, caller: dict, record_id: str) -> Row:
+        """The record, if the caller's scopes show it: what a caller can't see isn't found, for writes as for reads."""
+        rows = self.current().where(access.visible(caller["project_id"], caller.get("worktree_id"), caller.get("task_id")))
+        row = rows.where(F.col("id") == record_id).first()
+        if row is None:
+            raise CallError("not_found")
+        return row
+
+    def prohibited(self, caller: dict) -> DataFrame:
+        """The dispositions of the caller's own project: no project hides sources from another."""
+        return self.dispositions.all().where(F.col("target") == caller["project_id"])
+
     # ---- writes
 
     def _event(self, key, record_id, op, session, reason, old_ids=None, retired=None, details=None, expected=None) -> dict:
@@ -120,12 +132,13 @@ class Store:
         return {"id": rid, "effective_status": self.one(rid)["effective_status"], "replayed": old is not None, "notices": [{"code": "secret_pattern", "pattern": x} for x in said["s"]] + [{"code": "volatile_source", "uri": x} for x in said["v"]]}
 
     def _promote(self, caller, record_id, review, old_ids, key, op):
-        row = self.one(record_id)
+        row = self.seen(caller, record_id)
         key = key or sha256(canonical_json([op, record_id, caller["session_id"], old_ids]).encode()).hexdigest()
         if self.events.all().where(F.col("op_key") == key).first() is None:
             if row["status"] != "candidate" or row["effective_status"] not in ("candidate", "stale"):
                 raise CallError("not_candidate")
-            olds = {o["id"]: o for o in self.current().where(F.col("id").isin(old_ids)).collect()} if old_ids else {}
+            there = self.current().where(access.visible(caller["project_id"], caller.get("worktree_id"), caller.get("task_id")))
+            olds = {o["id"]: o for o in there.where(F.col("id").isin(old_ids)).collect()} if old_ids else {}
             same = ("project_id", "scope", "worktree_id", "task_id")
             if any(i not in olds or olds[i]["effective_status"] != "active" or any(olds[i][c] != row[c] for c in same) for i in old_ids):
                 raise CallError("invalid_predecessor")
@@ -138,18 +151,18 @@ class Store:
         return self._promote(caller, id, review, list(old_ids), idempotency_key, "supersede")
 
     def withdraw(self, caller, id, review, idempotency_key=None):  # noqa: A002
-        self.one(id)
+        self.seen(caller, id)
         return self._event(idempotency_key or f"withdraw:{id}", id, "withdraw", caller["session_id"], review.get("reason", ""))
 
     def annotate(self, caller, id, review, details=None, retired=None, expected_revision=None, idempotency_key=None):  # noqa: A002
-        self.one(id)
+        self.seen(caller, id)
         key = idempotency_key or sha256(canonical_json([id, details, retired, expected_revision]).encode()).hexdigest()
         return self._event(key, id, "annotate", caller["session_id"], review.get("reason", ""), retired=retired, details=details, expected=expected_revision)
 
     # ---- reads
 
-    def search(self, caller, query="", limit=20, cursor=None, statuses=("active",), include_inactive=False, domain=None, task_mode=None):
-        how = {"statuses": tuple(statuses), "include_inactive": include_inactive, "domain": domain, "mode": task_mode, "dispositions": self.dispositions.all()}
+    def search(self, caller, query="", limit=20, cursor=None, statuses=("active",), include_inactive=False, domain=None, task_mode=None, mode_restriction=False):
+        how = {"statuses": tuple(statuses), "include_inactive": include_inactive, "domain": domain, "mode": task_mode, "dispositions": self.prohibited(caller), "restrict_mode": mode_restriction}
         return finder.search(self.current().drop("supersedes", "touched_at"), caller, query, limit, cursor, **how)
 
     def read(self, caller, ids, max_bytes=finder.SEARCH_BYTES):
@@ -161,7 +174,7 @@ class Store:
 
     def context(self, caller, query="", limit=8, max_bytes=CONTEXT_BYTES, task_mode=None, previous_revision=None):
         """Ranked evidence, each with what it is related to, as whole groups that fit; then background."""
-        pool = finder.candidates(self.current(), caller, dispositions=self.dispositions.all())
+        pool = finder.candidates(self.current(), caller, dispositions=self.prohibited(caller))
         hits, order = finder.ranked(pool, query, mode=task_mode)
         top = hits.orderBy(*order).limit(limit).select("id", "title", "kind", "body", "revision").collect()
         units = [[{"id": r["id"], "group": "task", "kind": r["kind"], "title": r["title"], "text": r["body"]}] for r in top]
@@ -197,14 +210,16 @@ class Store:
         n = self.issues.all().where(F.col("issue_id") == row[0]).count()
         self.issues.append(self.spark.createDataFrame([(f"{row[0]}:{n}", *row)], "op_key string, issue_id string, target string, topic string, relation string, text string, disposition string"), "issue_id")
 
-    def issue_list(self, caller, query=""):
+    def issue_list(self, caller, query="", limit=64):
+        """Pending issues of the caller's project by id; ``omitted`` says how many more there are."""
         rows = self.issues.latest("issue_id").where((F.col("target") == caller["project_id"]) & (F.col("disposition") == "pending"))
         if query.strip():
             rows = rows.where(F.arrays_overlap(tokens(F.concat_ws(" ", "topic", "text")), F.array(*[F.lit(t) for t in finder.query_terms(self.spark, query)] or [F.lit("")])))
-        return [r.asDict() for r in rows.select("issue_id", "topic", "relation", "text").orderBy("issue_id").limit(64).collect()]
+        items = [r.asDict() for r in rows.select("issue_id", "topic", "relation", "text").orderBy("issue_id").limit(limit).collect()]
+        return {"items": items, "omitted": rows.count() - len(items) if len(items) == limit else 0}
 
     def issue_close(self, caller, id, disposition):  # noqa: A002
-        row = self.issues.latest("issue_id").where(F.col("issue_id") == id).first()
+        row = self.issues.latest("issue_id").where((F.col("issue_id") == id) & (F.col("target") == caller["project_id"])).first()
         if row is None:
             raise CallError("not_found")
         if row["disposition"] == "pending":
@@ -240,11 +255,15 @@ class Store:
             used, at = used + row[2] - row[1], row[2]
         return {"items": rows, "cursor": packing.encode_cursor("source", logs.prefix_digest(path, at), at), "complete": at >= end}
 
-    def _run(self, run_id):
-        row = self.runs.latest("run_id").where(F.col("run_id") == run_id).first()
+    def _run(self, caller, run_id, writes=False):
+        """A run of the caller's project; only the session that started it, or last took it over, writes to it."""
+        row = self.runs.latest("run_id").where((F.col("run_id") == run_id) & (F.col("target") == caller["project_id"])).first()
         if row is None:
             raise CallError("not_found")
-        return row, json.loads(row["body"])
+        body = json.loads(row["body"])
+        if writes and body["owner"] != caller["session_id"]:
+            raise CallError("not_owner")
+        return row, body
 
     def _save_run(self, run_id, objective, target, state, generation, body):
         n = self.runs.all().where(F.col("run_id") == run_id).count()
@@ -256,24 +275,24 @@ class Store:
         done = self.runs.latest("run_id").where((F.col("objective") == objective) & (F.col("target") == caller["project_id"]))
         if done.where("state IN ('open', 'drafted', 'published')").limit(1).count():
             raise CallError("run_open")
-        closed = [json.loads(r["body"]) for r in done.where("state = 'closed'").select("body").collect()]
-        start = max((b["end"] for b in closed if b["path"] == path), default=0)
+        body = F.from_json("body", "path string, end bigint")
+        start = done.where("state = 'closed'").select(body.alias("b")).where(F.col("b.path") == path).agg(F.max("b.end")).first()[0] or 0
         page = self.source_read(caller, path, packing.encode_cursor("source", logs.prefix_digest(path, start), start))
         if not page["items"]:
             return {"state": "no-change"}
         run_id = uuid.uuid4().hex
         gaps = [{"reason": r["gap"], "at": r["byte_start"]} for r in page["items"] if r["gap"]]
-        self._save_run(run_id, objective, caller["project_id"], "open", 1, {"path": path, "start": start, "end": page["items"][-1]["byte_end"], "digest": logs.prefix_digest(path, page["items"][-1]["byte_end"]), "gaps": gaps, "served": False})
+        self._save_run(run_id, objective, caller["project_id"], "open", 1, {"path": path, "start": start, "end": page["items"][-1]["byte_end"], "digest": logs.prefix_digest(path, page["items"][-1]["byte_end"]), "gaps": gaps, "served": False, "owner": caller["session_id"]})
         return {"state": "open", "run_id": run_id, "events": len(page["items"]) - len(gaps), "gaps": gaps}
 
     def dream_status(self, caller, run_id):
-        row, body = self._run(run_id)
+        row, body = self._run(caller, run_id)
         changed = logs.prefix_digest(body["path"], body["end"]) != body["digest"]
         return {"state": row["state"], "generation": row["generation"], "revision": row["digest"], "source": "stale" if changed else "valid", "next": {"open": "materials" if not body["served"] else "draft", "drafted": "publish", "published": "close"}.get(row["state"])}
 
     def dream_materials(self, caller, run_id, max_bytes=CONTEXT_BYTES):
         """The run's lines, read again from their positions; text is never stored with a run."""
-        row, body = self._run(run_id)
+        row, body = self._run(caller, run_id, writes=True)
         if logs.prefix_digest(body["path"], body["end"]) != body["digest"]:
             raise CallError("source_changed")
         items = [{"byte_start": a, "raw": raw} for _, a, _, raw, gap in logs.frames(body["path"], body["start"], body["end"]) if not gap]
@@ -283,7 +302,7 @@ class Store:
         return {"items": shown, "omitted": omitted}
 
     def dream_draft(self, caller, run_id, operations, expected_revision=None):
-        row, body = self._run(run_id)
+        row, body = self._run(caller, run_id, writes=True)
         if expected_revision not in (None, row["digest"]):
             raise CallError("stale_revision")
         if row["state"] != "open" or not body["served"]:
@@ -293,7 +312,7 @@ class Store:
 
     def dream_publish(self, caller, run_id, expected_revision=None):
         """Applies the draft's captures and withdrawals one by one; each is keyed by run and place, so a retry goes on."""
-        row, body = self._run(run_id)
+        row, body = self._run(caller, run_id, writes=True)
         if expected_revision not in (None, row["digest"]):
             raise CallError("stale_revision")
         if row["state"] == "published":
@@ -315,7 +334,7 @@ class Store:
 
     def dream_close(self, caller, run_id, accept_gaps=False):
         """Moves the objective's position only if everything was served and no gap is open."""
-        row, body = self._run(run_id)
+        row, body = self._run(caller, run_id, writes=True)
         if row["state"] == "closed":
             return {"state": "closed", "position": body["end"]}
         if not body["served"]:
@@ -327,8 +346,8 @@ class Store:
         return {"state": "closed", "position": body["end"]}
 
     def dream_takeover(self, caller, run_id):
-        row, body = self._run(run_id)
-        self._save_run(run_id, row["objective"], row["target"], row["state"], row["generation"] + 1, body | {"served": False})
+        row, body = self._run(caller, run_id)
+        self._save_run(run_id, row["objective"], row["target"], row["state"], row["generation"] + 1, body | {"served": False, "owner": caller["session_id"]})
         return {"generation": row["generation"] + 1}
 
     # ---- dispatch

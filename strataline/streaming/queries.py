@@ -12,7 +12,11 @@ from . import streams
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataline-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="strataline-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,8 +36,8 @@ def _run(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 
 def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event once, by identity, within a day's delay."""
-    return _run(streams.first_events(_events(spark, sf_dir), ["event_id"], "ts", "1 day").select("event_id", "user_id"), spark, "dedupe")
+    """Each event once, by identity."""
+    return _run(streams.first_events(_events(spark, sf_dir), ["event_id"]).select("event_id", "user_id"), spark, "dedupe")
 
 
 def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,13 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 
-def first_events(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
-    """The first event of each identity; identities older than the delay are forgotten."""
+def first_events(stream: DataFrame, key: list[str], time: str | None = None, delay: str | None = None) -> DataFrame:
+    """The first event of each identity, however late it comes: the state holds every identity.
+
+    With a time and a delay identities older than the delay are forgotten, and rows that are later than that are dropped.
+    """
+    if time is None or delay is None:
+        return stream.dropDuplicates(key)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 

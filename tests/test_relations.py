@@ -35,7 +35,7 @@ def test_routes(spark):
 
 def test_chains(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "missing"), ("e", "d"), ("x", "y"), ("y", "x")], "id string, parent string")
-    got = {r.id: (r.root, r.depth if r.status == "complete" else None, r.status) for r in graph.chain_roots(df, 6).collect()}
+    got = {r.id: (r.root, r.depth if r.status == "complete" else None, r.status) for r in graph.chain_roots(df).collect()}
     assert got == {"a": ("a", 0, "complete"), "b": ("a", 1, "complete"), "c": ("a", 2, "complete"), "d": (None, None, "broken"), "e": (None, None, "broken"), "x": (None, None, "cycle"), "y": (None, None, "cycle")}
 
 
@@ -97,3 +97,11 @@ def test_preferences(spark):
     assert ids(preferences.applicable(p, "m", "p")) == ["1", "2"] and ids(preferences.applicable(p, None)) == ["1", "2", "3"]
     c = spark.createDataFrame([("t", "x", "c", ["e1", "e2"], [])], "topic string, text string, conditions string, exceptions array<string>, counterevidence array<string>")
     assert c.select(preferences.rendered().alias("r")).first()["r"] == "t: x\nWhen: c\nExcept: e1; e2"
+
+
+def test_long_chains_are_no_cycles(spark):
+    from strataline.operators import graph
+
+    rows = [(str(i), str(i - 1) if i else None) for i in range(40_000)] + [("x", "y"), ("y", "x"), ("z", "gone")]
+    got = graph.chain_roots(spark.createDataFrame(rows, "id string, parent string")).groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"complete": 40_000, "cycle": 2, "broken": 1}

@@ -95,9 +95,9 @@ def test_dispositions_issues_context_overview(store):
     assert got["groups"][0][0]["id"] == kept and store.context(ME, "evidence", previous_revision=got["revision"])["state"] == "unchanged"
     one = store.issue_open(ME, "topic", "contradicts", "first words")
     assert one["changed"] and not store.issue_open(ME, "topic", "contradicts", "first words")["changed"]
-    assert [i["issue_id"] for i in store.issue_list(ME, "words")] == [one["id"]] and store.issue_list(ME, "absent") == []
+    assert [i["issue_id"] for i in store.issue_list(ME, "words")["items"]] == [one["id"]] and store.issue_list(ME, "absent")["items"] == []
     store.issue_close(ME, one["id"], "resolved")
-    assert store.issue_list(ME) == []
+    assert store.issue_list(ME) == {"items": [], "omitted": 0}
     assert store.overview(ME)["active"] == {"decision": 2}
 
 
@@ -134,3 +134,34 @@ def test_call_envelope(store):
     assert store.call("approve", ME, {"id": "x", "review": {}})["error"]["code"] == "not_found"
     bad = store.capture(ME, {"kind": "result", "title": "k", "body": "AKIA" + "A" * 16, "sources": [{"uri": "file:///var/tmp/x"}]})
     assert [n["code"] for n in bad["notices"]] == ["secret_pattern", "volatile_source"]
+
+
+def test_writes_stay_within_what_the_caller_sees(store):
+    a, b = ME, {"project_id": "q", "session_id": "s9"}
+    rid = store.capture(a, {"kind": "decision", "title": "mine", "body": "of project p", "sources": [{"uri": "file:///data/zebra"}]}, review={"reason": "r"})["id"]
+    for tool, more in (("withdraw", {}), ("annotate", {"retired": True}), ("approve", {}), ("supersede", {"old_ids": []})):
+        assert store.call(tool, b, {"id": rid, "review": {"reason": "x"}, **more})["error"]["code"] == "not_found"
+    assert store.one(rid)["effective_status"] == "active"
+    assert [i["id"] for i in store.search(a, "zebra")["items"]] == [rid]  # found by its source alone
+    store.dispose(b, ["file:///data/zebra"])  # another project's disposition hides nothing here
+    assert store.search(a, "zebra")["items"]
+    store.dispose(a, ["file:///data/zebra"])
+    assert not store.search(a, "zebra")["items"]
+
+
+def test_issues_beyond_the_limit_are_counted(store):
+    ids = sorted(store.issue_open(ME, f"t{i}", "contradicts", "x")["id"] for i in range(4))
+    got = store.issue_list(ME, limit=3)
+    assert [i["issue_id"] for i in got["items"]] == ids[:3] and got["omitted"] == 1
+    assert store.call("issue_close", ME | {"project_id": "q"}, {"id": ids[0], "disposition": "x"})["error"]["code"] == "not_found"
+
+
+def test_only_the_owner_writes_to_a_run(store, tmp_path):
+    log = tmp_path / "l.jsonl"
+    log.write_text('{"a":1}\n')
+    run = store.dream_start(ME, "mine", str(log))["run_id"]
+    late = ME | {"session_id": "other"}
+    assert store.call("dream_materials", late, {"run_id": run})["error"]["code"] == "not_owner"
+    store.dream_takeover(late, run)
+    assert store.call("dream_materials", ME, {"run_id": run})["error"]["code"] == "not_owner" and store.dream_materials(late, run)["items"]
+    assert store.call("dream_status", ME | {"project_id": "q"}, {"run_id": run})["error"]["code"] == "not_found"

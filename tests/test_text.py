@@ -52,3 +52,14 @@ def test_body_uris_and_digests(spark):
     assert one(spark, T.canonical_digest, '{"b":1,"a":[2]}') == one(spark, T.canonical_digest, '{"a":[2], "b":1}')
     assert one(spark, T.canonical_digest, '{"a":1,"a":2}') is None and one(spark, T.canonical_digest, '{"a":NaN}') is None
     assert spark.range(1, 9).select(T.backoff_seconds(F.col("id")).alias("s")).agg(F.collect_list("s")).first()[0] == [3600, 7200, 14400, 28800, 57600, 86400, 86400, 86400]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from pyspark.sql import functions as F
+
+    from strataline.functions import text
+
+    digest = "ab" * 32
+    df = spark.createDataFrame([("\t Ab\u00a0\u3000\r\n", f"x\r\nSources: {digest}, file:///a\t\r\nSources: {digest}\r\ny")], "t string, b string")
+    got = df.select(text.normalized(F.col("t")).alias("n"), text.normalized_exact(F.col("t")).alias("e"), text.redact(F.col("t")).alias("r"), text.semantic_body(F.col("b")).alias("s")).first()
+    assert got.n == got.e == "ab" and got.r == "Ab" and got.s == "x\nSources: file:///a\ny"
