@@ -22,8 +22,8 @@ WIDE = 4
 RADIUS_HALF, RADIUS = 44, 76
 #: Sets of fewer shingles than this have no other set of similarity 0.8.
 SMALL = 4
-#: Sets in a tile, at the mean.
-TILE = 32768
+#: Sets in a tile, and bytes of its whole sets where these travel along, at the mean.
+TILE, TILE_BYTES = 32768, 32 << 20
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -127,8 +127,39 @@ def leads(a: tuple, b: tuple, same: bool, least: Fraction = LEAST) -> np.ndarray
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
-def tile_pairs(nodes: DataFrame, scratch: Scratch, open_only: bool, least: Fraction = LEAST, tile: int = TILE) -> DataFrame:
-    """(a, b): candidate pairs of nodes(node, n, fp, root), in open_only all those of different roots, else the leads.
+def linked(x: np.ndarray, y: np.ndarray, a: tuple, b: tuple, parent: dict, least: Fraction = LEAST) -> list[tuple[int, int]]:
+    """The candidates (x, y) of two tiles (roots, n, offsets, sets) that hold by their whole sets and join what wasn't joined yet."""
+
+    def top(r):
+        while (up := parent.get(r, r)) != r:
+            r = up
+        return r
+
+    out = []
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    for lo, hi in zip(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [*(np.flatnonzero(x[1:] != x[:-1]) + 1), len(x)]):
+        i, mine = int(x[lo]), a[3][a[2][x[lo]] : a[2][x[lo] + 1]]
+        js = np.array([j for j in y[lo:hi].tolist() if top(int(b[0][j])) != top(int(a[0][i]))], np.int64)
+        for js in np.array_split(js, max(1, -(-int(b[1][js].sum()) // (1 << 22)))) if len(js) else ():  # words held at a time
+            if not len(js):
+                continue
+            size = b[1][js]
+            starts = np.cumsum(size) - size
+            other = b[3][np.repeat(b[2][js] - starts, size) + np.arange(int(size.sum()))]
+            at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+            same = np.add.reduceat((mine[at] == other).astype(np.int64), starts)
+            for j in js[same * least.denominator >= least.numerator * (len(mine) + size - same)].tolist():
+                p, q = top(int(a[0][i])), top(int(b[0][j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((i, j))
+    return out
+
+
+def tile_pairs(nodes: DataFrame, scratch: Scratch, want: str, least: Fraction = LEAST, tile: int = TILE) -> DataFrame:
+    """(a, b): of nodes(node, n, fp, root) the pairs of ``leads``; or (a = b) the ``open`` nodes, which have a candidate of another
+    root; or, of nodes with their sets s, the ``links`` between different roots, each verified where its tiles meet, as a forest.
 
     Nodes are dealt into tiles by bands of their size, each 1 / least times as wide as the one before, so that a tile
     meets its own band and the next one alone. A tile travels as packed arrays. The work grows with the square of the
@@ -137,16 +168,19 @@ def tile_pairs(nodes: DataFrame, scratch: Scratch, open_only: bool, least: Fract
     spark, wide = nodes.sparkSession, float(1 / least)
     band = F.floor(F.log("n") / F.lit(float(np.log(wide))) + F.lit(1e-9)).cast("int")
     banded = nodes.withColumn("band", band)
-    parts = {r["band"]: -(-r["count"] // tile) for r in banded.groupBy("band").count().collect()}  # a few dozen bands
+    whole = want == "links"
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n").alias("words")).collect()  # a few dozen bands
+    parts = {r["band"]: max(-(-r["n"] // tile), -(-8 * r["words"] // TILE_BYTES) if whole else 1) for r in sizes}
     if not parts:
         return spark.createDataFrame([], "a bigint, b bigint")
     meta = spark.createDataFrame(sorted(parts.items()), "band int, parts int")
     dealt = banded.join(F.broadcast(meta), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    packed = dealt.groupBy("band", "part").agg(F.sort_array(F.collect_list(F.struct("n", "node", "root", "fp"))).alias("s"))  # tile rows, at the mean
-    packed = scratch.table(packed.select("band", "part", *[F.col(f"s.{c}").alias(c) for c in ("n", "node", "root")], F.flatten("s.fp").alias("fp")), "tiles")
+    packed = dealt.groupBy("band", "part").agg(F.sort_array(F.collect_list(F.struct("n", "node", "root", "fp", *["s"] * whole))).alias("s"))  # tile rows, at the mean
+    packed = scratch.table(packed.select("band", "part", *[F.col(f"s.{c}").alias(c) for c in ("n", "node", "root")], F.flatten("s.fp").alias("fp"), *[F.flatten("s.s").alias("sets")] * whole), "tiles")
+    cols = ["n", "node", "root", "fp", *["sets"] * whole]
     left = packed.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("other")).join(F.broadcast(meta.selectExpr("band AS other", "parts")), "other")
     left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("opart")).where("other > band OR opart >= part")
-    right = packed.selectExpr("band AS other", "part AS opart", *[f"{c} AS o_{c}" for c in ("n", "node", "root", "fp")])
+    right = packed.selectExpr("band AS other", "part AS opart", *[f"{c} AS o_{c}" for c in cols])
     n_pairs = sum(k * (k + parts.get(b + 1, 0)) for b, k in parts.items())
     pairs = left.join(right, ["other", "opart"]).repartition(max(1, min(n_pairs, 20000)), "band", "part", "other", "opart")
 
@@ -157,18 +191,24 @@ def tile_pairs(nodes: DataFrame, scratch: Scratch, open_only: bool, least: Fract
                 col = {c: row.column(c).flatten().to_numpy(zero_copy_only=False) for c in row.schema.names if row.schema.field(c).type.num_fields}
                 same = row.column("band").equals(row.column("other")) and row.column("part").equals(row.column("opart"))
                 a, b = ((col[o + "n"].astype(np.int64), np.ascontiguousarray(col[o + "fp"].view(np.uint64).reshape(-1, WIDE).T)) for o in ("", "o_"))
-                both = (col["node"], col["node"] if same else col["o_node"])
-                if open_only:
-                    got = []
+                node, root = ([col[c], col[c] if same else col[f"o_{c}"]] for c in ("node", "root"))
+                if want == "leads":
+                    pair = np.concatenate(node)[leads(a, b, same, least)] if not same else node[0][leads(a, b, same, least)]
+                    pair = np.sort(pair.reshape(-1, 2), axis=1)
+                elif want == "open":
+                    open_ = [np.zeros(len(node[0]), bool), np.zeros(len(node[1]), bool)]
                     for x, y, _ in candidates(a, b, same, least):
-                        apart = col["root"][x] != (col["root"] if same else col["o_root"])[y]
-                        got.append((both[0][x[apart]], both[1][y[apart]]))
-                    for x, y in got:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                        apart = root[0][x] != root[1][y]
+                        open_[0][x[apart]], open_[1][y[apart]] = True, True
+                    some = np.concatenate([node[0][open_[0]], node[1][open_[1]]])
+                    pair = np.stack([some, some], 1)
                 else:
-                    name = col["node"] if same else np.concatenate(both)
-                    pair = np.sort(name[leads(a, b, same, least)].reshape(-1, 2), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], ["a", "b"])
+                    sides = [(r, n, np.concatenate([[0], np.cumsum(n)]), s.view(np.uint64)) for r, n, s in zip(root, (a[0], b[0]), (col["sets"], col["sets"] if same else col["o_sets"]))]
+                    got, parent = [], {}
+                    for x, y, _ in candidates(a, b, same, least):
+                        got += linked(x, y, *sides, parent, least)
+                    pair = np.array([(node[0][i], node[1][j]) for i, j in got], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
@@ -199,7 +239,8 @@ def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
     pairs: those within a radius that a pair of the similarity exceeds once in 10,000 cases at the very threshold, hardly
     ever above it. The exact similarity of every proposed pair decides. First each node meets two others
     of each tile (its nearest one, and the one with most close ones); after that all proposed pairs that this
-    hasn't joined are verified, so a large group of near copies isn't compared pair by pair. Empty tables
+    hasn't joined are verified where their tiles meet, which then hold the sets of what is still open, so that no pair ever
+    travels and a large group of near copies makes no more rows than it has members. Empty tables
     give no rows; a column of docs named group is replaced.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "nearcopies")
@@ -215,27 +256,25 @@ def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
     nodes = own.where(F.col("n") >= SMALL).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("t").alias("t"))
     nodes = scratch.table(nodes.withColumn("root", F.col("node")), "nodes")
 
-    def check(pairs):
-        """The pairs that hold, by the whole sets of their nodes, from one text of each."""
-        wanted = pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct()
+    def sets_of(wanted):
+        """(node, s): the whole sets of some nodes(node), from one text of each."""
         one = scratch.table(nodes.join(wanted, "node").select("node", "t"), "wanted")
         full = keyed.join(one, "t").groupBy("node").agg(F.first("text").alias("text"))
 
         def whole(part):
             return {"node": part.column("node"), "s": pa.array([shingles(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))}
 
-        sets = scratch.table(map_batches(full, whole, "node bigint, s array<bigint>"), "sets")
-        links = scratch.table(verified(pairs, sets, least), "links")
-        scratch.drop(sets, one)
-        return links
+        return scratch.table(map_batches(full, whole, "node bigint, s array<bigint>"), "sets")
 
-    pairs = scratch.table(tile_pairs(nodes, scratch, False, least).distinct(), "pairs")
-    edges = check(pairs)
+    pairs = scratch.table(tile_pairs(nodes, scratch, "leads", least).distinct(), "pairs")
+    sets = sets_of(pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct())
+    edges = scratch.table(verified(pairs, sets, least), "links")
+    scratch.drop(sets)
     comp = components(spark, edges, scratch)
-    joined = nodes.drop("root").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = tile_pairs(joined, scratch, True, least).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.table(rest, "rest")
-    edges = edges.unionByName(check(rest))
+    joined = scratch.table(nodes.drop("root").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
+    rest = scratch.table(tile_pairs(joined, scratch, "open", least).select(F.col("a").alias("node")).distinct(), "rest")
+    sets = sets_of(rest)
+    edges = edges.unionByName(scratch.table(tile_pairs(joined.join(sets, "node"), scratch, "links", least), "more"))
     comp = components(spark, edges, scratch)
     group = own.select("t", "node").distinct().join(comp, "node", "left").select(F.col("t").alias("__t"), F.coalesce("root", "node").alias("__group"))
     group = scratch.table(group, "groups")
