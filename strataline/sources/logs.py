@@ -41,11 +41,15 @@ def frames(path: str, start: int, end: int, most: int = MAX_EVENT) -> Iterator[t
         f.seek(start)
         at = start
         while at < end:
-            line = f.readline()
-            if not line.endswith(b"\n") or at + len(line) > end:
+            line = f.readline(most + 1)
+            size, last = len(line), line
+            while last and not last.endswith(b"\n"):  # an oversized line is read on in parts and not kept
+                last = f.readline(1 << 20)
+                size += len(last)
+            if not last.endswith(b"\n") or at + size > end:
                 return
-            stop = at + len(line)
-            if len(line) > most:
+            stop = at + size
+            if size > most:
                 yield path, at, stop, None, "oversized_event"
             else:
                 try:

@@ -138,3 +138,10 @@ def test_header_looks_at_first_lines_only(spark, tmp_path):
     path = write(tmp_path / "h.jsonl", [{"x": 1}, {"cwd": "/a", "s": "1"}, {"cwd": "/b"}, *[{"x": 1}] * 70, {"late": "no"}])
     row = logs.header(logs.lines(spark, path), {"cwd": "$.cwd", "session": "$.s", "late": "$.late"}).first()
     assert (row.cwd, row.session, row.late) == ("/a", "1", None)
+
+
+def test_oversized_lines_are_drained(tmp_path):
+    path = tmp_path / "big.jsonl"
+    path.write_bytes(b"short\n" + b"x" * 3_000_000 + b"\n" + b"y" * 10 + b"\nlast without an end" + b"z" * 50)
+    got = list(logs.frames(str(path), 0, path.stat().st_size, most=20))
+    assert [(a, b, raw, gap) for _, a, b, raw, gap in got] == [(0, 6, "short", None), (6, 3_000_007, None, "oversized_event"), (3_000_007, 3_000_018, "y" * 10, None)]
