@@ -11,10 +11,22 @@ from ..functions.text import normalized, tokens
 # Roles of a narrative in the order in which they are shown.
 NARRATIVE_ROLES = ("preference", "goal", "background", "milestone", "branch", "outcome", "current", "question")
 
+# Groups of a context packet in the order in which they are packed.
+CONTEXT_GROUPS = ("owner", "preference", "task", "background")
+
+
+def _place(value: Column, known: tuple[str, ...]) -> Column:
+    place = F.array_position(F.array(*[F.lit(k) for k in known]), value)
+    return F.when(place > 0, place).otherwise(len(known) + 1)
+
 
 def role_order(role: Column) -> Column:
-    place = F.array_position(F.array(*[F.lit(r) for r in NARRATIVE_ROLES]), role)
-    return F.when(place > 0, place).otherwise(len(NARRATIVE_ROLES) + 1)
+    return _place(role, NARRATIVE_ROLES)
+
+
+def group_order(group: Column) -> Column:
+    """From 0; what is none of the groups comes after them."""
+    return (_place(group, CONTEXT_GROUPS) - 1).cast("int")
 
 
 def replaced(records: DataFrame, qualifier: list[str]) -> DataFrame:

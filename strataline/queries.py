@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import access, extract, graph, lifecycle, preferences, rank, report, review, transcripts, views
+from .sources import records
+from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,9 +92,16 @@ s AS (SELECT id, sum(wt * ln(1 + ((SELECT count(*) FROM r) - df + 0.5) / (df + 0
 # ---- scans and predicates
 
 
-@query(f"WITH {DOCS} SELECT id, project_id, domain, title, CAST(strlen(body) AS BIGINT) AS body_bytes, sha256(body) AS content_digest FROM r")
+@query(f"""WITH {DOCS} SELECT md5(CAST(id AS VARCHAR)) AS id, project_id, title, CAST(strlen(body) AS BIGINT) AS body_bytes, sha256(body) AS content_digest,
+  array_to_string(list_filter([CASE WHEN id % 5 = 1 THEN 'kind' END, CASE WHEN id % 7 = 1 THEN 'worktree' END, CASE WHEN strlen(body) > {records.MAX_BYTES} THEN 'size' END], lambda x: x IS NOT NULL), ',') AS errors FROM r WHERE trim(title) <> ''""")
 def scan_records(spark, d):
-    return doc_records(spark, d).select("id", "project_id", "domain", "title", F.octet_length("body").cast("bigint").alias("body_bytes"), F.sha2("body", 256).alias("content_digest"))
+    """Each document as a record file: some of an unknown kind, some of a worktree that isn't named."""
+    r = doc_records(spark, d).where("trim(title) <> ''")
+    scope, kind = F.when(F.col("id") % 7 == 1, "worktree").otherwise("project"), F.when(F.col("id") % 5 == 1, "rumour").otherwise("result")
+    head = F.to_json(F.struct(F.md5(F.col("id").cast("string")).alias("id"), "project_id", scope.alias("scope"), kind.alias("kind"), "title", F.lit("candidate").alias("status")))
+    raw = r.select(F.col("id").cast("string").alias("path"), F.concat(F.lit("---json\n"), head, F.lit("\n---\n"), "body").alias("value"), F.octet_length("body").alias("n_bytes"))
+    got = records.parse_records(raw, strict=False)
+    return got.select("id", "project_id", "title", F.octet_length("body").cast("bigint").alias("body_bytes"), F.sha2("body", 256).alias("content_digest"), F.array_join("errors", ",").alias("errors"))
 
 
 def scoped(spark, d):
@@ -343,10 +352,13 @@ def semantic_body_strip(spark, d):
     return doc_records(spark, d).select("id", T.semantic_body(body).alias("shown"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS params FROM pages")
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+  SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'file:///data x' || path WHEN 1 THEN 'file:///tmp' || path ELSE url END AS key, page_id % 3 = 1 AS volatile FROM p""")
 def source_uri_parse(spark, d):
-    part = lambda p: F.coalesce(F.try_parse_url("url", F.lit(p)), F.lit(""))
-    return table(spark, d, "pages").select("page_id", part("HOST").alias("host"), part("PATH").alias("path"), part("QUERY").alias("params"))
+    """The path of each page as a file of a host, as a temporary file, or the page's own address."""
+    path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
+    uri = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("file://localhost/data%20x"), path)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("file:///tmp"), path)).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", T.source_key(uri).alias("key"), T.volatile_path(uri).alias("volatile"))
 
 
 @query("SELECT doc_id AS id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in T.SECRET_CLASSES) + "], lambda x: x IS NOT NULL), ',') AS classes FROM documents")
@@ -393,8 +405,7 @@ _GROUP = {"1-URGENT": "owner", "2-HIGH": "preference", "3-MEDIUM": "task", "4-NO
   SELECT id, grp, row_number() OVER (PARTITION BY o_custkey ORDER BY grp, id) AS place FROM g""")
 def context_group_order(spark, d):
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in _GROUP.items() for x in kv])[F.col("o_orderpriority")], F.lit("background"))
-    grp = F.array_position(F.array(*[F.lit(k) for k in ("owner", "preference", "task", "background")]), kind) - 1
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", grp.cast("int").alias("grp"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", views.group_order(kind).alias("grp"))
     return o.select("id", "grp", F.row_number().over(Window.partitionBy("o_custkey").orderBy("grp", "id")).cast("bigint").alias("place"))
 
 
@@ -408,8 +419,14 @@ def byte_prefix_pack(spark, d):
 
 @query(rf"SELECT conv_id, turn, role, md5(text) AS digest FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' AND NOT regexp_matches(text, '{T.READER_SECRET}')")
 def transcript_role_filter(spark, d):
+    """Each conversation as a session log: a header, then a line for each turn."""
     c = table(spark, d, "conversations")
-    return c.where(F.col("role").isin("user", "assistant") & (F.col("text") != "") & ~F.col("text").rlike(T.READER_SECRET)).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+    message = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("input_text").alias("type"), "text")).alias("content"))
+    turns = c.select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 2).alias("line"), F.to_json(F.struct(F.lit("response_item").alias("type"), message.alias("payload"))).alias("raw"))
+    header = F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("1.0").alias("cli_version"), F.lit("cli").alias("source"))
+    heads = c.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("path"), F.lit(1).cast("bigint").alias("line"), F.to_json(F.struct(F.lit("session_meta").alias("type"), header.alias("payload"))).alias("raw"))
+    got = transcripts.decode(heads.unionByName(turns), "codex").where("text IS NOT NULL")
+    return got.select(F.col("session").cast("bigint").alias("conv_id"), (F.col("line") - 2).alias("turn"), "role", F.md5("text").alias("digest"))
 
 
 _LINE = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -464,7 +481,7 @@ def greedy_windows(spark, d):
 y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM y GROUP BY user_id, s""")
 def idle_sessions(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n")).select("user_id", "first_ts", "last_ts", "n")
+    return streams.closed_sessions(e, "user_id", "ts", "1 hour", "0 seconds")
 
 
 def _listing(spark, d):

@@ -36,10 +36,14 @@ def errors() -> Column:
 def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Records of a folder of Markdown files: the header's fields, body, path and errors.
 
-    A header with repeated keys or NaN is no header. ``strict`` fails the query at the first bad file; else
-    bad files come with their errors.
+    ``strict`` fails the query at the first bad file; else bad files come with their errors.
     """
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value", F.octet_length("value").alias("n_bytes"))
+    return parse_records(raw, strict)
+
+
+def parse_records(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """raw(path, value, n_bytes) to records. A header with repeated keys or NaN is no header."""
     fenced = r"(?s)^---(?:json)?\n(.*?)\n---\n?(.*)$"
     head = F.regexp_extract("value", fenced, 1)
     rows = raw.select("path", "n_bytes", F.when(F.try_parse_json(head).isNotNull(), F.from_json(head, HEADER)).alias("h"), F.regexp_extract("value", fenced, 2).alias("body"))
