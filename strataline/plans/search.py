@@ -62,7 +62,7 @@ def search(records: DataFrame, scope: dict, query: str = "", limit: int = 20, cu
         raise ValueError("limit")
     pool = candidates(records, scope, **{k: how[k] for k in ("share_edges", "dispositions", "statuses", "include_inactive") if k in how})
     print_ = pool.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*[c for c, t in pool.dtypes if not t.startswith("map")])).alias("x")).first()
-    now = packing.revision(query, scope, [print_["n"], print_["x"]], {k: str(v) for k, v in how.items() if k in ("domain", "mode", "restrict_mode")})
+    now = packing.revision(query, scope, [print_["n"], print_["x"]], {k: str(v) for k, v in how.items() if k in ("domain", "mode", "restrict_mode", "expansion")})
     offset = 0
     if cursor:
         then, offset = packing.decode_cursor(cursor, "search")

@@ -23,14 +23,16 @@ from . import search as finder
 
 # The calls there are, with what each must and may be given.
 CALLS = {
-    "context": (set(), {"query", "limit", "max_bytes", "task_mode", "previous_revision"}), "search": (set(), {"query", "limit", "cursor", "statuses", "include_inactive", "domain", "task_mode", "mode_restriction"}),
-    "read": ({"ids"}, {"max_bytes"}), "capture": ({"record"}, {"review", "details", "idempotency_key"}), "approve": ({"id", "review"}, {"idempotency_key"}),
+    "context": (set(), {"query", "limit", "max_bytes", "task_mode", "previous_revision"}), "search": (set(), {"query", "limit", "cursor", "statuses", "include_inactive", "domain", "task_mode", "mode_restriction", "include_shared"}),
+    "read": ({"ids"}, {"max_bytes", "include_shared"}), "capture": ({"record"}, {"review", "details", "idempotency_key"}), "approve": ({"id", "review"}, {"idempotency_key"}),
     "supersede": ({"id", "old_ids", "review"}, {"idempotency_key"}), "withdraw": ({"id", "review"}, {"idempotency_key"}), "annotate": ({"id", "review"}, {"details", "retired", "expected_revision", "idempotency_key"}),
     "source_list": ({"path"}, {"after", "limit"}), "source_read": ({"path"}, {"cursor", "max_bytes"}), "dream_start": ({"objective", "path"}, set()), "dream_status": ({"run_id"}, set()),
     "dream_materials": ({"run_id"}, {"max_bytes"}), "dream_draft": ({"run_id", "operations"}, {"expected_revision"}), "dream_publish": ({"run_id"}, {"expected_revision"}), "dream_close": ({"run_id"}, {"accept_gaps"}),
     "dream_takeover": ({"run_id"}, set()), "overview": (set(), {"scenario", "max_bytes"}), "issue_open": ({"topic", "relation", "text"}, set()), "issue_list": (set(), {"query", "limit"}), "issue_close": ({"id", "disposition"}, set()),
 }
 CONTEXT_BYTES = 8000
+# Projects that one project imports from, and topics of a project, at most; both are broadcast.
+MOST_SHARES, MOST_TOPICS = 128, 64
 DETAILS = "summary string, conditions string, domain string, topics array<string>, aliases array<string>, share_with array<string>, task_modes array<string>, assurance string"
 
 
@@ -46,6 +48,8 @@ class Store:
         self.events = table("events", "record_id string, at timestamp, op string, session string, reason string, old_ids array<string>, retired boolean, details string")
         self.issues = table("issues", "issue_id string, target string, topic string, relation string, text string, disposition string")
         self.dispositions = table("dispositions", "target string, topic string, kind string, source_keys array<string>")
+        self.shares = table("shares", "target string, source string, domain string")
+        self.topics = table("topics", "target string, topic_id string, title string, aliases array<string>, search_terms array<string>")
         self.runs = table("runs", "run_id string, objective string, target string, state string, generation bigint, body string")
 
     # ---- state
@@ -88,8 +92,42 @@ class Store:
         """The dispositions of the caller's own project: no project hides sources from another."""
         return self.dispositions.all().where(F.col("target") == caller["project_id"])
 
+    def imports(self, caller: dict) -> DataFrame:
+        """Edges (from, to, domain) into the caller's project, MOST_SHARES at most."""
+        rows = self.shares.all().where(F.col("target") == caller["project_id"])
+        return rows.select(F.col("source").alias("from"), F.col("target").alias("to"), "domain")
+
+    def expansion(self, caller: dict, query: str) -> list[str]:
+        """Search terms that the project's topics add to a query which names them."""
+        if not query.strip():
+            return []
+        asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        last = self.topics.all().where(F.col("target") == caller["project_id"]).groupBy("topic_id").agg(F.max_by(F.struct("title", "aliases", "search_terms"), "seq").alias("t"))
+        rows = access.route_matches(asked, last.select("topic_id", "t.*")).collect()  # a row a topic
+        return sorted({t for r in rows for t in r["expansion"]})
+
     # ---- writes
 
+    def share(self, caller: dict, source: str, domain: str | None = None) -> dict:
+        """The caller's project imports from another one what that one's records share with it."""
+        key = sha256(canonical_json([caller["project_id"], source, domain]).encode()).hexdigest()
+        there = self.shares.all().where(F.col("target") == caller["project_id"])
+        if there.where(F.col("op_key") != key).count() >= MOST_SHARES:
+            raise CallError("too_many_shares")
+        n = self.shares.append(self.spark.createDataFrame([(key, caller["project_id"], source, domain)], "op_key string, target string, source string, domain string"), "target")
+        return {"id": key, "added": bool(n)}
+
+    def route(self, caller: dict, topic_id: str, title: str, aliases: list[str] = (), search_terms: list[str] = ()) -> dict:
+        """A topic of the caller's project; the last one of an id counts."""
+        body = [caller["project_id"], topic_id, title, list(aliases), list(search_terms)]
+        there = self.topics.all().where(F.col("target") == caller["project_id"])
+        if there.where(F.col("topic_id") != topic_id).select("topic_id").distinct().count() >= MOST_TOPICS:
+            raise CallError("too_many_topics")
+        n = there.where(F.col("topic_id") == topic_id).count()
+        row = (sha256(canonical_json([*body, n]).encode()).hexdigest(), *body)
+        self.topics.append(self.spark.createDataFrame([row], "op_key string, target string, topic_id string, title string, aliases array<string>, search_terms array<string>"), "target")
+        return {"id": topic_id}
+
     def _event(self, key, record_id, op, session, reason, old_ids=None, retired=None, details=None, expected=None) -> dict:
         row = {"op_key": key, "record_id": record_id, "at": self.clock(), "op": op, "session": session, "reason": reason, "old_ids": old_ids, "retired": retired, "details": details and canonical_json(details), "expected": expected}
         seen = self.events.all().where(F.col("op_key") == key).first()
@@ -161,14 +199,16 @@ class Store:
 
     # ---- reads
 
-    def search(self, caller, query="", limit=20, cursor=None, statuses=("active",), include_inactive=False, domain=None, task_mode=None, mode_restriction=False):
-        how = {"statuses": tuple(statuses), "include_inactive": include_inactive, "domain": domain, "mode": task_mode, "dispositions": self.prohibited(caller), "restrict_mode": mode_restriction}
+    def search(self, caller, query="", limit=20, cursor=None, statuses=("active",), include_inactive=False, domain=None, task_mode=None, mode_restriction=False, include_shared=False):
+        how = {"expansion": self.expansion(caller, query), "statuses": tuple(statuses), "include_inactive": include_inactive, "domain": domain, "mode": task_mode, "dispositions": self.prohibited(caller), "restrict_mode": mode_restriction}
+        if include_shared:
+            how["share_edges"] = self.imports(caller)
         return finder.search(self.current().drop("supersedes", "touched_at"), caller, query, limit, cursor, **how)
 
-    def read(self, caller, ids, max_bytes=finder.SEARCH_BYTES):
+    def read(self, caller, ids, max_bytes=finder.SEARCH_BYTES, include_shared=False):
         if not 1 <= len(ids) <= 100:
             raise CallError("invalid_input")
-        rows = self.current().where(access.visible(caller["project_id"], caller.get("worktree_id"), caller.get("task_id")))
+        rows = finder.candidates(self.current(), caller, share_edges=self.imports(caller) if include_shared else None, include_inactive=True)
         shown = rows.select("id", "project_id", "kind", "title", "body", "effective_status", "assurance", "revision", F.col("sources.uri").alias("sources"))
         return finder.read(shown, ids, max_bytes)
 

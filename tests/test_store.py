@@ -165,3 +165,40 @@ def test_only_the_owner_writes_to_a_run(store, tmp_path):
     store.dream_takeover(late, run)
     assert store.call("dream_materials", ME, {"run_id": run})["error"]["code"] == "not_owner" and store.dream_materials(late, run)["items"]
     assert store.call("dream_status", ME | {"project_id": "q"}, {"run_id": run})["error"]["code"] == "not_found"
+
+
+def test_shared_records_need_both_sides(store):
+    there, here = ME | {"project_id": "q"}, ME
+    given = add(store, "zebra given")
+    store.annotate(ME, given, {"reason": "for q"}, details={"share_with": ["q"], "domain": "ops"})
+    add(store, "zebra kept back")
+    assert store.search(there, "zebra", include_shared=True)["items"] == []
+    assert store.share(there, "p")["added"] and not store.share(there, "p")["added"]
+    assert [r["id"] for r in store.search(there, "zebra", include_shared=True)["items"]] == [given]
+    assert store.search(there, "zebra")["items"] == []
+    assert store.read(there, [given])["missing"] == [given] and store.read(there, [given], include_shared=True)["missing"] == []
+    assert len(store.search(here, "zebra")["items"]) == 2
+    with pytest.raises(CallError, match="not_found"):
+        store.withdraw(there, given, {"reason": "not theirs"})  # what is shared can be read, not written
+
+
+def test_topics_add_terms_to_a_query(store):
+    hit = add(store, "quokka", "marsupial of islands")
+    assert store.search(ME, "wildlife")["items"] == []
+    store.route(ME, "animals", "Wildlife", ["fauna"], ["zebra"])
+    store.route(ME, "animals", "Wildlife", ["fauna"], ["quokka"])  # the last one counts
+    assert [r["id"] for r in store.search(ME, "wildlife")["items"]] == [hit]
+    assert store.search(ME | {"project_id": "q"}, "wildlife")["items"] == []
+
+
+def test_shares_and_topics_are_bounded(store, monkeypatch):
+    monkeypatch.setattr("strataline.plans.store.MOST_SHARES", 1)
+    monkeypatch.setattr("strataline.plans.store.MOST_TOPICS", 1)
+    store.share(ME, "a")
+    store.share(ME, "a")
+    store.route(ME, "t", "T")
+    store.route(ME, "t", "T again")
+    with pytest.raises(CallError, match="too_many_shares"):
+        store.share(ME, "b")
+    with pytest.raises(CallError, match="too_many_topics"):
+        store.route(ME, "u", "U")
