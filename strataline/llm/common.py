@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 128
 #: Bytes of text in such a slice, so that many long texts together need little memory.
 SLICE_BYTES = 4 << 20
+#: Edges that one task joins at the end of components (16 bytes each), and that a task folds before it hands them on.
+FEW_EDGES, HELD_EDGES = 1 << 17, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -126,15 +128,48 @@ def ascii_lower(text):
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the components of some edges, root the smallest node; roots themselves are left out."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, parent = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        x, y = parent[a], parent[b]
+        odd = x != y
+        if not odd.any():
+            break
+        a, b, x, y = a[odd], b[odd], x[odd], y[odd]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    odd = parent != np.arange(len(ids))
+    return ids[odd], ids[parent[odd]]
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """(u, v): each task's forest of edges(u bigint, v bigint), every node next to its smallest; at most HELD_EDGES and a batch are held."""
+
+    def run(batches):
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            u, v = forest(*(np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate((u, v))))
+            if len(u) > HELD_EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                u, v = u[:0], v[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges(a bigint, b bigint): (node, root), root the smallest node reachable.
 
-    Alternating large-star and small-star steps, each a pre-aggregated minimum and an equi-join, so a
-    star with a third of all nodes is neither collected nor expanded. Nodes without an edge are absent.
+    Each task first keeps a forest of its own edges. Then come alternating large-star and small-star steps, each a
+    pre-aggregated minimum and an equi-join, so a star with a third of all nodes is neither collected nor
+    expanded. Once no more than ``few`` edges are left, one task joins them. Nodes without an edge are absent.
     """
-    now = scratch.table(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
-    last = None
-    while True:
+    now = scratch.table(forests(edges.where("a <> b").selectExpr("a AS u", "b AS v")), "edges")
+    last, n = None, now.count()
+    while n > few:
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
@@ -144,7 +179,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         nxt = scratch.table(small, "small")
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(large, now)
-        now = nxt
+        now, n = nxt, mark[0]
         if mark == last:
             return now.selectExpr("u AS node", "v AS root")
         last = mark
+    roots = scratch.table(forests(now.coalesce(1)), "roots")
+    scratch.drop(now)
+    return roots.selectExpr("u AS node", "v AS root")

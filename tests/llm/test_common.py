@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -34,3 +35,20 @@ def test_a_cluster_without_a_shared_folder_fails_loudly():
 
     with pytest.raises(ValueError):
         common.shared_dir(Fake())
+
+
+@pytest.mark.parametrize("few,held", [(0, 1 << 20), (1 << 17, 1 << 20), (40, 10)])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few, held):
+    monkeypatch.setattr(common, "HELD_EDGES", held)
+    rng = np.random.default_rng(5)
+    pairs = [(7, k) for k in range(100, 160)] + [(k, k + 1) for k in range(200, 240)] + [(5, 5), (-3, 900), (900, -3)]
+    pairs += [(int(a), int(b)) for a, b in rng.integers(1000, 1120, (70, 2))]
+    least = {n: n for p in pairs if p[0] != p[1] for n in p}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5)
+    got = common.components(spark, edges, common.Scratch(spark, "test"), few).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((n, r) for n, r in least.items() if n != r)
+    assert common.components(spark, edges.limit(0), common.Scratch(spark, "test"), few).count() == 0
