@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, fingerprints, lines, lm, mixing, quality, secrets, simhash, substrings, toxicity
+from . import alignment, ann, decontaminate, fingerprints, lines, lm, mixing, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_query,
     "op9_toxicity": toxicity.op9_query,
     "op10_substrings": substrings.op10_query,
+    "op11_alignment": alignment.op11_query,
     "op13_fingerprints": fingerprints.op13_query,
 }
 
