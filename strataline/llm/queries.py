@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, decontaminate, fingerprints, lines, lm, mixing, quality, secrets, simhash, substrings, toxicity
+from . import alignment, ann, decontaminate, fingerprints, lines, lm, mixing, phrases, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_query,
     "op10_substrings": substrings.op10_query,
     "op11_alignment": alignment.op11_query,
+    "op12_phrases": phrases.op12_query,
     "op13_fingerprints": fingerprints.op13_query,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op10_substrings": substrings.OP10_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
