@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import backoff_seconds, redact
+from . import graph
+from .scan import CHUNK, running
 
 # What a worker's lesson may be about, and openings that only restate a task.
 WORKER_CATEGORIES = ("mistake", "correction", "capability-gap")
@@ -49,22 +51,34 @@ def next_attempts(jobs: DataFrame) -> DataFrame:
 def greedy_windows(events: DataFrame, key: str, order: str, window_bytes: int, label: Column | None = None) -> DataFrame:
     """key, window, first, last, n, bytes: events packed in order; a window closes before the line that overflows it.
 
+    ``order`` is a whole number, no two lines of a session share it.
     Text is redacted first and empty texts drop out. A line longer than a window is cut to fit. Equal
-    prefixes give equal windows, so a grown session resumes where it was. The pack restarts at each close,
-    which no running sum expresses, so it is a fold over the lines of one session.
+    prefixes give equal windows, so a grown session resumes where it was. Where the window that would begin at a line ends follows from
+    running sums of bytes; the windows there are begin at the lines that these pointers lead to from the first line, found by doubling. So a
+    session of any length is spread over all tasks.
     """
     text = redact(F.col("text"))
     line = F.concat(F.lit("["), label if label is not None else F.concat(F.lit("L"), F.col(order)), F.lit("] "), F.col("role"), F.lit(": "), F.col("__text"), F.lit("\n"))
     size = F.least(F.octet_length(line), F.lit(window_bytes)).cast("bigint")
-    lines = events.withColumn("__text", text).where("__text <> ''").select(key, F.col(order).cast("bigint").alias("o"), size.alias("s"))
-    packed = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "s"))).alias("e"))
-    fold = F.expr(f"""aggregate(e, named_struct('w', 1L, 'used', 0L, 'out', CAST(array() AS array<struct<w:bigint,o:bigint,s:bigint>>)),
-        (a, x) -> IF(a.used > 0 AND a.used + x.s > {window_bytes},
-            named_struct('w', a.w + 1, 'used', x.s, 'out', array_append(a.out, named_struct('w', a.w + 1, 'o', x.o, 's', x.s))),
-            named_struct('w', a.w, 'used', a.used + x.s, 'out', array_append(a.out, named_struct('w', a.w, 'o', x.o, 's', x.s)))),
-        a -> a.out)""")
-    each = packed.select(key, F.explode(fold).alias("x"))
-    return each.groupBy(key, F.col("x.w").alias("window")).agg(F.min("x.o").alias("first"), F.max("x.o").alias("last"), F.count("*").alias("n"), F.sum("x.s").alias("bytes"))
+    lines = events.withColumn("__text", text).where("__text <> ''").select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("o"), size.alias("s"))
+    lines = graph.kept(running(lines, ["key"], ["o"], {"i": ("sum", F.lit(1).cast("bigint")), "c": ("sum", F.col("s"))}))
+    # A window from line i ends before the first line whose sum exceeds all before i and a window: as many sums as don't are counted.
+    limits = lines.select("key", (F.col("c") - F.col("s") + window_bytes).alias("v"), F.col("i").alias("of"))
+    both = lines.select("key", F.col("c").alias("v"), F.lit(0).cast("bigint").alias("of")).unionByName(limits)
+    ends = running(both, ["key"], ["v", "of"], {"fit": ("sum", F.when(F.col("of") == 0, 1).otherwise(0))}, chunk=max(CHUNK, 64 * window_bytes)).where("of > 0")
+    jump = graph.kept(ends.join(lines.select(F.col("key").alias("k"), F.col("i").alias("j")), (F.col("key") == F.col("k")) & (F.col("fit") + 1 == F.col("j"))).select("key", F.col("of").alias("i"), F.col("j").alias("next")))
+    jumps = []
+    while jump.limit(1).count():  # lines with fewer windows after them drop out of each further round
+        jumps.append(jump)
+        ahead = jump.select(F.col("key").alias("k"), F.col("i").alias("at"), F.col("next").alias("then"))
+        jump = graph.kept(jump.join(ahead, (F.col("key") == F.col("k")) & (F.col("next") == F.col("at"))).select("key", "i", F.col("then").alias("next")))
+    begin = graph.kept(lines.select("key", F.lit(1).cast("bigint").alias("i")).distinct())
+    for jump in reversed(jumps):
+        far = begin.withColumnsRenamed({"key": "k", "i": "at"}).join(jump, (F.col("key") == F.col("k")) & (F.col("i") == F.col("at"))).select("key", F.col("next").alias("i"))
+        begin = graph.kept(begin.unionByName(far))
+    marked = lines.join(begin.select(F.col("key").alias("k"), F.col("i").alias("at")), (F.col("key") == F.col("k")) & (F.col("i") == F.col("at")), "left")
+    numbered = running(marked.select("key", "o", "s", "i", F.col("at").isNotNull().cast("bigint").alias("new")), ["key"], ["i"], {"window": ("sum", F.col("new"))})
+    return numbered.groupBy(F.col("key").alias(key), "window").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"), F.sum("s").alias("bytes"))
 
 
 def worker_filter(candidates: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import access, extract, graph, lifecycle, preferences, rank, report, review, transcripts, views
+from .operators import access, extract, graph, lifecycle, preferences, rank, report, review, scan, transcripts, views
 from .sources import records
 from .streaming import streams
 
@@ -468,6 +468,90 @@ def ancestry_recursive(spark, d):
     return graph.chain_roots(c)
 
 
+def order_branches(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders as a session: each follows the one before it, every fifth the one before that; some ancestors are missing or not
+    recognized, some orders stand there twice with other parents. The leaf is the newest order, that of every ninth customer isn't known."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, d, "orders").withColumns({"p1": F.lag("o_orderkey").over(by), "p2": F.lag("o_orderkey", 2).over(by)})
+    key, session = F.col("o_orderkey"), F.col("o_custkey").alias("session")
+    parent = F.when(key % 97 == 0, -1 - key).when(key % 5 == 0, F.col("p2")).otherwise(F.col("p1"))
+    nodes = o.select(session, key.alias("event_id"), parent.alias("parent"), (key % 83 != 0).alias("recognized"))
+    twice = nodes.where("event_id % 89 = 0").withColumn("parent", F.col("event_id") + 1)
+    leaf = o.groupBy(session).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("leaf"))
+    how = F.when(F.col("session") % 2 == 0, "explicit").otherwise("default-leaf")
+    return nodes.unionByName(twice), leaf.select("session", F.when(F.col("session") % 9 != 0, F.col("leaf")).alias("leaf"), how.alias("how"))
+
+
+_BRANCHES = """WITH RECURSIVE p AS (SELECT *, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 2) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+n AS (SELECT o_custkey AS session, o_orderkey AS id, CASE WHEN o_orderkey % 97 = 0 THEN -1 - o_orderkey WHEN o_orderkey % 5 = 0 THEN p2 ELSE p1 END AS parent, o_orderkey % 83 <> 0 AND o_orderkey % 89 <> 0 AS ok FROM p),
+f AS (SELECT o_custkey AS session, CASE WHEN o_custkey % 9 <> 0 THEN arg_max(o_orderkey, (o_orderdate, o_orderkey)) END AS leaf, CASE WHEN o_custkey % 2 = 0 THEN 'explicit' ELSE 'default-leaf' END AS how FROM orders GROUP BY o_custkey),
+w AS (SELECT f.session, leaf, how, n.id, n.parent, n.ok, 0 AS up FROM f JOIN n ON n.session = f.session AND n.id = f.leaf
+  UNION ALL SELECT w.session, leaf, how, n.id, n.parent, n.ok, up + 1 FROM w JOIN n ON n.session = w.session AND n.id = w.parent),
+g AS (SELECT session, bool_and(ok) AND count_if(parent IS NULL) = 1 AS good, max(up) AS depth FROM w GROUP BY session)"""
+
+
+@query(_BRANCHES + """ SELECT w.session, id AS event_id, leaf AS branch, how AS branch_selection, CASE WHEN how = 'default-leaf' THEN how END AS assurance, CAST(depth - up AS BIGINT) AS "at" FROM w JOIN g USING (session) WHERE good""")
+def branch_selection(spark, d):
+    return graph.branches(*order_branches(spark, d))[0]
+
+
+@query(_BRANCHES + """ SELECT f.session, CASE WHEN leaf IS NULL THEN 'saved_branch_unverified' WHEN how = 'default-leaf' THEN 'active_branch_unverified' ELSE 'branch_ancestry_not_in_window' END AS reason
+  FROM f LEFT JOIN g USING (session) WHERE good IS NOT TRUE""")
+def branch_gaps(spark, d):
+    return graph.branches(*order_branches(spark, d))[1]
+
+
+@query("""WITH RECURSIVE p AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),
+w AS (SELECT o_orderkey AS id, prev, o_orderkey AS last, 0 AS depth, o_totalprice AS low, o_orderdate AS newest, o_orderstatus <> 'P' AS ok FROM p
+  UNION ALL SELECT w.id, p.prev, p.o_orderkey, depth + 1, least(low, o_totalprice), greatest(newest, o_orderdate), ok AND o_orderstatus <> 'P' FROM w JOIN p ON p.o_orderkey = w.prev)
+SELECT id, last AS root, 'complete' AS status, CAST(depth AS BIGINT) AS depth, low AS cheapest, newest, ok FROM w WHERE prev IS NULL""")
+def path_aggregates(spark, d):
+    """What each order's chain of earlier orders adds up to."""
+    o = table(spark, d, "orders").withColumn("parent", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    nodes = o.select(F.col("o_orderkey").alias("id"), "parent", "o_totalprice", "o_orderdate", (F.col("o_orderstatus") != "P").alias("ok"))
+    return graph.path_folds(nodes, {"cheapest": ("min", "o_totalprice"), "newest": ("max", "o_orderdate"), "ok": ("and", "ok")})[0]
+
+
+def line_reads(spark, d) -> DataFrame:
+    """Line items as reads of byte ranges: of three sources, most of them of one, in two attempts."""
+    at = F.col("l_partkey") * 16 + F.col("l_suppkey") % 16
+    source = F.when(F.col("l_linenumber") == 7, 2).when(F.col("l_linenumber") > 5, 1).otherwise(0)
+    return table(spark, d, "lineitem").where("l_quantity <= 9").select(source.alias("source"), F.col("l_linestatus").alias("attempt"), at.alias("start"), (at + F.col("l_quantity").cast("bigint")).alias("end"), "l_orderkey", "l_linenumber")
+
+
+_READS = """WITH r AS (SELECT CASE WHEN l_linenumber = 7 THEN 2 WHEN l_linenumber > 5 THEN 1 ELSE 0 END AS source, l_linestatus AS attempt, l_partkey * 16 + l_suppkey % 16 AS s, l_partkey * 16 + l_suppkey % 16 + CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_quantity <= 9),
+b AS (SELECT *, max(e) OVER (PARTITION BY source, attempt ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE e > s),
+i AS (SELECT *, count_if(reach IS NULL OR s > reach) OVER (PARTITION BY source, attempt ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM b),
+c AS (SELECT source, attempt, min(s) AS s, max(e) AS e FROM i GROUP BY source, attempt, island)"""
+
+
+@query(_READS + ' SELECT source, attempt, s AS start, e AS "end" FROM c')
+def covered_ranges(spark, d):
+    return scan.covered_ranges(line_reads(spark, d), ["source", "attempt"])
+
+
+@query(_READS + """, m AS (SELECT o_orderkey, CAST(o_custkey % 3 AS INT) AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'O' ELSE 'F' END AS attempt, o_orderkey * 2 AS s, o_orderkey * 2 + 1 + o_orderkey % 6 AS e FROM orders)
+  SELECT m.source, m.attempt, m.s AS start, m.e AS "end", m.o_orderkey FROM m LEFT JOIN c ON c.source = m.source AND c.attempt = m.attempt AND c.s <= m.s AND m.e <= c.e WHERE c.source IS NULL""")
+def uncovered_marks(spark, d):
+    """Orders as marks of ranges that must have been read."""
+    key = F.col("o_orderkey")
+    marks = table(spark, d, "orders").select(key, (F.col("o_custkey") % 3).cast("int").alias("source"), F.when(key % 2 == 0, "O").otherwise("F").alias("attempt"), (key * 2).alias("start"), (key * 2 + 1 + key % 6).alias("end"))
+    return scan.uncovered_marks(marks, covered_ranges(spark, d), ["source", "attempt"])
+
+
+@query("""WITH m AS (SELECT doc_id AS key, CASE WHEN doc_id % 6 = 0 THEN 'seen' WHEN doc_id % 4 = 0 THEN 'pending-review' ELSE 'processed' END AS status FROM documents),
+z AS (SELECT doc_id AS key, min(quality) AS was, max(toxic) AS now FROM labels GROUP BY doc_id), q AS (SELECT DISTINCT doc_id AS key FROM labels WHERE quality = 1),
+x AS (SELECT m.key, status, CASE WHEN z.key IS NULL THEN 'unknown_key' WHEN status = 'seen' THEN 'unknown_status' WHEN was IS DISTINCT FROM now AND was = 0 THEN 'stale_dependency'
+  WHEN status <> 'pending-review' AND q.key IS NULL THEN 'unserved_event' END AS reason FROM m LEFT JOIN z USING (key) LEFT JOIN q USING (key)) SELECT * FROM x WHERE reason IS NOT NULL""")
+def coverage_mark_errors(spark, d):
+    """Documents as marks of a review whose frozen events are the labelled ones; served are those of good quality."""
+    key = F.col("doc_id").alias("key")
+    marks = table(spark, d, "documents").select(key, F.when(F.col("doc_id") % 6 == 0, "seen").when(F.col("doc_id") % 4 == 0, "pending-review").otherwise("processed").alias("status"))
+    labels = table(spark, d, "labels").groupBy(key).agg(F.min("quality").alias("was"), F.max("toxic").alias("now"))
+    frozen = labels.select("key", F.when(F.col("was") == 0, F.col("was")).alias("revision"))
+    return scan.mark_errors(marks, frozen, table(spark, d, "labels").where("quality = 1").select(key), labels.select("key", F.col("now").alias("revision")))
+
+
 @query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, {_sql_redact('text')} AS x FROM conversations WHERE role <> 'system'),
 l AS (SELECT conv_id, turn, CAST(least(600, strlen('[L' || turn || '] ' || role || ': ' || x || chr(10))) AS BIGINT) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM t WHERE x <> ''),
 g AS (SELECT conv_id, rn, turn, s, 1 AS w, s AS used FROM l WHERE rn = 1 UNION ALL
