@@ -7,6 +7,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 SKETCH_BITS, FILTER_BITS = 40, 1 << 26
 #: Hashes that a task keeps before it folds them, and bytes of phrases that the automata of one scan are built from.
 HELD, ROUND_BYTES = 1 << 21, 8 << 20
+#: Counts of phrases that travel together, and tasks whose counts are added up at a time.
+BLOCK, FAN = 1 << 10, 64
 #: Stands between pieces and between texts; no UTF-8 text holds this byte.
 GUARD = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + 10 * GUARD)
@@ -188,11 +191,19 @@ def candidates(docs: DataFrame, longest: int, least: int, scratch: Scratch) -> t
     return scratch.table(kept, "candidates"), totals
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """One block of counts: the sum of those of FAN tasks at most."""
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("sum").to_pylist())
+    first = table.slice(0, 1)
+    return pa.Table.from_arrays([first.column("block"), first.column("task"), pa.array([total.tobytes()], pa.binary())], table.schema.names)
+
+
 def counted(docs: DataFrame, phrases: DataFrame, scratch: Scratch, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(lang, phrase, k, n): how often each of phrases(lang, phrase, k) occurs in the texts of its language, overlaps included.
 
     An automaton a language finds all its phrases at once, each with a guard before and behind, in the words of the texts joined by
     single spaces. Tasks get the phrases of one round (``round_bytes`` of them); more phrases take more rounds, each a scan of its own.
+    Counts leave a task in blocks, which are added up in arrays.
     """
     spark = docs.sparkSession
     size = phrases.agg(F.coalesce(F.sum(F.octet_length("phrase") + 24), F.lit(0))).first()[0]
@@ -222,10 +233,29 @@ def counted(docs: DataFrame, phrases: DataFrame, scratch: Scratch, round_bytes:
                         made[lang].make_automaton()
                     text = (b" " + b" ".join(flat) + b" ").decode("latin-1")
                     total += np.bincount(np.fromiter(map(itemgetter(1), made[lang].iter(text)), np.int64), minlength=len(ids))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), pa.array(total[at])], ["id", "n"])
-
-        done.append(scratch.table(docs.mapInArrow(scan, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")), "counts"))
+            total = np.pad(total, (0, -len(total) % BLOCK)).reshape(-1, BLOCK)
+            at = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)), pa.array([x.tobytes() for x in total[at]], pa.binary())], ["block", "task", "sum"])
+
+        parts = scratch.table(docs.mapInArrow(scan, "block int, task int, sum binary"), "parts")
+        tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
+        summed = parts
+        while True:  # FAN tasks' blocks at a time
+            tasks = -(-tasks // FAN)
+            summed = summed.withColumn("task", F.expr(f"CAST(task DIV {FAN} AS int)")).groupBy("block", "task").applyInArrow(_added, parts.schema)
+            if tasks == 1:
+                break
+
+        def unpack(batches, shared=shared):
+            ids = np.array(shared.value[1], np.int64)
+            for b in batches:
+                for block, total in zip(b.column("block").to_pylist(), b.column("sum").to_pylist()):
+                    n = np.frombuffer(total, np.int64)[: len(ids) - block * BLOCK]
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[block * BLOCK + at]), pa.array(n[at])], ["id", "n"])
+
+        done.append(scratch.table(summed.mapInArrow(unpack, "id bigint, n bigint"), "counts"))
+        scratch.drop(parts)
         shared.destroy()
     sums = done[0]
     for more in done[1:]:
