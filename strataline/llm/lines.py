@@ -6,18 +6,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, sliced
+from .common import Scratch, pick, sliced, utf8
 
 #: A repeated run counts if it has so many lines, or more words than this.
 MIN_LINES, MIN_WORDS = 3, 50
 #: Suffixes that one task orders, and that are broadcast, at most.
 FEW = 1 << 17
-#: Words of a line.
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def line_table(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -26,11 +25,28 @@ def line_table(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     a and b are 128 bits of hash that stand for the line; need is the least number of lines from here on that count as a
     run (min_lines, or fewer of more than min_words words), null if the text ends before. A null text has no lines.
     """
-    rows = docs.select(F.xxhash64("text").alias("tx"), F.split("text", "\n").alias("lines")).where("lines IS NOT NULL")
-    rows = rows.select("tx", "lines", F.expr(f"transform(lines, x -> regexp_count(x, r'{WORD}'))").alias("c"))
-    rows = rows.select("tx", "c", F.posexplode("lines").alias("at", "line"))
-    need = f"try_element_at(filter(sequence(1, {min_lines}), m -> at + m <= size(c) AND (m = {min_lines} OR aggregate(slice(c, at + 1, m), 0, (s, x) -> s + x) > {min_words})), 1)"
-    rows = rows.select("tx", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.expr(need).alias("need"))
+
+    def run(batches):
+        for part in sliced(batches):
+            out = []
+            for tx, text in zip(part.column("tx").to_pylist(), utf8(part.column("text"))):
+                lines = text.split(b"\n")
+                ends = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
+                need = np.full(len(lines), min_lines, np.int32)
+                for m in range(min(min_lines - 1, len(lines)), 0, -1):
+                    need[: len(lines) - m + 1][ends[m:] - ends[:-m] > min_words] = m
+                at = np.arange(len(lines), dtype=np.int32)
+                need[at + need > len(lines)] = 0
+                out.append((np.full(len(lines), tx), at, need, b"".join(map(xxhash.xxh3_128_digest, lines))))
+            if out:
+                tx, at, need = (np.concatenate([x[i] for x in out]) for i in range(3))
+                a, b = np.frombuffer(b"".join(x[3] for x in out), ">i8").astype(np.int64).reshape(-1, 2).T.copy()
+                got = pa.RecordBatch.from_arrays([pa.array(tx), pa.array(at), pa.array(a), pa.array(b), pa.array(need, mask=need == 0)], ["tx", "at", "a", "b", "need"])
+                for i in range(0, len(tx), 1 << 16):
+                    yield got.slice(i, 1 << 16)
+
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("tx"), "text")
+    rows = texts.mapInArrow(run, "tx bigint, at int, a bigint, b bigint, need int")
     return rows.groupBy("tx", "at").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("need").alias("need"))
 
 

@@ -83,3 +83,19 @@ def test_odd_rows_and_empty(odd, empty):
     assert len(got) == 5 and set(odd.columns) <= set(got[0].asDict())
     assert sorted(r.n_removed for r in got) == [0, 0, 0, 1, 1]  # the null id comes first; equal rows are one document
     assert lines.dedup_lines(empty).count() == 0
+
+
+def test_a_text_of_very_many_lines(spark):
+    texts = ["\n".join(f"line {i * k % 50_021}" for i in range(50_000)) for k in (1, 7)] + ["a\n" * 50_000]
+    table = lines.line_table(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r["tx"]: r for r in table.groupBy("tx").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.count("need").alias("need"), F.sum("need").alias("sum")).collect()}
+    assert sorted((r["n"], r["last"], r["need"], r["sum"]) for r in got.values()) == [(50_000, 49_999, 49_998, 149_994)] * 2 + [(50_001, 50_000, 49_999, 149_997)]
+
+
+def test_how_many_lines_a_run_needs(spark):
+    text = "\n".join(["w " * 30, "w " * 21, "", "w " * 51, "x", "y", "z"])
+    got = lines.line_table(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "w " * 51)], "doc_id bigint, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["tx"], {})[r["at"]] = r["need"]
+    assert sorted(([d[i] for i in range(len(d))] for d in by.values()), key=len) == [[None], [1], [2, 3, 2, 1, 3, None, None]]
