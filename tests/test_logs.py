@@ -92,6 +92,51 @@ def test_log_source_batch_and_tail(spark, tmp_path):
     assert len(got) == 102 and '{"part":1}' in got
 
 
+def test_a_stream_is_read_in_spans_and_replays_a_change(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    lines = [b'{"n":%d,"x":"%s"}\n' % (i, b"y" * (i % 50)) for i in range(300)]
+    path.write_bytes(b"".join(lines) + b"partial")
+    reader = logs._Stream({"path": str(tmp_path / "*.jsonl"), "spanBytes": "97"})
+
+    def rows(a, b):
+        return sorted(r for span in reader.partitions(a, b) for r in reader.read(span))
+
+    zero, one = reader.initialOffset(), reader.latestOffset()
+    first = rows(zero, one)
+    assert len(reader.partitions(zero, one)) > 50 and [r[3].encode() + b"\n" for r in first] == lines and rows(one, one) == []
+    with path.open("ab") as f:
+        f.write(b" ends\nlast\n")
+    two = reader.latestOffset()
+    assert [r[3] for r in rows(one, two)] == ["partial ends", "last"] and rows(one, two) == rows(one, two)
+    (tmp_path / "b.jsonl").write_bytes(b"")
+    assert [r[3] for r in rows(one, reader.latestOffset())] == ["partial ends", "last"]
+    path.write_bytes(b"new start\n" + b"".join(lines))  # as long, but not the same
+    for fresh in (reader, logs._Stream({"path": str(tmp_path / "*.jsonl")})):  # a reader of a restarted query knows nothing else
+        three = fresh.latestOffset()
+        got = rows(two, three)
+        assert [r[4] for r in got if r[4]] == ["source_changed"] and sum(r[3] is not None for r in got) == 301 and got == rows(two, three)
+    path.write_bytes(b"short\n")
+    assert [(r[3], r[4]) for r in rows(three, reader.latestOffset())] == [(None, "source_changed"), ("short", None)]
+
+
+def test_numbered_lines_and_chunks(spark, tmp_path):
+    logs.register(spark)
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl").write_bytes(b"".join(b"%d:%d\n" % (n, i) for i in range(1, 200)))
+    got = logs.numbered(spark.read.format("strataline_log").option("path", str(tmp_path / "*.jsonl")).option("spanBytes", "100").load())
+    assert all(r.raw.split(":")[1] == str(r.line) for r in got.collect()) and got.count() == 597
+    before = spark.createDataFrame(logs.chunk_digests(spark, str(tmp_path / "*.jsonl"), 256).collect())
+    assert logs.changed_chunks(before, logs.chunk_digests(spark, str(tmp_path / "*.jsonl"), 256)).count() == 0
+    data = (tmp_path / "0.jsonl").read_bytes()
+    (tmp_path / "0.jsonl").write_bytes(data[:300] + b"#" + data[301:] + b"more\n")
+    (tmp_path / "1.jsonl").write_bytes(data[:100])
+    (tmp_path / "2.jsonl").unlink()
+    got = {(r.path[-7], r.byte_start // 256, r.reason) for r in logs.changed_chunks(before, logs.chunk_digests(spark, str(tmp_path / "*.jsonl"), 256)).collect()}
+    last = len(data) // 256
+    assert {x for x in got if x[0] == "0"} == {("0", 1, "altered"), ("0", last, "grown")}
+    assert {x for x in got if x[0] == "1"} == {("1", 0, "cut"), *(("1", k, "lost") for k in range(1, last + 1))} and {r for _, _, r in (x for x in got if x[0] == "2")} == {"lost"}
+
+
 def test_state_machines(spark, tmp_path):
     def run(rows, schema, fn, name):
         src = tmp_path / name

@@ -27,6 +27,13 @@ def add(store, title, body="body text", reviewed=True, **more):
     return store.capture(ME, {"kind": "decision", "title": title, "body": body, **more}, {"reason": "seen"} if reviewed else None)["id"]
 
 
+def granted(store, tmp_path):
+    """A folder that the project may read."""
+    (tmp_path / "logs").mkdir(exist_ok=True)
+    store.grant("p", "logs", str(tmp_path / "logs"))
+    return tmp_path / "logs"
+
+
 def status(store, rid):
     return store.one(rid)["effective_status"]
 
@@ -102,7 +109,7 @@ def test_dispositions_issues_context_overview(store):
 
 
 def test_review_run(store, tmp_path):
-    log = tmp_path / "log.jsonl"
+    log = granted(store, tmp_path) / "log.jsonl"
     log.write_bytes(b'{"a":1}\n{"a":2}\n{"part')
     run = store.dream_start(ME, "o", str(log))
     assert run["events"] == 2
@@ -112,6 +119,8 @@ def test_review_run(store, tmp_path):
         store.dream_draft(ME, run["run_id"], [])
     assert [i["raw"] for i in store.dream_materials(ME, run["run_id"])["items"]] == ['{"a":1}', '{"a":2}']
     ops = [{"action": "capture", "record": {"kind": "result", "title": "t", "body": "b"}, "review": {"reason": "r"}}, {"action": "withdraw", "id": "none", "review": {}}]
+    for odd in ({"action": "share", "source": "q"}, {"action": "capture"}, {"action": "withdraw", "id": "x", "review": {}, "idempotency_key": "k"}, {"action": "capture", "record": "text"}, "text"):
+        assert store.call("dream_draft", ME, {"run_id": run["run_id"], "operations": [odd]})["error"]["code"] == "invalid_operation"
     store.dream_draft(ME, run["run_id"], ops)
     out = store.dream_publish(ME, run["run_id"])["outcomes"]
     assert [o["outcome"] for o in out] == ["applied", "blocked"] and store.dream_publish(ME, run["run_id"])["outcomes"] == out
@@ -157,7 +166,7 @@ def test_issues_beyond_the_limit_are_counted(store):
 
 
 def test_only_the_owner_writes_to_a_run(store, tmp_path):
-    log = tmp_path / "l.jsonl"
+    log = granted(store, tmp_path) / "l.jsonl"
     log.write_text('{"a":1}\n')
     run = store.dream_start(ME, "mine", str(log))["run_id"]
     late = ME | {"session_id": "other"}
@@ -202,3 +211,77 @@ def test_shares_and_topics_are_bounded(store, monkeypatch):
         store.share(ME, "b")
     with pytest.raises(CallError, match="too_many_topics"):
         store.route(ME, "u", "U")
+
+
+def test_only_granted_sources_are_read(store, tmp_path):
+    logs, secret = granted(store, tmp_path), tmp_path / "secret.txt"
+    secret.write_text("mine\n")
+    (logs / "a.jsonl").write_text('{"a":1}\n{"a":2}\n')
+    (logs / ".env").write_text("K=1\n")
+    (logs / "link").symlink_to(secret)
+    assert store.call("source_read", ME, {"path": str(logs / "a.jsonl")})["result"]["complete"]
+    for tool, path in [(t, x) for t in ("source_read", "source_list") for x in ("/etc/hostname", str(secret), str(logs / "link"), str(logs / ".." / "secret.txt"), str(logs) + "x", str(logs / ".env"))]:
+        assert store.call(tool, ME, {"path": path})["error"]["code"] == "not_granted", path
+    assert store.call("dream_start", ME, {"objective": "o", "path": str(secret)})["error"]["code"] == "not_granted"
+    assert store.call("source_read", ME | {"project_id": "q"}, {"path": str(logs / "a.jsonl")})["error"]["code"] == "not_granted"
+    assert [i["path"].rsplit("/", 1)[1] for i in store.source_list(ME, str(logs))["items"]] in (["a.jsonl"], ["a.jsonl", "link"])
+    assert store.call("source_list", ME, {"path": str(logs), "limit": 101})["error"]["code"] == "invalid_input"
+    assert store.call("source_read", ME, {"path": str(logs / "absent")})["error"]["code"] == "source_unavailable"
+    page = store.source_read(ME, str(logs / "a.jsonl"), max_bytes=3)
+    run = store.dream_start(ME, "o", str(logs / "a.jsonl"))["run_id"]
+    store.grant("p", "logs", str(logs), revoked=True)
+    assert store.call("source_read", ME, {"path": str(logs / "a.jsonl"), "cursor": page["cursor"]})["error"]["code"] == "not_granted"
+    assert store.call("dream_materials", ME, {"run_id": run})["error"]["code"] == "not_granted"
+    store.grant("p", "logs", str(logs))  # granted anew: what was begun under the old grant stays ended
+    assert store.call("source_read", ME, {"path": str(logs / "a.jsonl"), "cursor": page["cursor"]})["error"]["code"] == "not_granted"
+    for path, kind in ((store.root, "directory"), (str(tmp_path), "directory"), ("relative", "file"), (str(logs), "socket")):
+        with pytest.raises(CallError, match="invalid_policy"):
+            store.grant("p", "x", path, kind)
+
+
+def test_keys_are_a_projects_own_and_stand_for_the_whole_call(store):
+    record, there = {"kind": "result", "title": "x", "body": "y", "sources": [{"uri": "file:///a"}]}, ME | {"project_id": "q"}
+    one = store.capture(ME, record, idempotency_key="k1")
+    two = store.capture(there, record, idempotency_key="k1")
+    assert one["id"] != two["id"] and not two["replayed"] and store.capture(ME, record, idempotency_key="k1")["replayed"]
+    changes = ({"record": record | {"sources": [{"uri": "file:///b"}]}}, {"record": record | {"scope": "task"}}, {"record": record, "details": {"domain": "d"}}, {"record": record, "review": {"reason": "r"}})
+    for change in changes:
+        assert store.call("capture", ME, change | {"idempotency_key": "k1"})["error"]["code"] == "idempotency_conflict", change
+    assert store.call("capture", ME | {"task_id": "other"}, {"record": record, "idempotency_key": "k1"})["error"]["code"] == "idempotency_conflict"
+
+
+def test_trust_cannot_be_forged(store):
+    rid = add(store, "draft", reviewed=False)
+    for tool, more in (("approve", {}), ("supersede", {"old_ids": []}), ("withdraw", {}), ("annotate", {})):
+        for key in ("dream:me", " "):
+            assert store.call(tool, ME, {"id": rid, "review": {}, "idempotency_key": key, **more})["error"]["code"] == "invalid_input"
+    assert store.call("capture", ME, {"record": {"kind": "result", "title": "t", "body": "b"}, "idempotency_key": "dream:x:0"})["error"]["code"] == "invalid_input"
+    store.approve(ME, rid, {"reason": "r"}, idempotency_key="mine")
+    assert store.one(rid)["assurance"] == "self-reviewed"
+
+
+def test_errors_stay_in_the_envelope(store):
+    for caller in ({}, {"project_id": "p"}, {"project_id": "", "session_id": "s"}, {"project_id": 3, "session_id": "s"}):
+        assert store.call("search", caller, {})["error"]["code"] == "invalid_context"
+    for tool, given in (("capture", {"record": "text"}), ("capture", {"record": {"kind": "result", "title": "t", "body": "b", "sources": [{}]}}), ("search", {"limit": "x"}), ("read", {"ids": None}), ("source_read", {"path": None}), ("context", {"limit": 0}), ("issue_list", {"limit": 500})):
+        assert store.call(tool, ME, given)["error"]["code"] == "invalid_input", tool
+
+
+def test_materials_in_pages_must_cover_the_run(store, tmp_path):
+    log = granted(store, tmp_path) / "long.jsonl"
+    log.write_text("".join(f'{{"n":{i}}}\n' for i in range(9)) + "é" * 900 + "\n" + "last\n")
+    run = store.dream_start(ME, "pages", str(log))["run_id"]
+    cursor, texts, pages = None, [], 0
+    while True:
+        page = store.dream_materials(ME, run, max_bytes=400, cursor=cursor)
+        texts += [i["raw"] for i in page["items"]]
+        pages += 1
+        cursor = page["cursor"]
+        if cursor is None:
+            break
+        assert page["omitted"] and store.call("dream_draft", ME, {"run_id": run, "operations": []})["error"]["code"] == "not_served"
+    assert "".join(texts) == log.read_text().replace("\n", "") and pages > 5
+    assert store.dream_status(ME, run)["next"] == "draft" and store.dream_draft(ME, run, [])["operations"] == 0
+    store.dream_takeover(OTHER, run)  # a new attempt has seen nothing
+    assert store.call("dream_close", OTHER, {"run_id": run})["error"]["code"] == "not_reviewed"
+    assert store.call("dream_materials", OTHER, {"run_id": run, "cursor": "x"})["error"]["code"] == "invalid_cursor"
