@@ -272,7 +272,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     counts. A phrase goes if a longer one that holds it comes as often. A null text is empty, a null language is ``und``; repeated rows count
     each; a table without such a phrase gives no rows. Whole numbers are exact up to 38 digits.
     """
-    scratch = Scratch(docs.sparkSession, "phrases")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "phrases")
+    docs = docs.coalesce(2 * spark.sparkContext.defaultParallelism)  # what each task adds up is handed on once for all its input: fewer tasks, fewer rows
     docs = docs.select(F.coalesce("`text`", F.lit("")).alias("text"), F.coalesce("`lang`", F.lit("und")).alias("lang"))
     found, totals = candidates(docs, longest, least, scratch)
     parts = found.select("lang", F.explode(F.array_distinct(F.split("phrase", " "))).alias("phrase")).distinct()
