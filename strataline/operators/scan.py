@@ -83,3 +83,21 @@ def mark_errors(marks: DataFrame, frozen: DataFrame, served: DataFrame, revision
         .when(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("is")), "stale_dependency").when((F.col("status") != "pending-review") & F.col("shown").isNull(), "unserved_event")
     )
     return rows.select("key", "status", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def admitted(items: DataFrame, group: list[str], order: list[str], budgets: dict[str, tuple[Column, int]], source: Column, sources: int) -> DataFrame:
+    """items and ``reason``: null for those that a group's budgets admit, else the first of the budgets (or 'sources') that was used up.
+
+    Items are taken in order (a whole number first) while each running total stays within its budget and no more than so many sources have come up; what comes
+    after the first that misses isn't admitted. All totals are counted at once, in ranges, so no group has to fit one task.
+    """
+    names = list(budgets)
+    rows = items.withColumn("__source", source)
+    first = rows.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__source").alias("__s")).agg(F.min(F.struct(*order)).alias("__first"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    rows = rows.join(first, [*same, F.col("__source").eqNullSafe(F.col("__s"))]).withColumn("__new", F.struct(*order).eqNullSafe(F.col("__first")).cast("int"))
+    totals = {f"__{n}_sum": ("sum", c) for n, (c, _) in budgets.items()} | {"__sources_sum": ("sum", F.col("__new"))}
+    got = running(rows.select(*items.columns, "__new"), group, order, totals)
+    limits = {n: most for n, (_, most) in budgets.items()} | {"sources": sources}
+    over = F.coalesce(*[F.when(F.col(f"__{n}_sum") > most, F.lit(n)) for n, most in limits.items()])
+    return got.select(*items.columns, over.alias("reason"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import access, extract, graph, lifecycle, preferences, rank, report, review, scan, transcripts, views
+from .operators import access, effects, extract, graph, lifecycle, preferences, rank, report, review, scan, snapshots, transcripts, views
 from .sources import records
 from .streaming import streams
 
@@ -552,6 +552,92 @@ def coverage_mark_errors(spark, d):
     return scan.mark_errors(marks, frozen, table(spark, d, "labels").where("quality = 1").select(key), labels.select("key", F.col("now").alias("revision")))
 
 
+@query("""WITH s AS (SELECT o_orderkey, o_custkey % 40 AS batch, o_orderkey AS place, o_custkey % 60 AS source, o_totalprice, row_number() OVER (PARTITION BY o_custkey % 40, o_custkey % 60 ORDER BY o_orderkey) = 1 AS fresh FROM orders),
+t AS (SELECT *, sum(CAST(o_totalprice AS BIGINT)) OVER w AS bytes, count(*) OVER w AS events, count_if(o_orderkey % 3 = 0) OVER w AS operations, count_if(fresh) OVER w AS sources FROM s WINDOW w AS (PARTITION BY batch ORDER BY place ROWS UNBOUNDED PRECEDING))
+SELECT o_orderkey, batch, CASE WHEN bytes > 9000000 THEN 'bytes' WHEN events > 128 THEN 'events' WHEN operations > 32 THEN 'operations' WHEN sources > 2 THEN 'sources' END AS reason FROM t""")
+def admission(spark, d):
+    """Orders as pages waiting for a review: of a batch those that its bytes, events, operations and sources allow."""
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("batch"), (F.col("o_custkey") % 60).alias("source"), F.expr("bround(o_totalprice)").cast("bigint").alias("size"))
+    budgets = {"bytes": (F.col("size"), 9_000_000), "events": (F.lit(1), 128), "operations": ((F.col("o_orderkey") % 3 == 0).cast("int"), 32)}
+    return scan.admitted(o, ["batch"], ["o_orderkey"], budgets, F.col("source"), 2).select("o_orderkey", "batch", "reason")
+
+
+def _line_items(spark, d):
+    """Line items as files of folders, and as they were before: some altered, lost, new, or unreadable."""
+    at = F.concat_ws("/", (F.col("l_suppkey") % 3).cast("string"), (F.col("l_orderkey") % 50).cast("string"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = table(spark, d, "lineitem").select(at.alias("path"), F.md5(F.concat("l_partkey", F.lit(":"), "l_suppkey")).alias("digest"), "l_orderkey", "l_linenumber", "l_partkey")
+    before = rows.where("l_orderkey % 997 <> 0").withColumn("digest", F.when(F.col("l_partkey") % 499 == 0, F.md5("digest")).otherwise(F.col("digest")))
+    after = rows.where("l_orderkey % 991 <> 0").withColumn("digest", F.when(F.col("l_orderkey") % 1999 != 0, F.col("digest")))
+    return before.select("path", "digest"), after.select("path", "digest")
+
+
+_FOLDERS = """WITH r AS (SELECT l_suppkey % 3 || '/' || l_orderkey % 50 || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS path, l_suppkey % 3 || '/' || l_orderkey % 50 AS f2, CAST(l_suppkey % 3 AS VARCHAR) AS f1, md5(l_partkey || ':' || l_suppkey) AS digest, l_orderkey, l_partkey FROM lineitem),
+b AS (SELECT path, f1, f2, CASE WHEN l_partkey % 499 = 0 THEN md5(digest) ELSE digest END AS digest FROM r WHERE l_orderkey % 997 <> 0), a AS (SELECT path, f1, f2, CASE WHEN l_orderkey % 1999 <> 0 THEN digest END AS digest FROM r WHERE l_orderkey % 991 <> 0),
+c AS (SELECT coalesce(a.path, b.path) AS path, coalesce(a.f1, b.f1) AS f1, coalesce(a.f2, b.f2) AS f2, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN a.digest IS NULL THEN 'unverifiable' WHEN a.digest <> b.digest THEN 'stale' END AS state
+  FROM a FULL JOIN b ON a.path = b.path),
+p AS (SELECT path, 'file' AS kind, state, true AS deepest FROM c WHERE state IS NOT NULL),
+u AS (SELECT f, bool_or(state = 'unverifiable') AS lost FROM (SELECT f1 AS f, state FROM c UNION ALL SELECT f2, state FROM c UNION ALL SELECT '', state FROM c) WHERE state IS NOT NULL GROUP BY f)"""
+
+
+@query(_FOLDERS + " SELECT * FROM p UNION ALL SELECT f, 'folder', CASE WHEN lost THEN 'unverifiable' ELSE 'stale' END, false FROM u")
+def snapshot_states(spark, d):
+    """Which files, and which folders above them, are no longer what a snapshot holds."""
+    before, after = _line_items(spark, d)
+    return snapshots.snapshot_state(snapshots.folder_digests(before), snapshots.folder_digests(after))
+
+
+_SHARDS = """WITH e AS (SELECT event_type, event_id, event_id || ' ' || user_id || ' ' || coalesce(props, '') AS t FROM events),
+p AS (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) - strlen(t) - 1 AS pos FROM e),
+m AS (SELECT event_type, CAST(pos // 1024 AS BIGINT) AS place, sha256(string_agg(t, chr(10) ORDER BY event_id)) AS digest, count(*) AS n, CAST(sum(strlen(t) + 1) AS BIGINT) AS bytes FROM p GROUP BY event_type, pos // 1024)"""
+
+
+def _event_shards(spark, d):
+    text = F.concat_ws(" ", "event_id", "user_id", F.coalesce("props", F.lit("")))
+    return snapshots.shards(table(spark, d, "events").withColumn("t", text), "event_type", "event_id", "t", 1024)
+
+
+@query(_SHARDS + " SELECT * FROM m")
+def shard_manifest(spark, d):
+    return _event_shards(spark, d)[0]
+
+
+@query(_SHARDS + """ SELECT event_type, place, digest, CASE substr(digest, 1, 1) WHEN '0' THEN 'lost' WHEN '1' THEN 'altered' ELSE 'repeated' END AS reason FROM m WHERE substr(digest, 1, 1) IN ('0', '1', '2')""")
+def shard_verification(spark, d):
+    """A store that lost, altered and repeated some shards, told by their digests."""
+    manifest, stored = _event_shards(spark, d)
+    kind = F.substring("digest", 1, 1)
+    stored = stored.where(kind != "0").withColumn("body", F.when(kind == "1", F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    return snapshots.shard_errors(manifest, stored.unionByName(stored.where(kind == "2")), "event_type")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS effect, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS path, l_returnflag AS before, l_linestatus AS "after", CASE WHEN l_partkey % 7 = 0 THEN 'absent' WHEN l_partkey % 7 < 3 THEN l_linestatus WHEN l_partkey % 41 = 0 THEN 'other' ELSE l_returnflag END AS now FROM lineitem),
+w AS (SELECT effect, path, CASE WHEN now = "after" THEN 'written' WHEN now = before THEN 'open' ELSE 'blocked' END AS w FROM i),
+g AS (SELECT effect, count_if(w = 'open') AS o, count_if(w = 'written') AS d, min(path) FILTER (w = 'blocked') AS b, effect % 11 = 0 AS r FROM w GROUP BY effect)
+SELECT effect, CASE WHEN r THEN 'received' WHEN b IS NOT NULL THEN 'blocked' WHEN o = 0 THEN 'written' WHEN d > 0 THEN 'partial' ELSE 'intended' END AS state, CAST(CASE WHEN r THEN 0 ELSE o END AS BIGINT) AS to_write, CASE WHEN NOT r THEN b END AS blocked_by FROM g""")
+def effect_recovery(spark, d):
+    """Line items as the writes of an order's effect, at whatever point each was broken off."""
+    path = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("path")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("effect"), path, F.col("l_returnflag").alias("before"), F.col("l_linestatus").alias("after"), "l_partkey")
+    now = F.when(F.col("l_partkey") % 7 < 3, F.col("after")).when(F.col("l_partkey") % 41 == 0, "other").otherwise(F.col("before"))
+    current = rows.where("l_partkey % 7 <> 0").select("path", now.alias("digest"))
+    receipts = table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("effect"))
+    return effects.effect_states(rows.drop("l_partkey"), current, receipts)
+
+
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 3) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT id AS src, CASE WHEN id % 101 = 7 THEN -1 - id ELSE p1 END AS dst FROM n WHERE id % 3 <> 0 UNION SELECT id, p2 FROM n), k AS (SELECT * FROM e WHERE dst IS NOT NULL),
+w AS (SELECT id, 0 AS layer FROM n UNION ALL SELECT src, layer + 1 FROM w JOIN k ON dst = w.id), x AS (SELECT id, max(layer) AS layer FROM w GROUP BY id),
+lost AS (SELECT src AS id FROM k WHERE dst < 0 UNION SELECT src FROM lost JOIN k ON dst = lost.id)
+SELECT x.id, CASE WHEN lost.id IS NULL THEN CAST(layer AS INT) END AS layer FROM x LEFT JOIN lost USING (id)""")
+def operation_layers(spark, d):
+    """Orders as operations of a draft that refer to earlier ones of their customer; some refer to one that isn't there."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    n = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(by).alias("p1"), F.lag("o_orderkey", 3).over(by).alias("p2"))
+    near = n.where("id % 3 <> 0").select(F.col("id").alias("src"), F.when(F.col("id") % 101 == 7, -1 - F.col("id")).otherwise(F.col("p1")).alias("dst"))
+    edges = near.unionByName(n.select(F.col("id").alias("src"), F.col("p2").alias("dst"))).where("dst IS NOT NULL")
+    return effects.layers(n, edges)
+
+
 @query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, {_sql_redact('text')} AS x FROM conversations WHERE role <> 'system'),
 l AS (SELECT conv_id, turn, CAST(least(600, strlen('[L' || turn || '] ' || role || ': ' || x || chr(10))) AS BIGINT) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM t WHERE x <> ''),
 g AS (SELECT conv_id, rn, turn, s, 1 AS w, s AS used FROM l WHERE rn = 1 UNION ALL
