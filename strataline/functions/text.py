@@ -50,9 +50,19 @@ def stripped(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE))
 
 
+def folded(text: Column) -> Column:
+    """NFKC and full case folding, as ``unicodedata.normalize("NFKC", x).casefold()`` has it.
+
+    Texts that aren't ASCII go to the Unicode library that Spark brings along, inside the JVM; ASCII ones to the built-in.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    full = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(text.isNotNull(), full)
+
+
 def normalized(text: Column) -> Column:
-    """Case-folded and stripped with built-ins; equal to the exact form but for ligatures and wide forms."""
-    return stripped(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """NFKC, case-folded, and without white space at its ends."""
+    return stripped(folded(text))
 
 
 @F.pandas_udf(StringType())

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import backoff_seconds, redact
+from ..functions.text import backoff_seconds, redact, stripped
 from . import graph
 from .scan import CHUNK, running
 
@@ -18,6 +18,7 @@ TASK_ONLY = (
     r"(?i)^\W*(?:the\s+)?(?:worker|subagent|agent)\s+(?:was\s+|is\s+)?(?:assigned|asked|tasked|given|instructed|requested)\b"
     r"|^\W*(?:successfully\s+)?(?:completed|finished|performed|conducted|delivered)\b"
 )
+# How long a lease holds, when a session is idle or too old, and states that end a job.
 LEASE_SECONDS, IDLE_HOURS, MAX_AGE_DAYS = 3600, 1, 10
 FINISHED = ("extracted", "no-output", "skipped")
 
@@ -83,15 +84,15 @@ def greedy_windows(events: DataFrame, key: str, order: str, window_bytes: int, l
 
 def worker_filter(candidates: DataFrame) -> DataFrame:
     """Lessons about a mistake, a correction or a gap, with a cause and a condition, that don't restate the task."""
-    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    said = lambda c: stripped(F.coalesce(F.col(c), F.lit(""))) != ""
     ok = F.col("category").isin(*WORKER_CATEGORIES) & said("cause") & said("conditions") & ~F.col("title").rlike(TASK_ONLY) & ~F.col("body").rlike(TASK_ONLY)
-    return candidates.where(ok).withColumn("body", F.concat(F.trim("body"), F.lit("\nLikely cause: "), F.trim("cause")))
+    return candidates.where(ok).withColumn("body", F.concat(stripped(F.col("body")), F.lit("\nLikely cause: "), stripped(F.col("cause"))))
 
 
 def candidate_errors(kinds: tuple[str, ...]) -> Column:
     """What is wrong with a candidate row (kind, title, body, source_events, labels), by name."""
     checks = {
-        "kind": ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "title": F.coalesce(F.trim("title"), F.lit("")) == "", "body": F.coalesce(F.trim("body"), F.lit("")) == "",
+        "kind": ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "title": F.coalesce(stripped(F.col("title")), F.lit("")) == "", "body": F.coalesce(stripped(F.col("body")), F.lit("")) == "",
         "source_events": F.size(F.array_except(F.coalesce("source_events", F.array().cast("array<string>")), "labels")) > 0,
     }
     return F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in checks.items()]), lambda x: x.isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from functools import reduce
 from operator import add
 
@@ -62,7 +64,7 @@ def bm25(records: DataFrame, terms: list[str], fields: dict[str, Column], weight
 def boosted(scored: DataFrame, query: str, title: Column, domain: Column | None = None, wanted_domain: str | None = None, places: int = 6) -> DataFrame:
     """The bonus for the whole query in the title, then the boost of the caller's domain, then rounding."""
     q = normalized(F.lit(query))
-    score = F.col("score") + F.when((F.length(q) > 0) & (F.instr(normalized(title), query.strip().lower()) > 0), TITLE_BONUS).otherwise(0.0)
+    score = F.col("score") + F.when((F.length(q) > 0) & (F.instr(normalized(title), unicodedata.normalize("NFKC", query).casefold().strip()) > 0), TITLE_BONUS).otherwise(0.0)
     if domain is not None and wanted_domain is not None:
         score = score * F.when(domain == wanted_domain, DOMAIN_BOOST).otherwise(1.0)
     return scored.withColumn("score", F.round(score, places))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import stripped
+
 # What a record may be and where it may hold.
 KINDS = ("observation", "evidence", "hypothesis", "decision", "experiment", "result", "invariant", "bug/root-cause", "handoff")
 SCOPES = ("project", "worktree", "task")
@@ -22,7 +24,7 @@ HEADER = """version INT, id STRING, project_id STRING, scope STRING, worktree_id
 
 def errors() -> Column:
     """What is wrong with a record, by name; an empty array if nothing is."""
-    present = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    present = lambda c: F.coalesce(stripped(F.col(c)) != "", F.lit(False))
     checks = {
         "header": F.col("id").isNull(), "id": ~F.coalesce(F.col("id").rlike("^[0-9a-f]{32}$"), F.lit(False)), "kind": ~F.coalesce(F.col("kind").isin(*KINDS, "episode"), F.lit(False)),
         "scope": ~F.coalesce(F.col("scope").isin(*SCOPES), F.lit(False)), "status": ~F.coalesce(F.col("status").isin("candidate", "active"), F.lit(False)), "title": ~present("title"),

@@ -63,3 +63,13 @@ def test_white_space_of_any_kind_is_stripped(spark):
     df = spark.createDataFrame([("\t Ab\u00a0\u3000\r\n", f"x\r\nSources: {digest}, file:///a\t\r\nSources: {digest}\r\ny")], "t string, b string")
     got = df.select(text.normalized(F.col("t")).alias("n"), text.normalized_exact(F.col("t")).alias("e"), text.redact(F.col("t")).alias("r"), text.semantic_body(F.col("b")).alias("s")).first()
     assert got.n == got.e == "ab" and got.r == "Ab" and got.s == "x\nSources: file:///a\ny"
+
+
+def test_normalized_is_exact_for_all_code_points(spark):
+    points = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = [f" a{chr(c)}B\t" for c in points] + ["ﬁle ＡＢＣ", "Straße ẞ İ ǅ", "e\u0301 \u212b Å", "", "　", "ASCII Only ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.normalized(F.col("t")).alias("n"), T.tokens(F.col("t")).alias("k")).collect():
+        assert r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t).casefold().strip()), r.t
+    got = {r.t: r.k for r in df.select("t", T.tokens(F.col("t")).alias("k")).collect()}
+    assert got["ﬁle ＡＢＣ"] == ["file", "abc"] and got["Straße ẞ İ ǅ"][:2] == ["strasse", "ss"]
