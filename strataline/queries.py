@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import access, effects, extract, graph, lifecycle, preferences, rank, report, review, scan, snapshots, transcripts, views
+from .operators import access, effects, evidence, extract, graph, lifecycle, preferences, rank, report, review, scan, snapshots, transcripts, views
 from .sources import records
 from .streaming import streams
 
@@ -638,6 +638,42 @@ def operation_layers(spark, d):
     return effects.layers(n, edges)
 
 
+def _references(spark, d):
+    """Line items refer to parts (events, some derived) or to orders (records); an order rests on the one before it of its customer, and on a part."""
+    line = table(spark, d, "lineitem")
+    refs = line.select(F.col("l_orderkey").alias("owner"), F.when(F.col("l_linenumber") < 4, F.concat(F.lit("p"), "l_partkey")).when(F.col("l_linenumber") < 7, F.concat(F.lit("record:"), F.col("l_orderkey") + 3)).otherwise("page:1").alias("ref")).distinct()
+    events = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("key"), F.when(F.col("p_partkey") % 61 == 0, "derivative").otherwise("public-message").alias("evidence"), (F.col("p_partkey") % 13 != 0).alias("branch_verified"), (F.col("p_partkey") % 17 == 0).alias("forbidden"))
+    o = table(spark, d, "orders").withColumn("prev", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", "hypothesis").when(F.col("o_orderpriority") == "5-LOW", "report")
+    records = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "stale").otherwise("active").alias("effective_status"), (F.col("o_custkey") % 19 != 0).alias("usable"), level.alias("level"))
+    name = F.concat(F.lit("record:"), "o_orderkey").alias("src")
+    rests = o.where("prev IS NOT NULL AND o_orderkey % 2 = 0").select(name, F.concat(F.lit("record:"), "prev").alias("dst"))
+    rests = rests.unionByName(o.where("o_orderkey % 53 = 0").select(name, F.concat(F.lit("p"), F.col("o_custkey") % 150).alias("dst"))).unionByName(o.where("o_orderkey % 71 = 0").select(name, name.alias("dst")))
+    return refs, events, records, records.where("false"), rests
+
+
+_REFERENCES = """WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS owner, CASE WHEN l_linenumber < 4 THEN 'p' || l_partkey WHEN l_linenumber < 7 THEN 'record:' || (l_orderkey + 3) ELSE 'page:1' END AS ref FROM lineitem),
+o AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),
+k AS (SELECT 'p' || p_partkey AS name, 'event' AS kind, CAST(NULL AS VARCHAR) AS level, true AS active, p_partkey % 17 = 0 AS forbidden, p_partkey % 13 <> 0 AS verified, p_partkey % 61 = 0 AS derived FROM part
+  UNION ALL SELECT 'record:' || o_orderkey, 'record', CASE o_orderpriority WHEN '1-URGENT' THEN 'hypothesis' WHEN '5-LOW' THEN 'report' END, o_orderstatus <> 'P', o_custkey % 19 = 0, true, false FROM orders),
+e AS (SELECT 'record:' || o_orderkey AS src, 'record:' || prev AS dst FROM o WHERE prev IS NOT NULL AND o_orderkey % 2 = 0 UNION ALL SELECT 'record:' || o_orderkey, 'p' || (o_custkey % 150) FROM o WHERE o_orderkey % 53 = 0),
+t AS (SELECT name AS id FROM k WHERE derived UNION SELECT src FROM t JOIN e ON dst = t.id),
+c AS (SELECT 'record:' || o_orderkey AS id FROM orders WHERE o_orderkey % 71 = 0 UNION SELECT src FROM c JOIN e ON dst = c.id),
+r AS (SELECT owner, ref, kind, level, CASE WHEN kind IS NULL THEN 'unverifiable_source' WHEN forbidden THEN 'source_forbidden' WHEN t.id IS NOT NULL THEN 'derivative_only' WHEN NOT verified THEN 'unverified_branch' WHEN NOT active THEN 'dependency_inactive'
+  WHEN c.id IS NOT NULL THEN 'cyclic_reference' END AS reason FROM x LEFT JOIN k ON name = ref LEFT JOIN t ON t.id = ref LEFT JOIN c ON c.id = ref)"""
+
+
+@query(_REFERENCES + " SELECT * FROM r")
+def evidence_references(spark, d):
+    return evidence.resolve_references(*_references(spark, d))
+
+
+@query(_REFERENCES + """ SELECT owner, count(*) AS n_refs, count(*) FILTER (WHERE reason <> 'source_forbidden') AS n_missing_refs, count(*) FILTER (WHERE reason = 'source_forbidden') AS n_prohibited,
+  CASE WHEN bool_or(level = 'hypothesis') THEN 'hypothesis' WHEN bool_or(level = 'report') THEN 'report' END AS evidence_type FROM r GROUP BY owner""")
+def evidence_totals(spark, d):
+    return evidence.evidence_counts(evidence.resolve_references(*_references(spark, d)))
+
+
 @query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, {_sql_redact('text')} AS x FROM conversations WHERE role <> 'system'),
 l AS (SELECT conv_id, turn, CAST(least(600, strlen('[L' || turn || '] ' || role || ': ' || x || chr(10))) AS BIGINT) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM t WHERE x <> ''),
 g AS (SELECT conv_id, rn, turn, s, 1 AS w, s AS used FROM l WHERE rn = 1 UNION ALL

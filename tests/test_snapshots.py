@@ -3,7 +3,7 @@ from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
-from strataline.operators import effects, scan, snapshots
+from strataline.operators import effects, evidence, scan, snapshots, views
 
 
 def test_folders_are_rolled_up_and_changes_are_found(spark):
@@ -80,3 +80,21 @@ def test_admission_stops_at_the_first_budget_that_is_used_up(spark):
         for _, o, source, s in sorted(r for r in rows if r[0] == g):
             size, n, seen = size + s, n + 1, seen | {source}
             assert got[o] == ("bytes" if size > 400 else "events" if n > 25 else "sources" if len(seen) > 4 else None)
+
+
+def test_references_are_resolved_with_reasons(spark):
+    events = spark.createDataFrame([("e1", "public-message", True, False), ("e2", "derivative", True, False), ("e3", "owner", None, False), ("e4", "owner", True, True)], "key string, evidence string, branch_verified boolean, forbidden boolean")
+    shape = "id string, effective_status string, usable boolean, level string"
+    records = spark.createDataFrame([("a", "active", True, None), ("b", "active", True, "report"), ("c", "stale", True, None), ("d", "active", False, None), ("l1", "active", True, None), ("l2", "active", True, None), ("l3", "active", True, None)], shape)
+    claims = spark.createDataFrame([("a", "active", True, "hypothesis")], shape)
+    rests = spark.createDataFrame([("record:a", "e1"), ("record:b", "collaboration:a"), ("collaboration:a", "e2"), ("record:l1", "record:l2"), ("record:l2", "record:l1"), ("record:l3", "record:l1")], "src string, dst string")
+    refs = ["e1", "e2", "e3", "e4", "record:a", "record:b", "record:c", "record:d", "record:l1", "record:l3", "collaboration:a", "record:zz", "page:1", "a", None]
+    got = evidence.resolve_references(spark.createDataFrame([("o", r) for r in refs] + [("p", "e1"), ("p", "record:a")], "owner string, ref string"), events, records, claims, rests)
+    want = dict(zip(refs, [None, "derivative_only", "unverified_branch", "source_forbidden", None, "derivative_only", "dependency_inactive", "source_forbidden", "cyclic_reference", "cyclic_reference", "derivative_only", *["unverifiable_source"] * 4]))
+    assert {r.ref: r.reason for r in got.where("owner = 'o'").collect()} == want
+    counts = {r.owner: r for r in evidence.evidence_counts(got).collect()}
+    assert (counts["p"].n_refs, counts["p"].n_missing_refs, counts["p"].n_prohibited, counts["p"].evidence_type) == (2, 0, 0, None)
+    assert (counts["o"].n_missing_refs, counts["o"].n_prohibited, counts["o"].evidence_type) == (11, 2, "hypothesis")
+    said = F.struct(F.lit(None).cast("string").alias("x"))
+    rows = evidence.evidence_counts(got).withColumns({"projects": F.array(F.lit("p")), "scenarios": F.array().cast("array<string>"), "known_scenarios": F.array().cast("array<string>"), "statement_type": F.lit("conclusion"), "level": F.lit("inferred"), "evidence_level": F.lit("explicit"), "attested": F.lit(True), "s": said})
+    assert {r.owner: r.e for r in rows.select("owner", views.admission_error("p").alias("e")).collect()} == {"p": None, "o": "unresolved_reference"}
