@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, secret_classes, tokens, volatile_path
-from ..operators import access, graph, lifecycle, review, scan
+from ..operators import access, effects, graph, lifecycle, review, scan
 from ..sources import logs
 from ..sources.records import KINDS, SCOPES, Journal
 from . import packing
@@ -61,6 +61,8 @@ class Store:
         self.topics = table("topics", "target string, topic_id string, title string, aliases array<string>, search_terms array<string>")
         self.runs = table("runs", "run_id string, objective string, target string, state string, generation bigint, body string")
         self.reads = table("reads", "run_id string, attempt bigint, start bigint, end bigint")
+        self.intents = table("intents", "run_id string, place int, target string, before string")
+        self.receipts = table("receipts", "run_id string, place int, outcome string")
         self.grants = table("grants", "grant_id string, target string, path string, kind string, revoked boolean")
 
     # ---- state
@@ -452,13 +454,65 @@ class Store:
             raise CallError("not_served" if row["state"] == "open" else "not_open")
         for op in operations:
             need, may = OPERATIONS.get(op.get("action") if isinstance(op, dict) else None, (None, None))
-            if need is None or need - set(op) or set(op) - need - may - {"action"} or any(not isinstance(op[k], dict) for k in ("record", "review", "details") if op.get(k) is not None):
+            if need is None or need - set(op) or set(op) - need - may - {"action", "op"} or any(not isinstance(op[k], dict) for k in ("record", "review", "details") if op.get(k) is not None):
                 raise CallError("invalid_operation")
-        self._save_run(run_id, row["objective"], row["target"], "drafted", row["generation"], body | {"operations": operations})
+        resolved, order = self._resolved(caller, run_id, operations)
+        targets = [self._reserved(caller, run_id, n) if op["action"] == "capture" else op["id"] for n, op in enumerate(resolved)]
+        then = {r["id"]: r["revision"] for r in self.current().where(F.col("id").isin(targets)).select("id", "revision").collect()}  # as many as the draft's operations
+        if targets:  # what each operation is to act on, as it is now; a draft that is sent again finds its own rows
+            rows = [(f"{run_id}:{row['generation']}:{n}", run_id, n, t, then.get(t, effects.ABSENT)) for n, t in enumerate(targets)]
+            self.intents.append(self.spark.createDataFrame(rows, "op_key string, run_id string, place int, target string, before string"), "run_id")
+        self._save_run(run_id, row["objective"], row["target"], "drafted", row["generation"], body | {"operations": resolved, "order": order})
         return {"state": "drafted", "operations": len(operations)}
 
+    @staticmethod
+    def _review_key(caller, run_id, place) -> str:
+        return f"{caller['project_id']}\x1f{REVIEW_KEYS}{run_id}:{place}"
+
+    def _reserved(self, caller, run_id, place) -> str:
+        """The id that a draft's capture will have."""
+        return sha256(self._review_key(caller, run_id, place).encode()).hexdigest()[:32]
+
+    def _resolved(self, caller, run_id, operations) -> tuple[list[dict], list[int]]:
+        """The operations with ids instead of references to each other (``op:<name>``, of a capture with that name), and the order in which they can be applied."""
+        names = {op["op"]: n for n, op in enumerate(operations) if op.get("op") is not None}
+        if len(names) != sum(op.get("op") is not None for op in operations):
+            raise CallError("invalid_operation")
+        needs: list[tuple[int, int]] = []
+
+        def real(place, value, prefix=""):
+            if not isinstance(value, str) or not value.startswith("op:"):
+                return value
+            of = names.get(value[3:])
+            if of is None or operations[of]["action"] != "capture":
+                raise CallError("invalid_operation")
+            needs.append((place, of))
+            return prefix + self._reserved(caller, run_id, of)
+
+        out = []
+        for n, op in enumerate(operations):
+            op = {k: v for k, v in op.items() if k != "op"}
+            if "id" in op:
+                op["id"] = real(n, op["id"])
+            if "old_ids" in op:
+                op["old_ids"] = [real(n, x) for x in op["old_ids"]]
+            if op["action"] == "capture" and op["record"].get("sources"):
+                op["record"] = op["record"] | {"sources": [x | {"uri": real(n, x["uri"], "record:")} for x in op["record"]["sources"]]}
+            out.append(op)
+        if not needs:
+            return out, list(range(len(out)))
+        nodes, edges = self.spark.createDataFrame([(n,) for n in range(len(out))], "id int"), self.spark.createDataFrame(needs, "src int, dst int")
+        layer = {r["id"]: r["layer"] for r in effects.layers(nodes, edges).collect()}
+        if None in layer.values():
+            raise CallError("cyclic_reference")
+        return out, sorted(layer, key=lambda n: (layer[n], n))
+
     def dream_publish(self, caller, run_id, expected_revision=None):
-        """Applies the draft's captures and withdrawals one by one; each is keyed by run and place, so a retry goes on."""
+        """Applies the draft's operations, those first that others refer to.
+
+        The draft left an intent for each: its target and what that was then. An operation whose target was changed by anyone else since is blocked. What was applied
+        has a receipt; a run that breaks off between any two writes goes on where no receipt is, and what was written without one is found by its key.
+        """
         row, body = self._run(caller, run_id, writes=True)
         if expected_revision not in (None, row["digest"]):
             raise CallError("stale_revision")
@@ -466,10 +520,21 @@ class Store:
             return {"state": "published", "outcomes": body["outcomes"]}
         if row["state"] != "drafted":
             raise CallError("not_drafted")
-        outcomes = []
-        for n, op in enumerate(body["operations"]):
-            key, more = f"{caller['project_id']}\x1f{REVIEW_KEYS}{run_id}:{n}", {k: v for k, v in op.items() if k not in ("action", "id", "review", "record", "old_ids")}
+        mine = F.col("run_id") == run_id
+        intents = {r["place"]: r for r in self.intents.all().where(mine).orderBy("seq").collect()}  # the last draft's
+        outcomes = {r["place"]: json.loads(r["outcome"]) for r in self.receipts.all().where(mine).collect()}
+        touched: set[str] = set()
+        for n in body["order"]:
+            op, target = body["operations"][n], intents[n]["target"]
+            if n in outcomes:
+                touched |= {target} if outcomes[n]["outcome"] == "applied" else set()
+                continue
+            key, more = self._review_key(caller, run_id, n), {k: v for k, v in op.items() if k not in ("action", "id", "review", "record", "old_ids")}
             try:
+                if op["action"] != "capture" and target not in touched and self.events.all().where(F.col("op_key") == key).isEmpty():
+                    now = self.current().where(F.col("id") == target).select("revision").first()
+                    if (now["revision"] if now else effects.ABSENT) != intents[n]["before"]:
+                        raise CallError("changed_target")
                 if op["action"] == "capture":
                     got = self._capture(caller, op["record"], op.get("review"), op.get("details"), key, REVIEW_KEYS)
                 elif op["action"] in ("approve", "supersede"):
@@ -478,9 +543,12 @@ class Store:
                     got = self._withdraw(caller, op["id"], op["review"], key)
                 else:
                     got = self._annotate(caller, op["id"], op["review"], key, **more)
-                outcomes.append({"outcome": "applied", "id": got["id"]})
+                touched.add(target)
+                outcomes[n] = {"outcome": "applied", "id": got["id"]}
             except (ValueError, AttributeError, KeyError, TypeError) as e:
-                outcomes.append({"outcome": "blocked", "reason": str(e) if isinstance(e, CallError) else "invalid_operation"})
+                outcomes[n] = {"outcome": "blocked", "reason": str(e) if isinstance(e, CallError) else "invalid_operation"}
+            self.receipts.append(self.spark.createDataFrame([(f"{run_id}:{n}", run_id, n, canonical_json(outcomes[n]))], "op_key string, run_id string, place int, outcome string"), "run_id")
+        outcomes = [outcomes[n] for n in sorted(outcomes)]
         self._save_run(run_id, row["objective"], row["target"], "published", row["generation"], body | {"outcomes": outcomes})
         return {"state": "published", "outcomes": outcomes}
 

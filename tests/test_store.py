@@ -285,3 +285,58 @@ def test_materials_in_pages_must_cover_the_run(store, tmp_path):
     store.dream_takeover(OTHER, run)  # a new attempt has seen nothing
     assert store.call("dream_close", OTHER, {"run_id": run})["error"]["code"] == "not_reviewed"
     assert store.call("dream_materials", OTHER, {"run_id": run, "cursor": "x"})["error"]["code"] == "invalid_cursor"
+
+
+def drafted(store, tmp_path, operations, name="run"):
+    log = granted(store, tmp_path) / f"{name}.jsonl"
+    log.write_text("{}\n")
+    run = store.dream_start(ME, name, str(log))["run_id"]
+    store.dream_materials(ME, run)
+    store.dream_draft(ME, run, operations)
+    return run
+
+
+def test_operations_of_a_draft_refer_to_each_other(store, tmp_path):
+    old = add(store, "old")
+    why = {"reason": "r"}
+    ops = [
+        {"action": "supersede", "id": "op:new", "old_ids": [old], "review": why},
+        {"action": "annotate", "id": "op:base", "review": why, "details": {"domain": "d"}},
+        {"action": "capture", "op": "new", "record": {"kind": "decision", "title": "new", "body": "b", "sources": [{"uri": "op:base"}]}},
+        {"action": "capture", "op": "base", "record": {"kind": "evidence", "title": "base", "body": "b"}, "review": why},
+    ]
+    run = drafted(store, tmp_path, ops)
+    out = store.dream_publish(ME, run)["outcomes"]
+    assert [o["outcome"] for o in out] == ["applied"] * 4 and out[0]["id"] == out[2]["id"] and out[1]["id"] == out[3]["id"]
+    new = store.one(out[2]["id"])
+    assert [x["uri"] for x in new["sources"]] == [f"record:{out[3]['id']}"] and new["effective_status"] == "active" and new["assurance"] == "dreaming-reviewed"
+    assert status(store, old) == "superseded" and store.one(out[3]["id"])["domain"] == "d"
+    bad = {"action": "capture", "op": "x", "record": {"kind": "decision", "title": "x", "body": "b", "sources": [{"uri": "op:y"}]}}
+    for odd, code in (([bad], "invalid_operation"), ([bad, bad | {"op": "x"}], "invalid_operation"), ([bad, bad | {"op": "y", "record": bad["record"] | {"sources": [{"uri": "op:x"}]}}], "cyclic_reference"), ([{"action": "withdraw", "op": "w", "id": old, "review": why}, {"action": "withdraw", "id": "op:w", "review": why}], "invalid_operation")):
+        with pytest.raises(CallError, match=code):
+            store._resolved(ME, "r", odd)
+
+
+def test_a_publication_that_breaks_off_ends_in_one_effect(store, tmp_path, monkeypatch):
+    kept, changed = add(store, "kept"), add(store, "changed")
+    why = {"reason": "r"}
+    ops = [{"action": "capture", "record": {"kind": "result", "title": "t", "body": "b"}, "review": why}, {"action": "withdraw", "id": kept, "review": why}, {"action": "withdraw", "id": changed, "review": why}, {"action": "annotate", "id": kept, "review": why, "details": {"domain": "d"}}]
+    run = drafted(store, tmp_path, ops)
+    store.annotate(OTHER, changed, why, details={"summary": "someone else's"})
+    append, calls = store.receipts.append, []
+
+    def dies(rows, key):
+        calls.append(1)
+        if len(calls) == 2:  # the withdrawal is written, its receipt is not
+            raise RuntimeError("killed")
+        return append(rows, key)
+
+    monkeypatch.setattr(store.receipts, "append", dies)
+    with pytest.raises(RuntimeError):
+        store.dream_publish(ME, run)
+    monkeypatch.undo()
+    written = store.events.all().count()
+    out = store.dream_publish(ME, run)["outcomes"]
+    assert [o["outcome"] for o in out] == ["applied", "applied", "blocked", "applied"] and out[2]["reason"] == "changed_target"
+    assert store.events.all().count() == written + 1 and store.records.all().count() == 3 and store.dream_publish(ME, run)["outcomes"] == out
+    assert (status(store, kept), status(store, changed)) == ("withdrawn", "active")
