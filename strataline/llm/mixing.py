@@ -286,8 +286,8 @@ def shares_given(values: list[str], tokens: np.ndarray, given: dict[str, float])
     return np.where(rest, given.get("(other)", 0.0) * tokens / other, out) if other else out
 
 
-def _spread(cells: DataFrame, targets: dict, keep: float, scratch: Scratch, steps: int = 60, close: float = 1e-6) -> DataFrame:
-    """The same for any number of cells, by an aggregate and a join a dimension and step; ``close`` is coarser."""
+def _spread(cells: DataFrame, targets: dict, keep: float, scratch: Scratch, steps: int = 500, close: float = 1e-9) -> DataFrame:
+    """The same for any number of cells, by an aggregate and a join a dimension and step, until nothing moves by more than ``close``."""
     one = F.lit(1.0)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     sized, goals = cells, {}
