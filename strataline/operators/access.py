@@ -33,10 +33,11 @@ def resolve_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
 def with_imports(records: DataFrame, share_edges: DataFrame, project: str) -> DataFrame:
     """The project's own records and those that others share with it: both sides must have opted in."""
     own = records.where(F.col("project_id") == project).withColumn("imported", F.lit(False))
-    into = share_edges.where(F.col("to") == project).select(F.col("from").alias("project_id"), F.col("domain").alias("edge_domain")).distinct()
-    other = records.where(F.col("project_id") != project).join(F.broadcast(into), "project_id")  # 128 edges at most
-    other = other.where(F.array_contains("share_with", project) & (F.col("edge_domain").isNull() | (F.col("edge_domain") == F.col("domain"))))
-    return own.unionByName(other.select(*records.columns).distinct().withColumn("imported", F.lit(True)))
+    domain = F.col("domain")
+    into = share_edges.where(F.col("to") == project).groupBy(F.col("from").alias("project_id")).agg(F.bool_or(domain.isNull()).alias("__all"), F.collect_set("domain").alias("__domains"))
+    other = records.where((F.col("project_id") != project) & F.array_contains("share_with", project)).join(into, "project_id")  # a row a project: no record comes twice
+    other = other.where(F.col("__all") | F.array_contains("__domains", domain))
+    return own.unionByName(other.select(*records.columns).withColumn("imported", F.lit(True)))
 
 
 def route_matches(queries: DataFrame, topics: DataFrame) -> DataFrame:
