@@ -197,7 +197,9 @@ def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
     its share give their gradient at the common weights; the sums move these, each by its own curvature. Counts and sums
     are the same whatever the partitions.
     """
-    spark, prior, tasks = codes.sparkSession, np.exp(bias), -(-n // PER_TASK)
+    spark, prior = codes.sparkSession, np.exp(bias)
+    # Each task hands on its whole sums, so there are no more tasks than keep all cores busy, however much each reads.
+    tasks = min(-(-n // PER_TASK), 2 * spark.sparkContext.defaultParallelism)
 
     def count(x, y, out):
         for k in range(KINDS):
