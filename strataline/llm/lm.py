@@ -173,9 +173,9 @@ def summed(codes: DataFrame, rows: int, tasks: int, fn) -> np.ndarray:
             fn(x, y, out)
             some = True
         if some:
-            flat = np.rint(out).astype(np.int64).reshape(-1, PER * CLASSES)
+            flat = np.rint(out, out=out).reshape(-1, PER * CLASSES)
             for at in range(0, len(flat), 16):
-                got = flat[at : at + 16]
+                got = flat[at : at + 16].astype(np.int64)  # no second copy of all sums
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(got), dtype=np.int32)), pa.array(np.full(len(got), TaskContext.get().partitionId(), np.int32)), pa.array([x.tobytes() for x in got], pa.binary())], ["block", "task", "sum"])
 
     parts = codes.select("y", "context").coalesce(tasks).mapInArrow(run, "block int, task int, sum binary")
@@ -219,7 +219,8 @@ def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
         def step(x, y, out, shared=shared):
             got = np.zeros(out.shape, np.float32)
             gradient(*shared.value, x, y, got)
-            out += got * GRAIN
+            got *= GRAIN
+            out += got
 
         w = w - (RATE * ROUNDS / GRAIN * summed(codes.where(F.col("share") == r), rows, tasks, step) / seen).astype(np.float32)
         shared.destroy()
