@@ -68,18 +68,77 @@ def greedy_windows(events: DataFrame, key: str, order: str, window_bytes: int, l
     both = lines.select("key", F.col("c").alias("v"), F.lit(0).cast("bigint").alias("of")).unionByName(limits)
     ends = running(both, ["key"], ["v", "of"], {"fit": ("sum", F.when(F.col("of") == 0, 1).otherwise(0))}, chunk=max(CHUNK, 64 * window_bytes)).where("of > 0")
     jump = graph.kept(ends.join(lines.select(F.col("key").alias("k"), F.col("i").alias("j")), (F.col("key") == F.col("k")) & (F.col("fit") + 1 == F.col("j"))).select("key", F.col("of").alias("i"), F.col("j").alias("next")))
-    jumps = []
-    while jump.limit(1).count():  # lines with fewer windows after them drop out of each further round
+    begin = leaps(jump, lines.select("key", F.lit(1).cast("bigint").alias("i")).distinct())
+    marked = lines.join(begin.select(F.col("key").alias("k"), F.col("i").alias("at")), (F.col("key") == F.col("k")) & (F.col("i") == F.col("at")), "left")
+    numbered = running(marked.select("key", "o", "s", "i", F.col("at").isNotNull().cast("bigint").alias("new")), ["key"], ["i"], {"window": ("sum", F.col("new"))})
+    return numbered.groupBy(F.col("key").alias(key), "window").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"), F.sum("s").alias("bytes"))
+
+
+def leaps(jump: DataFrame, begin: DataFrame) -> DataFrame:
+    """(key, i): where jump(key, i, next) leads to from begin(key, i), over any number of steps, and where it begins.
+
+    Jumps are doubled until none is left; places with fewer jumps after them drop out of each further round. Then the longest ones are taken first.
+    """
+    jumps, begin = [], graph.kept(begin)
+    while jump.limit(1).count():
         jumps.append(jump)
         ahead = jump.select(F.col("key").alias("k"), F.col("i").alias("at"), F.col("next").alias("then"))
-        jump = graph.kept(jump.join(ahead, (F.col("key") == F.col("k")) & (F.col("next") == F.col("at"))).select("key", "i", F.col("then").alias("next")))
-    begin = graph.kept(lines.select("key", F.lit(1).cast("bigint").alias("i")).distinct())
+        jump = graph.kept(jump.join(ahead, F.col("key").eqNullSafe(F.col("k")) & (F.col("next") == F.col("at"))).select("key", "i", F.col("then").alias("next")))
     for jump in reversed(jumps):
-        far = begin.withColumnsRenamed({"key": "k", "i": "at"}).join(jump, (F.col("key") == F.col("k")) & (F.col("i") == F.col("at"))).select("key", F.col("next").alias("i"))
+        far = begin.withColumnsRenamed({"key": "k", "i": "at"}).join(jump, F.col("key").eqNullSafe(F.col("k")) & (F.col("i") == F.col("at"))).select("key", F.col("next").alias("i"))
         begin = graph.kept(begin.unionByName(far))
-    marked = lines.join(begin.select(F.col("key").alias("k"), F.col("i").alias("at")), (F.col("key") == F.col("k")) & (F.col("i") == F.col("at")), "left")
-    numbered = running(marked.select("key", "o", "s", "i", F.col("at").isNotNull().cast("bigint").alias("new")), ["key"], ["i"], {"window": ("sum", F.col("new"))})
-    return numbered.groupBy(F.col("key").alias(key), "window").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"), F.sum("s").alias("bytes"))
+    return begin
+
+
+def cooled(triggers: DataFrame, key: str, at: str, name: str, interval: int) -> DataFrame:
+    """triggers and spawned, next_after: those that start something, if for ``interval`` seconds after a start nothing else does.
+
+    ``at`` is in whole seconds; triggers of one second come by ``name``. next_after: seconds that a trigger which is too early would have had to wait, else null. Each
+    trigger points to the first one that could start after it; the starts are where these pointers lead to from the first, so no store has to fit one task.
+    """
+    rows = triggers.select(F.col(key).alias("key"), F.col(at).cast("bigint").alias("t"), F.col(name).alias("name"))
+    rows = graph.kept(running(rows, ["key"], ["t", "name"], {"i": ("sum", F.lit(1).cast("bigint"))}))
+    limits = rows.select("key", (F.col("t") + interval).alias("v"), F.lit(0).alias("kind"), "i")
+    both = limits.unionByName(rows.select("key", F.col("t").alias("v"), F.lit(1).alias("kind"), "i"))
+    fit = running(both, ["key"], ["v", "kind"], {"before": ("sum", F.col("kind"))}).where("kind = 0")
+    last = rows.groupBy(F.col("key").alias("k")).agg(F.max("i").alias("n"))
+    jump = fit.join(last, F.col("key").eqNullSafe(F.col("k"))).where("before < n").select("key", "i", (F.col("before") + 1).alias("next"))
+    starts = leaps(graph.kept(jump), rows.where("i = 1").select("key", "i"))
+    marked = rows.join(starts.select(F.col("key").alias("k"), F.col("i").alias("j")), F.col("key").eqNullSafe(F.col("k")) & (F.col("i") == F.col("j")), "left").withColumn("spawned", F.col("j").isNotNull()).drop("k", "j")
+    got = running(marked, ["key"], ["i"], {"since": ("max", F.when(F.col("spawned"), F.col("t")))})
+    return got.select(F.col("key").alias(key), F.col("t").alias(at), "name", "spawned", F.when(~F.col("spawned"), F.col("since") + interval - F.col("t")).alias("next_after")).withColumnRenamed("name", name)
+
+
+def exact_json(text: Column) -> Column:
+    """A text that is one JSON document as a variant, else null. (The built-in takes a document with anything behind it.)"""
+    many = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(many, "$[1]", "variant").isNull(), F.try_variant_get(many, "$[0]", "variant"))
+
+
+def json_object(text: Column) -> Column:
+    """What lies between the first opening and the last closing brace, as a variant; null if that is not one JSON document."""
+    return exact_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+
+
+def model_answers(outputs: DataFrame) -> DataFrame:
+    """outputs(session, window, output) and answer (JSON text), input_tokens, output_tokens, cost, failed: what a model's output says.
+
+    The output is one JSON document, or one on each line; lines that aren't JSON are passed over. An answer is a document with ``candidates``, or the JSON object in the text of a
+    result or of an agent's message; of several the last counts, and none is null. Numbers are those of the last document that has them.
+    """
+    whole = exact_json(F.col("output"))
+    lines = F.when(whole.isNotNull(), F.array("output")).otherwise(F.split("output", "\r\n|\r|\n"))
+    at = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    docs = outputs.select("session", "window", F.posexplode_outer(lines).alias("line", "raw")).withColumn("v", exact_json(F.col("raw")))
+    kind = F.coalesce(at("$.item.type"), F.lit(""))
+    said = F.array(F.when(at("$.candidates", "variant").isNotNull(), F.to_json("v")), F.to_json(json_object(at("$.result"))), F.to_json(json_object(F.when(kind.isin("agent_message", "assistant_message"), at("$.item.text")))))
+    docs = docs.withColumn("said", F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(said, lambda x: x.isNotNull())), -1))
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("line")))
+    failed = F.coalesce((at("$.is_error", "boolean")) | at("$.type").isin("error", "turn.failed"), F.lit(False)) | F.coalesce(at("$.type").isin("error", "turn.failed"), F.lit(False))
+    return docs.groupBy("session", "window").agg(
+        last(F.col("said")).alias("answer"), last(at("$.usage.input_tokens", "bigint")).alias("input_tokens"), last(at("$.usage.output_tokens", "bigint")).alias("output_tokens"),
+        last(at("$.total_cost_usd", "double")).alias("cost"), F.bool_or(failed).alias("failed"),
+    )
 
 
 def worker_filter(candidates: DataFrame) -> DataFrame:

@@ -683,6 +683,16 @@ def greedy_windows(spark, d):
     return extract.greedy_windows(table(spark, d, "conversations").where("role <> 'system'"), "conv_id", "turn", 600)
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sec, event_id) AS i FROM e),
+g AS (SELECT event_type, event_id, sec, i, true AS spawned, sec AS since FROM n WHERE i = 1 UNION ALL
+  SELECT n.event_type, n.event_id, n.sec, n.i, n.sec >= since + 14400, CASE WHEN n.sec >= since + 14400 THEN n.sec ELSE since END FROM g JOIN n ON n.event_type = g.event_type AND n.i = g.i + 1)
+SELECT event_type, event_id, sec AS "at", spawned, CASE WHEN NOT spawned THEN since + 14400 - sec END AS next_after FROM g""")
+def spawn_cooldown(spark, d):
+    """Events as triggers: which of them start an extraction, if one start of a type holds off others for four hours."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.unix_timestamp(F.date_trunc("second", "ts")).alias("at"))
+    return extract.cooled(e, "event_type", "at", "event_id", 14_400)
+
+
 @query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
 y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM y GROUP BY user_id, s""")
 def idle_sessions(spark, d):

@@ -119,3 +119,29 @@ def test_reachable_with_and_without_a_shared_folder(spark, monkeypatch):
     assert sorted(r.id for r in graph.reachable(spark, edges, roots).collect()) == ["a", "b", "c"]
     monkeypatch.setattr(graph, "kept", lambda df: df.cache())  # what is done where none is set
     assert sorted(r.id for r in graph.reachable(spark, edges, roots).collect()) == ["a", "b", "c"]
+
+
+def test_cooldown_equals_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", None]), rng.randrange(2000), i) for i in range(300)]
+    got = extract.cooled(spark.createDataFrame(rows, "store string, at bigint, n int").repartition(3), "store", "at", "n", 77).collect()
+    assert len(got) == len(rows)
+    for store in ("a", None):
+        last, have = None, {r.n: r for r in got if r.store == store}
+        for at, n in sorted((t, n) for s, t, n in rows if s == store):
+            start = last is None or at >= last + 77
+            last = at if start else last
+            assert (have[n].spawned, have[n].next_after) == (start, None if start else last + 77 - at)
+
+
+def test_answers_in_prose(spark):
+    outs = [
+        '{"candidates": [1]}', '{"result": "Sure: {\\"candidates\\": [{\\"a\\": {}}]} done", "usage": {"input_tokens": 5, "output_tokens": 2}, "total_cost_usd": 0.5}', "no json at all", "",
+        'log line\n{"type":"item.completed","item":{"type":"agent_message","text":"{\\"n\\":1}"}}\n{"type":"item.completed","item":{"type":"agent_message","text":"then {\\"n\\":2}"}}\n{"type":"turn.completed","usage":{"input_tokens":7}}',
+        '{"result": "two {\\"a\\":1} and {\\"b\\":2}"}', '{"is_error": true, "result": "{}"}', '{"type": "turn.failed"}', '[1, 2]', '{"item": {"type": "reasoning", "text": "{\\"x\\":1}"}}', None,
+    ]
+    outs.append('{"result": "{\\"r\\":1}"}\n{"result": "none"}\n{"usage": {"output_tokens": 3}}')
+    got = extract.model_answers(spark.createDataFrame([("s", i, o) for i, o in enumerate(outs)], "session string, window bigint, output string")).orderBy("window").collect()
+    assert [r.answer for r in got] == ['{"candidates":[1]}', '{"candidates":[{"a":{}}]}', None, None, '{"n":2}', None, "{}", None, None, None, None, '{"r":1}']
+    assert (got[1].input_tokens, got[1].output_tokens, got[1].cost, got[4].input_tokens) == (5, 2, 0.5, 7)
+    assert [i for i, r in enumerate(got) if r.failed] == [6, 7]
