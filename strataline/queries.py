@@ -628,14 +628,14 @@ def effect_recovery(spark, d):
 e AS (SELECT id AS src, CASE WHEN id % 101 = 7 THEN -1 - id ELSE p1 END AS dst FROM n WHERE id % 3 <> 0 UNION SELECT id, p2 FROM n), k AS (SELECT * FROM e WHERE dst IS NOT NULL),
 w AS (SELECT id, 0 AS layer FROM n UNION ALL SELECT src, layer + 1 FROM w JOIN k ON dst = w.id), x AS (SELECT id, max(layer) AS layer FROM w GROUP BY id),
 lost AS (SELECT src AS id FROM k WHERE dst < 0 UNION SELECT src FROM lost JOIN k ON dst = lost.id)
-SELECT x.id, CASE WHEN lost.id IS NULL THEN CAST(layer AS INT) END AS layer FROM x LEFT JOIN lost USING (id)""")
+SELECT x.id, CASE WHEN lost.id IS NULL THEN CAST(layer AS INT) ELSE -1 END AS layer FROM x LEFT JOIN lost USING (id)""")
 def operation_layers(spark, d):
     """Orders as operations of a draft that refer to earlier ones of their customer; some refer to one that isn't there."""
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     n = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(by).alias("p1"), F.lag("o_orderkey", 3).over(by).alias("p2"))
     near = n.where("id % 3 <> 0").select(F.col("id").alias("src"), F.when(F.col("id") % 101 == 7, -1 - F.col("id")).otherwise(F.col("p1")).alias("dst"))
     edges = near.unionByName(n.select(F.col("id").alias("src"), F.col("p2").alias("dst"))).where("dst IS NOT NULL")
-    return effects.layers(n, edges)
+    return effects.layers(n, edges).select("id", F.coalesce("layer", F.lit(-1)).alias("layer"))
 
 
 def _references(spark, d):
@@ -686,11 +686,11 @@ def greedy_windows(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sec, event_id) AS i FROM e),
 g AS (SELECT event_type, event_id, sec, i, true AS spawned, sec AS since FROM n WHERE i = 1 UNION ALL
   SELECT n.event_type, n.event_id, n.sec, n.i, n.sec >= since + 14400, CASE WHEN n.sec >= since + 14400 THEN n.sec ELSE since END FROM g JOIN n ON n.event_type = g.event_type AND n.i = g.i + 1)
-SELECT event_type, event_id, sec AS "at", spawned, CASE WHEN NOT spawned THEN since + 14400 - sec END AS next_after FROM g""")
+SELECT event_type, event_id, sec AS "at", spawned, CASE WHEN NOT spawned THEN since + 14400 - sec ELSE 0 END AS next_after FROM g""")
 def spawn_cooldown(spark, d):
     """Events as triggers: which of them start an extraction, if one start of a type holds off others for four hours."""
     e = table(spark, d, "events").select("event_id", "event_type", F.unix_timestamp(F.date_trunc("second", "ts")).alias("at"))
-    return extract.cooled(e, "event_type", "at", "event_id", 14_400)
+    return extract.cooled(e, "event_type", "at", "event_id", 14_400).withColumn("next_after", F.coalesce("next_after", F.lit(0)))
 
 
 @query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
