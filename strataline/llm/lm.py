@@ -110,8 +110,8 @@ def class_logs(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray)
     return out / np.log(10)
 
 
-def gradient(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
-    """Adds the gradient of the log loss of some tokens to out (KINDS x rows x CLASSES)."""
+def gradient(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
+    """Adds the gradient of the log loss of some tokens, times ``scale``, to out (KINDS x rows x CLASSES): only the rows of these tokens are touched."""
     for at in range(0, len(y), PART):
         r, z = rows[:, at : at + PART], y[at : at + PART]
         _, e, total = logits(w, bias, r)
@@ -121,7 +121,7 @@ def gradient(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray, o
             order = np.argsort(r[k], kind="stable")
             by = r[k][order]
             cut = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
-            out[k, by[cut]] += np.add.reduceat(e.take(order, axis=0), cut, axis=0)
+            out[k, by[cut]] += np.add.reduceat(e.take(order, axis=0), cut, axis=0) * np.float32(scale)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -217,10 +217,7 @@ def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((w, bias))  # KINDS x rows x CLASSES numbers: rows grow with the root of the vocabulary
 
         def step(x, y, out, shared=shared):
-            got = np.zeros(out.shape, np.float32)
-            gradient(*shared.value, x, y, got)
-            got *= GRAIN
-            out += got
+            gradient(*shared.value, x, y, out, GRAIN)
 
         w = w - (RATE * ROUNDS / GRAIN * summed(codes.where(F.col("share") == r), rows, tasks, step) / seen).astype(np.float32)
         shared.destroy()
