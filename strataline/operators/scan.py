@@ -34,10 +34,12 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
 def covered_ranges(reads: DataFrame, keys: list[str], chunk: int = 1 << 24) -> DataFrame:
     """keys, start, end: the union of reads(keys, start, end) as disjoint ranges that don't touch each other. Empty reads cover nothing.
 
-    A read begins a range of its own where all reads before it have ended before its start.
+    A read begins a range of its own where all reads before it have ended before its start. Of reads with the same start only the longest
+    counts, so no two rows of a key tie and both scans see them in one order.
     """
-    rows = running(reads.where("end > start").select(*keys, "start", "end"), keys, ["start", "end"], {"reach": ("max", F.col("end"))}, chunk, inclusive=False)
-    rows = running(rows, keys, ["start", "end"], {"island": ("sum", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0))}, chunk)
+    once = reads.where("end > start").groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    rows = running(once, keys, ["start"], {"reach": ("max", F.col("end"))}, chunk, inclusive=False)
+    rows = running(rows, keys, ["start"], {"island": ("sum", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0))}, chunk)
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 

@@ -44,6 +44,18 @@ def test_ranges_and_marks(spark):
     assert scan.covered_ranges(none, ["k"]).count() == 0 and scan.uncovered_marks(m, none, ["k"]).count() == sum(e > s for _, s, e, _ in marks)
 
 
+def test_repeated_reads_in_any_order(spark, monkeypatch):
+    real = scan.running
+
+    def other_order(rows, *args, **more):  # rows that tie may come in any order
+        return real(rows.orderBy(*[F.desc_nulls_last(c) for c in rows.columns]).coalesce(1), *args, **more)
+
+    monkeypatch.setattr(scan, "running", other_order)
+    reads = [("a", s, s + n) for s in range(0, 90, 10) for n in (4, 4, 4, 6)] + [("b", 0, 3), ("b", 5, 9), ("b", 5, 9), ("b", 9, 12)]
+    got = scan.covered_ranges(spark.createDataFrame(reads, "k string, start bigint, end bigint"), ["k"])
+    assert sorted(map(tuple, got.collect())) == [("a", s, s + 6) for s in range(0, 90, 10)] + [("b", 0, 3), ("b", 5, 12)]
+
+
 def test_progress_and_marks(spark):
     reads = spark.createDataFrame([("x", "d1", 0, 5), ("x", "d1", 5, 9), ("y", "d1", 0, 4), ("y", "d1", 6, 9), ("z", "old", 0, 9)], "key string, digest string, start bigint, end bigint")
     totals = spark.createDataFrame([("x", "d1", 9), ("y", "d1", 9), ("z", "d2", 9), ("e", "d", 0)], "key string, digest string, total bigint")
