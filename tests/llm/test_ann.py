@@ -34,6 +34,25 @@ def test_recall_order_and_ties(spark, block):
     assert list(twin.vec_id) == list(range(99, 109))
 
 
+def hard_rows(kind, rng):
+    """Rows whose nearest ones an index fitted on a sample misses."""
+    x = rng.normal(size=(1500, 16))
+    if kind == "near copies":  # one dense heap, whose codes are all alike
+        x[200:] = x[0] + rng.normal(size=(1300, 16)) * 1e-3
+    elif kind == "norms":  # a few large vectors, and none of them in the sample
+        x *= np.exp(2 * rng.normal(size=(1500, 1)))
+    return x
+
+
+@pytest.mark.parametrize("kind", ["plain", "near copies", "norms"])
+def test_no_neighbour_is_lost(spark, kind):
+    rows = list(enumerate(hard_rows(kind, np.random.default_rng(3)).astype(np.float32).astype(float)))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows], SCHEMA).repartition(3)
+    got = ann.neighbours(df, F.col("vec_id") % 20 == 0, k=10, fit_rows=200, lists=12, probes=2).orderBy("query_id", "rank").toPandas()
+    hits = sum(len(set(exact(rows, q, 10)) & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hits == len(got) == 750
+
+
 def test_repeated_ids_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [2.0, 0.0], 1), (1, [3.0, 0.0], 1), (1, [3.0, 0.0], 1), (2, [0.5, 1.0], 1)], SCHEMA)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(df, F.col("vec_id") == 0).collect())
