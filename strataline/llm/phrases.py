@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Buckets of a sketch (2 to this power), and bits of a filter of heavy buckets at most (8 MB); a fuller filter lets more through and changes no result.
 SKETCH_BITS, FILTER_BITS = 40, 1 << 26
 #: Hashes that a task keeps before it folds them, and bytes of phrases that the automata of one scan are built from.
-HELD, ROUND_BYTES = 1 << 21, 8 << 20
+HELD, ROUND_BYTES = 1 << 21, 48 << 20
 #: Counts of phrases that travel together, and tasks whose counts are added up at a time.
 BLOCK, FAN = 1 << 10, 64
 #: Stands between pieces and between texts; no UTF-8 text holds this byte.
@@ -191,6 +192,42 @@ def candidates(docs: DataFrame, longest: int, least: int, scratch: Scratch) -> t
     return scratch.table(kept, "candidates"), totals
 
 
+def automaton(langs: list[str], phrases: pa.Array) -> tuple:
+    """(words, langs, steps, ends) of an automaton over words that knows the distinct phrases of each language.
+
+    A state is reached by the first words of some phrase; steps[j] holds the sorted keys (state after j words) * (number of words) +
+    word, and a key's place is the next state; ends[j] says which phrase ends there, or -1. No key holds a guard.
+    """
+    split = pc.split_pattern(phrases, " ")
+    size, word = split.value_lengths().to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+    start, ids, names = np.cumsum(size) - size, word.indices.to_numpy().astype(np.int64), sorted(set(langs))
+    of = {lang: i for i, lang in enumerate(names)}
+    at, state, steps, ends = np.arange(len(size)), np.fromiter(map(of.__getitem__, langs), np.int64, len(langs)), [], []
+    while len(at):
+        keys, state = np.unique(state * len(word.dictionary) + ids[start[at] + len(steps)], return_inverse=True)
+        steps.append(keys)
+        last = size[at] == len(steps)
+        ends.append(np.full(len(keys), -1, np.int64))
+        ends[-1][state[last]] = at[last]
+        at, state = at[~last], state[~last]
+    return word.dictionary.cast(pa.binary()), names, steps, ends
+
+
+def occurrences(steps: list[np.ndarray], n_words: int, lang: int, ids: np.ndarray, counts: list[np.ndarray]) -> None:
+    """Walks the automaton from every one of the words (-1: a guard, or one that no phrase has) at once and adds to the counts of the states."""
+    at = np.flatnonzero(ids >= 0)
+    state = np.full(len(at), lang, np.int64)
+    for j, keys in enumerate(steps):
+        key = state * n_words + ids[at]
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ok = keys[place] == key
+        state, at = place[ok], at[ok] + 1
+        np.add.at(counts[j], state, 1)
+        ok = at < len(ids)
+        ok[ok] = ids[at[ok]] >= 0
+        state, at = state[ok], at[ok]
+
+
 def _added(table: pa.Table) -> pa.Table:
     """One block of counts: the sum of those of FAN tasks at most."""
     total = sum(np.frombuffer(x, np.int64) for x in table.column("sum").to_pylist())
@@ -201,9 +238,9 @@ def _added(table: pa.Table) -> pa.Table:
 def counted(docs: DataFrame, phrases: DataFrame, scratch: Scratch, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(lang, phrase, k, n): how often each of phrases(lang, phrase, k) occurs in the texts of its language, overlaps included.
 
-    An automaton a language finds all its phrases at once, each with a guard before and behind, in the words of the texts joined by
-    single spaces. Tasks get the phrases of one round (``round_bytes`` of them); more phrases take more rounds, each a scan of its own.
-    Counts leave a task in blocks, which are added up in arrays.
+    An automaton over words finds all phrases of a language at once; it has no step over a guard, so none crosses the end of a piece. A state
+    is one number, whatever the words are, so a scan takes millions of phrases. Tasks get the phrases of one round (``round_bytes`` of them);
+    more phrases take more rounds, each a scan of its own. Counts leave a task in blocks, which are added up in arrays.
     """
     spark = docs.sparkSession
     size = phrases.agg(F.coalesce(F.sum(F.octet_length("phrase") + 24), F.lit(0))).first()[0]
@@ -212,27 +249,19 @@ def counted(docs: DataFrame, phrases: DataFrame, scratch: Scratch, round_bytes:
     done = []
     for number in range(rounds):
         some = listed.where(F.col("round") == number).select("lang", "id", "phrase").toArrow()  # round_bytes of phrases
-        shared = spark.sparkContext.broadcast((some.column("lang").to_pylist(), some.column("id").to_pylist(), some.column("phrase").cast(pa.binary()).to_pylist()))
+        shared = spark.sparkContext.broadcast((some.column("id").to_numpy(), *automaton(some.column("lang").to_pylist(), some.column("phrase").combine_chunks())))
+        del some
 
         def scan(batches, shared=shared):
-            import ahocorasick
-
-            langs, ids, texts = shared.value
-            of: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                of.setdefault(lang, []).append(i)
-            made, total = {}, np.zeros(len(ids), np.int64)
+            ids, listed_words, langs, steps, ends = shared.value
+            known, of = {w: i for i, w in enumerate(listed_words.to_pylist())}, {lang: i for i, lang in enumerate(langs)}
+            counts, total = [np.zeros(len(keys), np.int64) for keys in steps], np.zeros(len(ids), np.int64)
             for part in sliced(batches):
                 for lang, flat in words(part):
-                    if lang not in of:
-                        continue
-                    if lang not in made:
-                        made[lang] = ahocorasick.Automaton()
-                        for i in of[lang]:
-                            made[lang].add_word(f" {texts[i].decode('latin-1')} ", i)  # a character for each byte
-                        made[lang].make_automaton()
-                    text = (b" " + b" ".join(flat) + b" ").decode("latin-1")
-                    total += np.bincount(np.fromiter(map(itemgetter(1), made[lang].iter(text)), np.int64), minlength=len(ids))
+                    if lang in of:
+                        occurrences(steps, len(known), of[lang], np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat)), counts)
+            for end, n in zip(ends, counts):
+                total[end[end >= 0]] = n[end >= 0]
             total = np.pad(total, (0, -len(total) % BLOCK)).reshape(-1, BLOCK)
             at = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)), pa.array([x.tobytes() for x in total[at]], pa.binary())], ["block", "task", "sum"])
@@ -247,7 +276,7 @@ def counted(docs: DataFrame, phrases: DataFrame, scratch: Scratch, round_bytes:
                 break
 
         def unpack(batches, shared=shared):
-            ids = np.array(shared.value[1], np.int64)
+            ids = shared.value[0]
             for b in batches:
                 for block, total in zip(b.column("block").to_pylist(), b.column("sum").to_pylist()):
                     n = np.frombuffer(total, np.int64)[: len(ids) - block * BLOCK]

@@ -77,6 +77,15 @@ def test_exact_beyond_64_bits(spark):
     assert big.first().s == 1000 * 30000000007 * 9000000000001 // (40000000000 * 30000000009)
 
 
+def test_many_phrases_take_one_scan(spark):
+    docs = spark.createDataFrame([("a long common beginning 7 " * 3, "en"), ("a long common beginning 7", "fr"), ("a long. common beginning 7", "en")], "text string, lang string")
+    many = spark.range(250_000).selectExpr("'en' AS lang", "concat('a long common beginning ', id) AS phrase", "5 AS k")
+    scratch = Scratch(spark, "t")
+    found = ph.counted(docs, many, scratch)
+    assert [(r.phrase, r.n) for r in found.collect()] == [("a long common beginning 7", 3)]
+    assert sum(t._scratch_path.endswith("-parts") for t in scratch.made) == 1
+
+
 def test_odd_tables(spark, odd, empty, docs, corpus):
     assert ph.collocations(empty).collect() == [] and ph.collocations(odd, 1).count() == len(plain([(r.text, r.lang) for r in odd.collect()], 1))
     nothing = spark.createDataFrame([(None, None), ("", "en"), ("single", "en")], "text string, lang string")
