@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,8 +75,17 @@ class Scratch:
             _forget(self.spark, t._scratch_path)
 
 
+def tidy() -> None:
+    """Hands freed memory back to the system: a Python worker outlives its task and shares the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Slices of so many rows at most, and of SLICE_BYTES of text at most unless one row alone is longer."""
+    """Slices of so many rows at most, and of SLICE_BYTES of text at most unless one row alone is longer. What tasks before this one,
+    and the batches of this one, left behind is handed back."""
+    tidy()
     for batch in batches:
         size = np.zeros(batch.num_rows + 1, np.int64)
         for column in batch.columns:
@@ -86,6 +96,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1))
             yield batch.slice(at, min(to, batch.num_rows) - at)
             at = to
+    batch = None
+    tidy()
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:

@@ -25,6 +25,8 @@ CLASSES, OWN = 64, 24
 KINDS, LEAST_ROWS, PER_ROOT = 3, 1 << 12, 16
 #: Tokens whose gradient is taken at a time, which fits a core's cache.
 PART = 1 << 13
+#: Words whose codes a task remembers.
+REMEMBERED = 100_000
 #: Tasks whose sums are added up at a time, rows of weights that travel together, and tokens of a task at the mean.
 FAN, PER, PER_TASK = 64, 256, 3_000_000
 #: Rounds of summed gradients, each over its own share of the documents.
@@ -43,7 +45,7 @@ class Codes(dict):
         self.own, self.head = own, head
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         crc = zlib.crc32(word)
         k = self.own.get(word)

@@ -52,3 +52,9 @@ def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few, held):
     got = common.components(spark, edges, common.Scratch(spark, "test"), few).collect()
     assert sorted((r["node"], r["root"]) for r in got) == sorted((n, r) for n, r in least.items() if n != r)
     assert common.components(spark, edges.limit(0), common.Scratch(spark, "test"), few).count() == 0
+
+
+def test_slices_hand_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "tidy", lambda: calls.append(1))
+    assert [p.num_rows for p in common.sliced(iter([pa.RecordBatch.from_pydict({"text": ["a"] * 300})]))] == [128, 128, 44] and len(calls) == 2

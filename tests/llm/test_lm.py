@@ -37,6 +37,14 @@ def test_context_starts_anew_with_each_text():
     assert (rows[:, :3] == rows[:, 3:]).all()
 
 
+def test_few_codes_are_remembered():
+    codes, most = lm.Codes({lm.END: 0}, {b"w7": 3}), 0
+    for i in range(250_000):
+        codes[b"w%d" % i]
+        most = max(most, len(codes))
+    assert most <= 100_000 and codes[b"w7"] == lm.Codes({lm.END: 0}, {b"w7": 3})[b"w7"]
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(1)
     w, bias = rng.normal(size=(lm.KINDS, lm.LEAST_ROWS, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
