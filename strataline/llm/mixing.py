@@ -24,13 +24,15 @@ DRIVER_CELLS = 200_000
 TOPICS, DIM, ROUNDS, FIRST = 16, 4096, 3, 256
 #: Shorter words say nothing of the topic.
 LETTERS = 4
+#: Words whose dimension a worker remembers, and entries of texts whose likeness to the topics is held at a time, at the mean (TOPICS numbers each).
+REMEMBERED, PART = 50_000, 1 << 15
 
 
 class _Dims(dict):
     """The hashed dimension of each word, or -1 for a short one; remembered, emptied when large."""
 
     def __missing__(self, word):
-        if len(self) > 200_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = got = zlib.crc32(word) % DIM if len(word) >= LETTERS else -1
         return got
@@ -67,9 +69,13 @@ def assign(size: int, row: np.ndarray, dim: np.ndarray, value: np.ndarray, means
     row, dim, value = row[some], dim[some], value[some]
     if len(row):
         cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        near = np.ascontiguousarray(means.T, float).take(dim, axis=0)  # whole numbers below 2**53
-        near *= value[:, None]
-        out[row[cut]] = np.add.reduceat(near, cut, axis=0).argmax(1)
+        columns, cuts, at = np.ascontiguousarray(means.T, float), np.append(cut, len(row)), 0  # whole numbers below 2**53
+        while at < len(cut):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PART, "right")) - 1)
+            near = columns.take(dim[cuts[at] : cuts[to]], axis=0)
+            near *= value[cuts[at] : cuts[to], None]
+            out[row[cut[at:to]]] = np.add.reduceat(near, cut[at:to] - cut[at], axis=0).argmax(1)
+            at = to
     return out
 
 

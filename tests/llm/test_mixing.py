@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -125,3 +127,16 @@ def test_odd_rows_and_empty(odd, empty):
 def test_without_text_the_result_is_the_same(docs):
     a, b = ({tuple(r) for r in mixing.mix(docs, with_text=w).select("doc_id", "lang", "source", "mix_tokens", "mix_topic", "mix_weight", "mix_probability", "mix_kept").collect()} for w in (True, False))
     assert a == b
+
+
+def test_topics_of_many_texts_need_little_memory():
+    rng = np.random.default_rng(2)
+    row = np.repeat(np.arange(5000), 200)
+    dim, value, means = rng.integers(0, mixing.DIM, len(row)), rng.integers(0, 5, len(row)), rng.integers(0, 100, (mixing.TOPICS, mixing.DIM))
+    tracemalloc.start()
+    got = mixing.assign(5001, row, dim, value, means)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20 and got[5000] == -1
+    for i in (0, 1, 2499, 4999):
+        assert got[i] == (means[:, dim[row == i]] * value[row == i]).sum(1).argmax()
