@@ -33,11 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (proposed by SimHash fingerprints, verified: five-word Jaccard
     similarity of 0.8 or more): the one of least doc_id, null ids last; of equal ids the one of least text hash, and any one of rows that agree in both."""
-    order = F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text"))
-    names = docs.columns
-    near = nearcopies.near_copies(docs.select(*[F.col(f"`{c}`") for c in names]))
-    kept = near.groupBy("group").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), order).alias("kept"))
-    return kept.select(*[F.col(f"kept.`{c}`") for c in names])
+    return nearcopies.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

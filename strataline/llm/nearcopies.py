@@ -230,8 +230,9 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return map_batches(both, run, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
-    """All rows and columns of docs, and ``group``: equal for rows that chains of links reach.
+def text_groups(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
+    """(t, group): of each distinct text of docs its xxhash64 and its group, equal for texts that chains of links reach; nulls
+    have the hash that Spark gives them.
 
     A link joins two texts whose five-word shingles have a Jaccard similarity of ``least`` (0.8 or more) or more. Shingles
     count as often as they stand in a text and are compared by 64-bit hashes. Texts of equal shingles are one node;
@@ -240,8 +241,8 @@ def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
     ever above it. The exact similarity of every proposed pair decides. First each node meets two others
     of each tile (its nearest one, and the one with most close ones); after that all proposed pairs that this
     hasn't joined are verified where their tiles meet, which then hold the sets of what is still open, so that no pair ever
-    travels and a large group of near copies makes no more rows than it has members. Empty tables
-    give no rows; a column of docs named group is replaced.
+    travels and a large group of near copies makes no more rows than it has members. Whoever has a candidate is in a pair of the
+    first step, so texts are fetched for their sets once. Empty tables give no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "nearcopies")
     keyed = pick(docs, "text").where("text IS NOT NULL").select(F.xxhash64("text").alias("t"), "text")
@@ -256,29 +257,47 @@ def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
     nodes = own.where(F.col("n") >= SMALL).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("t").alias("t"))
     nodes = scratch.table(nodes.withColumn("root", F.col("node")), "nodes")
 
-    def sets_of(wanted):
-        """(node, s): the whole sets of some nodes(node), from one text of each."""
-        one = scratch.table(nodes.join(wanted, "node").select("node", "t"), "wanted")
-        full = keyed.join(one, "t").groupBy("node").agg(F.first("text").alias("text"))
-
-        def whole(part):
-            return {"node": part.column("node"), "s": pa.array([shingles(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))}
+    pairs = scratch.table(tile_pairs(nodes, scratch, "leads", least).distinct(), "pairs")
+    wanted = pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct()
+    wanted = scratch.table(nodes.join(wanted, "node").select("node", "t"), "wanted")
+    full = keyed.join(wanted, "t").groupBy("node").agg(F.first("text").alias("text"))  # of each node one text
 
-        return scratch.table(map_batches(full, whole, "node bigint, s array<bigint>"), "sets")
+    def whole(part):
+        return {"node": part.column("node"), "s": pa.array([shingles(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))}
 
-    pairs = scratch.table(tile_pairs(nodes, scratch, "leads", least).distinct(), "pairs")
-    sets = sets_of(pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct())
+    sets = scratch.table(map_batches(full, whole, "node bigint, s array<bigint>"), "sets")
     edges = scratch.table(verified(pairs, sets, least), "links")
-    scratch.drop(sets)
     comp = components(spark, edges, scratch)
     joined = scratch.table(nodes.drop("root").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
     rest = scratch.table(tile_pairs(joined, scratch, "open", least).select(F.col("a").alias("node")).distinct(), "rest")
-    sets = sets_of(rest)
-    edges = edges.unionByName(scratch.table(tile_pairs(joined.join(sets, "node"), scratch, "links", least), "more"))
+    open_ = joined.join(sets.join(rest, "node", "left_semi"), "node")
+    edges = edges.unionByName(scratch.table(tile_pairs(open_, scratch, "links", least), "more"))
     comp = components(spark, edges, scratch)
-    group = own.select("t", "node").distinct().join(comp, "node", "left").select(F.col("t").alias("__t"), F.coalesce("root", "node").alias("__group"))
-    group = scratch.table(group, "groups")
-    scratch.only(group)
     empty = node_of(np.empty(0, np.uint64))
-    got = docs.join(group, F.xxhash64(docs["text"]) == group["__t"], "left")
-    return got.select(*[docs[f"`{c}`"] for c in docs.columns if c != "group"], F.coalesce("__group", F.lit(empty)).alias("group"))
+    group = own.select("t", "node").distinct().join(comp, "node", "left").select("t", F.coalesce("root", "node").alias("group"))
+    nulls = pick(docs, "text").where("text IS NULL").select(F.xxhash64("text").alias("t"), F.lit(empty).alias("group"))
+    group = scratch.table(group.unionByName(nulls.distinct()).groupBy("t").agg(F.min("group").alias("group")), "groups")
+    scratch.only(group)
+    return group
+
+
+def near_copies(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
+    """All rows and columns of docs, and ``group`` as in ``text_groups``; a column of docs named group is replaced."""
+    group = text_groups(docs, least).select(F.col("t").alias("__t"), F.col("group").alias("__group"))
+    got = docs.join(group, F.xxhash64(docs["text"]) == group["__t"])
+    return got.select(*[docs[f"`{c}`"] for c in docs.columns if c != "group"], F.col("__group").alias("group"))
+
+
+def representatives(docs: DataFrame, least: Fraction = LEAST) -> DataFrame:
+    """One row of each group of ``text_groups``, with the columns of docs: the one of least doc_id, null ids last; of equal ids the one of
+    least text hash, and any one of rows that agree in both.
+
+    Ids and hashes choose; then texts travel once, by their hash, exact copies reduced to one row a task before.
+    """
+    t, names = F.xxhash64("text").alias("__t"), docs.columns
+    order = F.struct(F.isnull("doc_id"), "doc_id")
+    group = text_groups(docs, least)
+    ids = pick(docs, "doc_id", "text").groupBy(t).agg(F.min(order).alias("id"))
+    best = ids.join(group, ids["__t"] == group["t"]).groupBy("group").agg(F.min(F.struct("id", "t")).alias("best")).select(F.col("best.t").alias("__t"))
+    rows = docs.groupBy(t).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), order).alias("kept"))
+    return rows.join(best, "__t", "left_semi").select(*[F.col(f"kept.`{c}`") for c in names])
