@@ -25,8 +25,8 @@ CLASSES, OWN = 64, 24
 KINDS, LEAST_ROWS, PER_ROOT = 3, 1 << 12, 16
 #: Tokens whose gradient is taken at a time, which fits a core's cache.
 PART = 1 << 13
-#: Words whose codes a task remembers.
-REMEMBERED = 100_000
+#: Tokens in a block, whose rows of equal context are added up by one small matrix product.
+BLOCK = 16
 #: Tasks whose sums are added up at a time, rows of weights that travel together, and tokens of a task at the mean.
 FAN, PER, PER_TASK = 64, 256, 3_000_000
 #: Rounds of summed gradients, each over its own share of the documents.
@@ -38,21 +38,14 @@ GRAIN = 4096.0
 
 
 class Codes(dict):
-    """word -> class << 52 | (place in the head + 1) << 32 | crc32, remembered; emptied when large."""
+    """word -> class << 52 | (place in the head + 1) << 32 | crc32: made ahead for the head and for words of their own class, which
+    most tokens are, and worked out for each other token, so that nothing is remembered."""
 
     def __init__(self, own: dict[bytes, int], head: dict[bytes, int]):
-        super().__init__()
-        self.own, self.head = own, head
+        super().__init__((w, word_class(w, own) << 52 | (head.get(w, -1) + 1) << 32 | zlib.crc32(w)) for w in own | head)
 
     def __missing__(self, word):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        crc = zlib.crc32(word)
-        k = self.own.get(word)
-        if k is None:
-            k = OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
-        self[word] = got = k << 52 | (self.head.get(word, -1) + 1) << 32 | crc
-        return got
+        return OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN) << 52 | zlib.crc32(word)
 
 
 def word_class(word: bytes, own: dict[bytes, int]) -> int:
@@ -92,38 +85,59 @@ def _kind(rows: int):
     return np.uint16 if rows <= 1 << 16 else np.uint32
 
 
-def logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of the classes, their exponentials, and the sum of those."""
-    z = w[0].take(rows[0], axis=0)
+def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logit of each token's class, the exponentials of the logits of all classes, and their sums."""
+    e, part = w[0].take(rows[0], axis=0), np.empty((rows.shape[1], w.shape[2]), w.dtype)
     for k in range(1, KINDS):
-        z += w[k].take(rows[k], axis=0)
-    z += bias
-    np.clip(z, -60, 60, out=z)  # far from what float32 can't exponentiate
-    e = np.exp(z)
-    return z, e, e @ np.ones(e.shape[1], np.float32)
+        e += w[k].take(rows[k], axis=0, out=part, mode="clip")  # without a copy on the way; rows are always in range
+    e += bias
+    np.clip(e, -60, 60, out=e)  # far from what float32 can't exponentiate
+    own = e[np.arange(len(y)), y]
+    np.exp(e, out=e)
+    return own, e, e @ np.ones(e.shape[1], np.float32)
 
 
 def class_logs(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's class."""
     out = np.empty(len(y))
     for at in range(0, len(y), PART):
-        z, _, total = logits(w, bias, rows[:, at : at + PART])
-        out[at : at + PART] = z[np.arange(len(z)), y[at : at + PART]] - np.log(total)
+        own, _, total = softmax(w, bias, rows[:, at : at + PART], y[at : at + PART])
+        out[at : at + PART] = own - np.log(total)
     return out / np.log(10)
 
 
+def row_sums(e: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values of r, sums of e over each; values and sums of the rest): the sorted rows are added up in blocks, and what runs on
+    from one block into the next is the rest, where values can repeat."""
+    order, n = np.argsort(r, kind="stable"), len(r)
+    order = np.concatenate([order, np.repeat(order[-1:], -n % BLOCK)])
+    r, m = r[order], len(order)
+    first = np.concatenate([[True], r[1:] != r[:-1]])
+    new = first.copy()
+    new[::BLOCK] = True
+    nth = np.cumsum(new.reshape(-1, BLOCK), axis=1, dtype=np.int8)
+    nth.reshape(-1)[n:] = 0  # rows that only fill the last block
+    hot = (nth[:, None, :] == np.arange(1, BLOCK + 1, dtype=np.int8)[None, :, None]).astype(np.float32)
+    sums = np.matmul(hot, e.take(order, axis=0).reshape(m // BLOCK, BLOCK, -1)).reshape(m, -1)
+    at = np.flatnonzero(new[:n])
+    place, own = at // BLOCK * BLOCK + nth.reshape(-1)[at] - 1, first[at]
+    return r[at[own]], sums.take(place[own], axis=0), r[at[~own]], sums.take(place[~own], axis=0)
+
+
 def gradient(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, y: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
     """Adds the gradient of the log loss of some tokens, times ``scale``, to out (KINDS x rows x CLASSES): only the rows of these tokens are touched."""
     for at in range(0, len(y), PART):
         r, z = rows[:, at : at + PART], y[at : at + PART]
-        _, e, total = logits(w, bias, r)
-        e /= total[:, None]
-        e[np.arange(len(z)), z] -= 1
+        _, e, total = softmax(w, bias, r, z)
+        e *= (np.float32(scale) / total)[:, None]
+        e[np.arange(len(z)), z] -= np.float32(scale)
         for k in range(KINDS):
-            order = np.argsort(r[k], kind="stable")
-            by = r[k][order]
-            cut = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
-            out[k, by[cut]] += np.add.reduceat(e.take(order, axis=0), cut, axis=0) * np.float32(scale)
+            to, sums, rest, more = row_sums(e, r[k])
+            while len(to):
+                got = out[k].take(to, axis=0)
+                got += sums
+                out[k, to] = got
+                to, sums, rest, more = row_sums(more, rest) if len(rest) else (rest, more, rest, more)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -204,8 +218,8 @@ def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
     tasks = min(-(-n // PER_TASK), 2 * spark.sparkContext.defaultParallelism)
 
     def count(x, y, out):
-        for k in range(KINDS):
-            out[k] += np.bincount(x[k].astype(np.int64) * CLASSES + y, minlength=rows * CLASSES).reshape(rows, CLASSES)
+        for k in range(KINDS):  # only the places of these tokens are touched
+            np.add.at(out[k].reshape(-1), x[k].astype(np.int64) * CLASSES + y, 1.0)
 
     seen = summed(codes, rows, tasks, count).astype(np.float32)
     total = seen.sum(2, keepdims=True)
@@ -275,11 +289,11 @@ def lm_scores(docs: DataFrame, learn) -> DataFrame:
         n_class[r["k"]], v_class[r["k"]] = r["n"], r["v"]
     bias = np.log((n_class + 0.5) / (n_class.sum() + 0.5 * CLASSES)).astype(np.float32)
     per_class, rows = np.log10(n_class + 0.1 * (v_class + 1)), rows_for(total["v"])
-    shared = spark.sparkContext.broadcast((own, head, head_n, per_class))  # bounded by HEAD and CLASSES
+    shared = spark.sparkContext.broadcast((Codes(own, head), head_n, per_class))  # bounded by HEAD and CLASSES
 
     def encode(batches):
-        own, head, head_n, per_class = shared.value
-        codes, logs = Codes(own, head), np.concatenate([[0.0], np.log10(head_n + 0.1)])
+        codes, head_n, per_class = shared.value
+        logs = np.concatenate([[0.0], np.log10(head_n + 0.1)])
         for part in sliced(batches):
             code, starts, words = tokens(utf8(part.column("text")), codes)
             x, y, place = contexts(code, starts, rows), (code >> 52).astype(np.int64), (code >> 32) & 0xFFFFF

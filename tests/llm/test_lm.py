@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,31 @@ def test_few_codes_are_remembered():
     assert most <= 100_000 and codes[b"w7"] == lm.Codes({lm.END: 0}, {b"w7": 3})[b"w7"]
 
 
+def test_codes_of_the_head_are_made_ahead_and_others_not_kept():
+    own, head = {lm.END: 0, b"the": 1}, {b"the": 0, b"house": 1}
+    codes = lm.Codes(own, head)
+    assert len(codes) == 3
+    for w in (lm.END, b"the", b"house", b"mouse", "gr\u00fcn".encode(), b"x"):
+        crc, k = zlib.crc32(w), lm.word_class(w, own)
+        assert codes[w] == k << 52 | (head.get(w, -1) + 1) << 32 | crc
+    assert len(codes) == 3
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 700, 5000])
+def test_rows_of_equal_context_are_summed_whole(n):
+    """Small whole numbers, so the sums are exact; one context holds half of all tokens and runs over many blocks."""
+    rng = np.random.default_rng(n)
+    e, r = rng.integers(-9, 9, (n, 5)).astype(np.float32), rng.integers(0, 40, n).astype(np.uint16)
+    r[rng.random(n) < 0.5] = 7
+    want, got = np.zeros((40, 5)), np.zeros((40, 5))
+    np.add.at(want, r, e)
+    to, sums, rest, more = lm.row_sums(e, r)
+    assert len(set(to.tolist())) == len(to) and len(rest) <= n // lm.BLOCK
+    np.add.at(got, to, sums)
+    np.add.at(got, rest, more)
+    assert (want == got).all()
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(1)
     w, bias = rng.normal(size=(lm.KINDS, lm.LEAST_ROWS, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
