@@ -161,40 +161,78 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def planes(v: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bytes of whole numbers, bytes of equal weight side by side (width x numbers): that compresses far better."""
+    return np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8)[:, :width].T
+
+
+def numbers(p: np.ndarray) -> np.ndarray:
+    """The numbers of such planes."""
+    z = np.zeros((p.shape[1], 8), np.uint8)
+    z[:, : len(p)] = p.T
+    return z.view(np.int64)[:, 0]
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Whole numbers, in no more planes than the largest needs; the sign is the lowest bit, so small negative ones are small too."""
+    z = v << 1 ^ v >> 63
+    return planes(z, max(1, -(-int(z.view(np.uint64).max()).bit_length() // 8))).tobytes()
+
+
+def whole(packs: bytes, n: int = PER * CLASSES) -> np.ndarray:
+    """The n numbers of ``packed``."""
+    z = numbers(np.frombuffer(packs, np.uint8).reshape(-1, n)).view(np.uint64)
+    return (z >> 1).view(np.int64) ^ -(z & 1).view(np.int64)
+
+
 def add(table: pa.Table) -> pa.Table:
     """One row for a block of whole numbers: the sum over at most FAN tasks."""
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("sum").to_pylist())
+    total = sum(whole(x) for x in table.column("sum").to_pylist())
     first = table.slice(0, 1)
-    return pa.Table.from_arrays([first.column("block"), first.column("task"), pa.array([total.tobytes()], pa.binary())], table.schema.names)
+    return pa.Table.from_arrays([first.column("block"), first.column("task"), pa.array([packed(total)], pa.binary())], table.schema.names)
+
+
+def stored(code: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For each text the places in the head of its tokens, in three bytes, and crc32 and class of those outside, in five: what contexts and
+    classes follow from in less room."""
+    place = (code >> 32) & 0xFFFFF
+    odd = np.flatnonzero(place == 0)
+    rare = code[odd]
+    made, cut = [], np.concatenate([starts, [len(code)]])
+    for p, at in ((planes(place, 3), cut), (planes(rare & 0xFFFFFFFF | rare >> 52 << 32, 5), np.searchsorted(odd, cut))):
+        made.append([p[:, a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())])
+    return made[0], made[1]
 
 
-def unpacked(part: pa.RecordBatch, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of weights, classes, place where each text starts) of the tokens of some encoded texts."""
-    y = np.frombuffer(b"".join(part.column("y").to_pylist()), np.uint8).astype(np.int64)
-    raw = [np.frombuffer(x, _kind(rows)).reshape(KINDS, -1) for x in part.column("context").to_pylist()]
-    size = np.array([x.shape[1] for x in raw], np.int64)
-    return np.concatenate(raw, axis=1), y, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+def unpacked(part: pa.RecordBatch, known: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of weights, classes, place where each text starts) of the tokens of some encoded texts; known: codes by the place in the head."""
+    raw, rare = ([np.frombuffer(x, np.uint8).reshape(n, -1) for x in part.column(c).to_pylist()] for c, n in (("places", 3), ("rare", 5)))
+    starts = np.concatenate([[0], np.cumsum([x.shape[1] for x in raw])[:-1]]).astype(np.int64)
+    place, rare = numbers(np.concatenate(raw, axis=1)), numbers(np.concatenate(rare, axis=1))
+    code = known.take(place)
+    code[place == 0] = rare >> 32 << 52 | rare & 0xFFFFFFFF
+    return contexts(code, starts, rows), code >> 52, starts
 
 
-def summed(codes: DataFrame, rows: int, tasks: int, fn) -> np.ndarray:
+def summed(codes: DataFrame, known, rows: int, tasks: int, fn) -> np.ndarray:
     """fn(contexts, classes, out) over all encoded texts, its KINDS x rows x CLASSES whole numbers summed: FAN tasks' at a time, by blocks.
 
-    No more than ``tasks`` tasks, so that their sums stay small beside what they read.
+    No more than ``tasks`` tasks, so that their sums stay small beside what they read. known: a broadcast of the head's codes.
     """
 
     def run(batches):
         out, some = np.zeros((KINDS, rows, CLASSES)), False
         for part in sliced(batches):
-            x, y, _ = unpacked(part, rows)
+            x, y, _ = unpacked(part, known.value, rows)
             fn(x, y, out)
             some = True
         if some:
             flat = np.rint(out, out=out).reshape(-1, PER * CLASSES)
             for at in range(0, len(flat), 16):
                 got = flat[at : at + 16].astype(np.int64)  # no second copy of all sums
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(got), dtype=np.int32)), pa.array(np.full(len(got), TaskContext.get().partitionId(), np.int32)), pa.array([x.tobytes() for x in got], pa.binary())], ["block", "task", "sum"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(got), dtype=np.int32)), pa.array(np.full(len(got), TaskContext.get().partitionId(), np.int32)), pa.array([packed(x) for x in got], pa.binary())], ["block", "task", "sum"])
 
-    parts = codes.select("y", "context").coalesce(tasks).mapInArrow(run, "block int, task int, sum binary")
+    parts = codes.select("places", "rare").coalesce(tasks).mapInArrow(run, "block int, task int, sum binary")
     while True:  # sums of FAN at a time
         tasks = -(-tasks // FAN)
         parts = parts.withColumn("task", F.expr(f"CAST(task DIV {FAN} AS int)")).groupBy("block", "task").applyInArrow(add, parts.schema)
@@ -202,12 +240,12 @@ def summed(codes: DataFrame, rows: int, tasks: int, fn) -> np.ndarray:
             break
     total = np.zeros((KINDS * rows // PER, PER * CLASSES), np.int64)
     for x in parts.toLocalIterator():  # one row a block
-        total[x["block"]] = np.frombuffer(x["sum"], np.int64)
+        total[x["block"]] = whole(x["sum"])
     return total.reshape(KINDS, rows, CLASSES)
 
 
-def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
-    """Weights KINDS x rows x CLASSES from encoded texts (y, context, share) of n tokens.
+def train(codes: DataFrame, known, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
+    """Weights KINDS x rows x CLASSES from encoded texts (places, rare, share) of n tokens; known: a broadcast of the head's codes.
 
     They start from how often each class follows each feature, counted over all texts. In each round all texts of
     its share give their gradient at the common weights; the sums move these, each by its own curvature. Counts and sums
@@ -221,7 +259,7 @@ def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
         for k in range(KINDS):  # only the places of these tokens are touched
             np.add.at(out[k].reshape(-1), x[k].astype(np.int64) * CLASSES + y, 1.0)
 
-    seen = summed(codes, rows, tasks, count).astype(np.float32)
+    seen = summed(codes, known, rows, tasks, count).astype(np.float32)
     total = seen.sum(2, keepdims=True)
     seen += PRIOR * prior
     seen /= total + PRIOR
@@ -235,7 +273,7 @@ def train(codes: DataFrame, rows: int, n: int, bias: np.ndarray) -> np.ndarray:
         def step(x, y, out, shared=shared):
             gradient(*shared.value, x, y, out, GRAIN)
 
-        w = w - (RATE * ROUNDS / GRAIN * summed(codes.where(F.col("share") == r), rows, tasks, step) / seen).astype(np.float32)
+        w = w - (RATE * ROUNDS / GRAIN * summed(codes.where(F.col("share") == r), known, rows, tasks, step) / seen).astype(np.float32)
         shared.destroy()
     return w
 
@@ -289,39 +327,39 @@ def lm_scores(docs: DataFrame, learn) -> DataFrame:
         n_class[r["k"]], v_class[r["k"]] = r["n"], r["v"]
     bias = np.log((n_class + 0.5) / (n_class.sum() + 0.5 * CLASSES)).astype(np.float32)
     per_class, rows = np.log10(n_class + 0.1 * (v_class + 1)), rows_for(total["v"])
-    shared = spark.sparkContext.broadcast((Codes(own, head), head_n, per_class))  # bounded by HEAD and CLASSES
+    codes = Codes(own, head)
+    shared = spark.sparkContext.broadcast((codes, head_n, per_class))  # bounded by HEAD and CLASSES
+    known = spark.sparkContext.broadcast(np.array([0, *(codes[w] for w in head)], np.int64))
 
     def encode(batches):
         codes, head_n, per_class = shared.value
         logs = np.concatenate([[0.0], np.log10(head_n + 0.1)])
         for part in sliced(batches):
             code, starts, words = tokens(utf8(part.column("text")), codes)
-            x, y, place = contexts(code, starts, rows), (code >> 52).astype(np.int64), (code >> 32) & 0xFFFFF
+            y, place = code >> 52, (code >> 32) & 0xFFFFF
             odd, flat = np.flatnonzero(place == 0), list(chain.from_iterable(words))
             ends = np.searchsorted(odd, np.concatenate([starts, [len(code)]])).astype(np.int32)
             tails = pa.ListArray.from_arrays(pa.array(ends), pa.array([flat[i] for i in odd.tolist()], pa.binary()))
             sums = [np.add.reduceat(v, starts) for v in (logs[place], -per_class[y], (place > 0).astype(np.int64))]
-            cut = [*starts.tolist(), len(code)]
-            small = y.astype(np.uint8)
-            made = [pa.array([f(a, b) for a, b in zip(cut, cut[1:])], pa.binary()) for f in (lambda a, b: small[a:b].tobytes(), lambda a, b: x[:, a:b].tobytes())]
+            made = [pa.array(x, pa.binary()) for x in stored(code, starts)]
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(c) for c in ("rid", "doc_id", "learn", "share")], *map(pa.array, (np.array([len(v) for v in words], np.int64), *sums)), tails, *made],
-                ["rid", "doc_id", "learn", "share", "n_tokens", "head_log", "in_class", "head_known", "tail", "y", "context"],
+                ["rid", "doc_id", "learn", "share", "n_tokens", "head_log", "in_class", "head_known", "tail", "places", "rare"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "learn", F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).cast("int").alias("share"), "text")
-    coded = scratch.table(given.mapInArrow(encode, f"rid bigint, doc_id {id_type}, learn boolean, share int, n_tokens bigint, head_log double, in_class double, head_known bigint, tail array<binary>, y binary, context binary"), "codes")
-    w = train(coded.where("learn"), rows, total["n"], bias) if total["n"] else np.zeros((KINDS, rows, CLASSES), np.float32)
+    coded = scratch.table(given.mapInArrow(encode, f"rid bigint, doc_id {id_type}, learn boolean, share int, n_tokens bigint, head_log double, in_class double, head_known bigint, tail array<binary>, places binary, rare binary"), "codes", compression="zstd")
+    w = train(coded.where("learn"), known, rows, total["n"], bias) if total["n"] else np.zeros((KINDS, rows, CLASSES), np.float32)
     model = spark.sparkContext.broadcast((w, bias))
 
     def score(batches):
         for part in sliced(batches):
-            x, y, starts = unpacked(part, rows)
+            x, y, starts = unpacked(part, known.value, rows)
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(np.add.reduceat(class_logs(*model.value, x, y), starts))], ["rid", "class_log"])
 
-    scored = scratch.table(coded.select("rid", "y", "context").mapInArrow(score, "rid bigint, class_log double"), "scored")
-    plain = coded.drop("y", "context", "learn", "share")
+    scored = scratch.table(coded.select("rid", "places", "rare").mapInArrow(score, "rid bigint, class_log double"), "scored")
+    plain = coded.drop("places", "rare", "learn", "share")
     # Words outside the head meet their counts by a join; what all rows need of an unknown word is log10(0.1).
     tail = plain.select("rid", F.explode("tail").alias("w"))
     known = tail.join(counts, "w").groupBy("rid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("n") + F.lit(0.1))).alias("tail_log"))

@@ -1,8 +1,10 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,45 @@ def test_rows_grow_with_the_vocabulary():
     assert lm.contexts(code, starts, 1 << 17).dtype == np.uint32
 
 
+def test_encoded_texts_take_few_bytes_a_token(spark, monkeypatch):
+    """Whole intermediate rows, ids and words outside the head included; hashed rows of three kinds took 7 bytes a token alone."""
+    rng, sizes, table = np.random.default_rng(3), {}, lm.Scratch.table
+
+    def sized(self, df, name="t", **options):
+        out = table(self, df, name, **options)
+        sizes[name] = sum(f.stat().st_size for f in Path(out._scratch_path.removeprefix("file://")).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(lm.Scratch, "table", sized)
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.3, 1000) % 5000)) for i in range(200)]
+    assert lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), F.lit(True)).count() == 200
+    assert sizes["codes"] < 4 * 200 * 1001
+
+
+@pytest.mark.parametrize("head", [[], [lm.END], [lm.END, b"the", b"house", *(b"h%d" % i for i in range(70_000))]])
+def test_stored_tokens_come_back(head):
+    own, head = {lm.END: 0, b"the": 1}, {w: i for i, w in enumerate(head)}
+    codes = lm.Codes(own, head)
+    known = np.array([0, *(codes[w] for w in head)], np.int64)
+    code, starts, _ = lm.tokens([b"the mouse h7 h69999", b"", None, "gr\u00fcn house the the".encode(), b"mouse"], codes)
+    places, rare = lm.stored(code, starts)
+    part = pa.RecordBatch.from_arrays([pa.array(places, pa.binary()), pa.array(rare, pa.binary())], ["places", "rare"])
+    for rows in (lm.LEAST_ROWS, 1 << 17):
+        x, y, at = lm.unpacked(part, known, rows)
+        assert (x == lm.contexts(code, starts, rows)).all() and (y == code >> 52).all() and (at == starts).all()
+
+
+def test_packed_sums_are_exact_and_no_wider_than_their_largest():
+    rng, n = np.random.default_rng(4), lm.PER * lm.CLASSES
+    for most, width in ((0, 1), (127, 1), (128, 2), (1 << 22, 3), ((1 << 63) - 1, 8)):
+        v = rng.integers(-most, most, n, endpoint=True)
+        v[:2] = most, -most
+        assert (lm.whole(lm.packed(v)) == v).all() and len(lm.packed(v)) == n * width
+    v = np.full(n, -(1 << 63), np.int64)
+    assert (lm.whole(lm.packed(v)) == v).all()
+
+
 def test_odd_rows_and_empty(odd, empty):
     assert lm.lm_scores(odd, F.lit(True)).count() == 5
     got = lm.lm_scores(odd, F.lit(False)).collect()
