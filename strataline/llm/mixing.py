@@ -110,9 +110,7 @@ def topic_model(docs: DataFrame, scratch: Scratch) -> tuple[tuple[np.ndarray, np
             df, n = df + np.bincount(dim, minlength=DIM), n + len(np.unique(row))
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "sum"])
 
-    total, df = 0, np.zeros(DIM, np.int64)
-    for r in _summed(rows.mapInArrow(count, "n bigint, sum binary"), DIM):
-        total, df = total + r[0], df + r[1]
+    total, df = _summed(rows.mapInArrow(count, "n bigint, sum binary"), DIM)
     weight = rarity(df, total)
     some = rows.where("size(bag) > 0").select("t").distinct().orderBy("t").limit(FIRST)
     some = rows.join(F.broadcast(some), "t").groupBy("t").agg(F.first("bag").alias("bag")).orderBy("t").collect()  # FIRST rows
@@ -142,7 +140,7 @@ def topic_model(docs: DataFrame, scratch: Scratch) -> tuple[tuple[np.ndarray, np
                 n += size
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([got.tobytes()], pa.binary())], ["n", "sum"])
 
-        new = sum((r[1] for r in _summed(rows.mapInArrow(move, "n bigint, sum binary"), TOPICS * DIM)), np.zeros(TOPICS * DIM, np.int64)).reshape(TOPICS, DIM)
+        new = _summed(rows.mapInArrow(move, "n bigint, sum binary"), TOPICS * DIM)[1].reshape(TOPICS, DIM)
         means = np.where(new.any(1, keepdims=True), unit(new), means)
         shared.destroy()
 
@@ -159,8 +157,8 @@ def names_of(topic: np.ndarray) -> pa.Array:
     return pa.array([names[k] for k in topic.tolist()], pa.string())
 
 
-def _summed(parts: DataFrame, width: int) -> list[tuple[int, np.ndarray]]:
-    """(n, sum) of whole-numbered arrays: 64 tasks' at a time are added up on executors, at most 64 come to the driver."""
+def _summed(parts: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """(n, sum) of whole-numbered arrays: 16 tasks add up all, one adds up their 16, and one row comes to the driver."""
 
     def add(batches):
         total, n = np.zeros(width, np.int64), 0
@@ -169,7 +167,10 @@ def _summed(parts: DataFrame, width: int) -> list[tuple[int, np.ndarray]]:
                 total, n = total + np.frombuffer(x, np.int64), n + k
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "sum"])
 
-    return [(r["n"], np.frombuffer(r["sum"], np.int64)) for r in parts.repartition(16).mapInArrow(add, "n bigint, sum binary").collect()]
+    for tasks in (16, 1):
+        parts = parts.repartition(tasks).mapInArrow(add, "n bigint, sum binary")
+    got = parts.collect()  # one row
+    return (got[0]["n"], np.frombuffer(got[0]["sum"], np.int64)) if got else (0, np.zeros(width, np.int64))
 
 
 def with_topics(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:

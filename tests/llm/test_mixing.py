@@ -3,7 +3,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from strataline.llm import mixing
+from strataline.llm import common, mixing
 
 
 def test_rake_meets_targets():
@@ -140,3 +140,22 @@ def test_topics_of_many_texts_need_little_memory():
     assert most < 80 << 20 and got[5000] == -1
     for i in (0, 1, 2499, 4999):
         assert got[i] == (means[:, dim[row == i]] * value[row == i]).sum(1).argmax()
+
+
+def test_sums_of_topics_come_to_the_driver_in_one_row(spark, docs, monkeypatch):
+    kind, rows = type(docs), []
+    collect = kind.collect
+
+    def seen(self):
+        got = collect(self)
+        rows.extend([len(got)] * (self.columns == ["n", "sum"]))
+        return got
+
+    monkeypatch.setattr(kind, "collect", seen)
+    scratch = common.Scratch(spark, "test")
+    (weight, means), _ = mixing.topic_model(docs.repartition(40), scratch)
+    assert rows == [1] * (1 + mixing.ROUNDS)
+    (w, m), _ = mixing.topic_model(docs.coalesce(1), scratch)
+    assert means.any() and np.array_equal(weight, w) and np.array_equal(means, m)
+    n, total = mixing._summed(spark.createDataFrame([], "n bigint, sum binary"), 3)
+    assert n == 0 and not total.any() and len(total) == 3
